@@ -239,8 +239,8 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "title_case": lambda m: fixtures.raw_names(m.spark, m.dir).select("id", text.title_case(F.col("raw")).alias("name")),
     "listing_cards": lambda m: extract_cards(fixtures.listing_pages(m.spark, m.dir)),
     # enrichment
-    "pending_enrich": lambda m: enrich.coordinates_pending(m.sales).select("id").unionByName(
-        enrich.listings_unchecked(m.sales).select("id")).groupBy("id").agg(F.count("*").alias("open")),
+    "pending_enrich": lambda m: enrich.coordinates_pending(m.sales).select("id", F.lit("geocoding").alias("kind"))
+    .unionByName(enrich.listings_unchecked(m.sales).select("id", F.lit("listings").alias("kind"))),
     "geocode_join": _geocode_join,
     "coordinates_updated": _updated,
     "enrich_callback": _enrich_callback,

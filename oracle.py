@@ -384,8 +384,8 @@ ORACLE_SQL = {
         as card_address, case when position = 0 then '/p/' || p_partkey end as href
         from part, (select cast(unnest(range(2)) as int) as position)""",
 
-    "pending_enrich": with_(INPUTS) + """ select id, cast(latitude is null as bigint)
-        + cast(listings_last_checked is null as bigint) as open from sales where open > 0""",
+    "pending_enrich": with_(INPUTS) + """ select id, 'geocoding' as kind from sales where latitude is null
+        union all select id, 'listings' from sales where listings_last_checked is null""",
     "geocode_join": with_(INPUTS) + """ select id, round(g.latitude, 8) as latitude, round(g.longitude, 8) as longitude
         from sales s left join gazetteer g on nth = 1 and addr_key = lower(property_street_name || ', ' || property_locality)
         where s.latitude is null""",

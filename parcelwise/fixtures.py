@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROW_GROUP_BYTES = 128 << 20
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores: one with less than a row group per core is read by few
+    tasks. Larger inputs have row groups enough and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * ROW_GROUP_BYTES else df
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sale per order line; a property is a part sold by a twentieth of the suppliers."""
-    lines = _table(spark, sf_dir, "lineitem")
+    lines = _spread(_table(spark, sf_dir, "lineitem"))
     part = _table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
     supplier = _table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
     day = "cast(cast(l_shipdate as date) + interval 20 years as date)"
@@ -94,7 +105,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records: 25 fields as sold, and, per line number, some that must be dropped."""
-    lines = _table(spark, sf_dir, "lineitem")
+    lines = _spread(_table(spark, sf_dir, "lineitem"))
     part = _table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
     return lines.join(part, "l_partkey").selectExpr(
         """concat_ws(';', case when l_suppkey % 17 = 0 then 'A' else 'B' end, 'D1', cast(l_partkey as string),

@@ -5,21 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's notion of white space: Unicode White_Space plus the four ASCII separators.
-_EDGE_SPACE = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
-_LETTER_RUNS = r"(\p{L}+|[^\p{L}]+)"
-_NUMBER = r"^[+-]?([0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)([eE][+-]?[0-9][0-9_]*)?$"
-_STRAY_UNDERSCORE = r"(^|[^0-9])_|__|_($|[^0-9])"
+# The characters Python strips as white space.
+WHITE_SPACE = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+               "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_DIGITS = "[0-9]+(?:_[0-9]+)*"
+_NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+def split_fields(line: Column) -> Column:
+    """Fields of a ;-separated line, free of white space at their ends apart from plain spaces
+    (see `strip`). Only lines with other than printable ASCII characters go through the slower pattern."""
+    clean = F.regexp_replace(line, f"[{WHITE_SPACE}]*;[{WHITE_SPACE}]*", ";")
+    return F.split(F.when(line.rlike(r"[^\x20-\x7e]"), clean).otherwise(line), ";", -1)
+
+
+def strip(field: Column) -> Column:
+    return F.trim(field)
 
 
 def title_case(text: Column) -> Column:
-    """Upper-case the first letter of every letter run, lower-case the others (O'Connor, 1St)."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(_LETTER_RUNS), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    """Upper-case the first letter of every letter run, lower-case the others (O'Connor, 1St).
+
+    `initcap` starts words at spaces only, so a marked space is put before every letter that follows
+    a non-letter, and taken out again.
+    """
+    mark = "\u0001 "
+    spaced = F.regexp_replace(F.lower(text), r"([^\p{L}])(?=\p{L})", f"$1{mark}")
+    return F.replace(F.initcap(spaced), F.lit(mark), F.lit(""))
 
 
 def parse_date(text: Column) -> Column:
@@ -29,9 +41,8 @@ def parse_date(text: Column) -> Column:
 
 def parse_double(text: Column) -> Column:
     """A finite decimal number, anything else is NULL."""
-    plain = text.rlike(_NUMBER) & ~text.rlike(_STRAY_UNDERSCORE)
-    value = F.regexp_replace(text, "_", "").try_cast("double")
-    return F.when(plain & (F.abs(value) != float("inf")), value)
+    value = F.translate(text, "_", "").try_cast("double")
+    return F.when(text.rlike(_NUMBER) & (F.abs(value) != float("inf")), value)
 
 
 def parse_int(text: Column) -> Column:

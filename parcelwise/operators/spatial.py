@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 
-MAX_INLINE_STATIONS = 5_000
+MAX_INLINE_STATIONS = 500
+BLOCK_STATIONS = 2_000
 
 SUBURB = ["suburb"]
 STREET = ["street_name", "suburb"]
@@ -88,19 +89,33 @@ def nearest_sales(sales: DataFrame, growth: DataFrame, property_id: str, k: int,
 def with_nearest_station(df: DataFrame, stations: DataFrame, max_inline: int = MAX_INLINE_STATIONS) -> DataFrame:
     """Add nearest_station and distance_to_station; NULL without coordinates or stations.
 
-    Equal distances go to the station listed first. The stations become one array carried with the
-    plan, so no row is shuffled or multiplied. That needs a small table: beyond `max_inline`
-    stations the search goes by blocks instead.
+    Equal distances go to the station listed first. Up to `max_inline` stations become literals of
+    one expression, so that the search compiles to straight code and no row is shuffled or
+    multiplied; a larger table is searched by blocks instead.
     """
-    if stations.limit(max_inline + 1).count() > max_inline:
-        return _nearest_station_blocks(df, stations, max_inline)
-    listed = stations.agg(F.collect_list(F.struct("idx", "station", "latitude", "longitude"))).scalar()
-    best = F.when(geo.located(F.col("latitude"), F.col("longitude")),
-                  _closest(F.col("_stations"), F.col("latitude"), F.col("longitude")))
-    return (df.withColumn("_stations", listed).withColumn("_best", best)
-            .withColumns({"nearest_station": F.col("_best.station"),
-                          "distance_to_station": F.col("_best.dist")})
-            .drop("_stations", "_best"))
+    listed = stations.select("idx", "station", "latitude", "longitude").limit(max_inline + 1).collect()
+    if len(listed) > max_inline:
+        return _nearest_station_blocks(df, stations, BLOCK_STATIONS)
+    listed.sort(key=lambda s: s.idx)
+    # Chord lengths between points of the unit sphere order stations as the distance does, at the
+    # cost of a few multiplications; the distance itself is computed for the nearest one only.
+    position = dict(zip(("_x", "_y", "_z"), geo.on_sphere(F.col("latitude"), F.col("longitude"))))
+    chords = F.array(*[
+        sum((F.col(axis) - value) * (F.col(axis) - value)
+            for axis, value in zip(position, geo.sphere_point(s.latitude, s.longitude)))
+        for s in listed]).cast("array<double>")
+    station = F.array(*[F.struct(F.lit(s.station).alias("station"), F.lit(s.latitude).alias("lat"),
+                                 F.lit(s.longitude).alias("lon")) for s in listed])
+    found = F.get(station, F.array_position("_chords", F.array_min("_chords")).cast("int") - 1)
+    located = geo.located(F.col("latitude"), F.col("longitude"))
+    if not listed:
+        found = F.lit(None).cast("struct<station: string, lat: double, lon: double>")
+    return (df.withColumns(position).withColumn("_chords", chords)
+            .withColumn("_found", F.when(located, found))
+            .withColumns({"nearest_station": F.col("_found.station"),
+                          "distance_to_station": geo.haversine_km(F.col("latitude"), F.col("longitude"),
+                                                                  F.col("_found.lat"), F.col("_found.lon"))})
+            .drop(*position, "_chords", "_found"))
 
 
 def _closest(stations: Column, lat: Column, lon: Column) -> Column:

@@ -38,9 +38,10 @@ def parse_records(lines: DataFrame, as_of: date | None = None, keep: list[str] |
     Kept are lines that start with "B;", have at least 25 fields, and whose contract date is not
     after `as_of` (today by default); a missing contract date is no reason to drop a line.
     """
-    parts = F.split("line", ";", -1)
+    # explode of a single element keeps the filters below from repeating the split for each use.
+    fields = F.explode(F.array(text.split_fields(F.col("line"))))
     parsed = (lines.filter(F.col("line").startswith("B;"))
-              .withColumn("_parts", parts)
+              .select(*(keep or []), fields.alias("_parts"))
               .filter(F.size("_parts") >= MIN_FIELDS)
               .select(*(keep or []), *[_field(name).alias(name) for name in PARSED_COLUMNS]))
     today = F.current_date() if as_of is None else F.lit(as_of).cast("date")
