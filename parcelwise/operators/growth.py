@@ -88,23 +88,35 @@ def suburb_growth(cube: DataFrame, start_year: int = START_YEAR) -> DataFrame:
     return _by_year(per_suburb, SUBURB, start_year)
 
 
-def _summary(sales: DataFrame, cube: DataFrame, keys: list[str]) -> DataFrame:
+def _rated(sales: DataFrame, cube: DataFrame, keys: list[str]) -> DataFrame:
     counts = (valid_sales(sales)
               .withColumnsRenamed({"property_street_name": "street_name", "property_locality": "suburb",
                                    "property_post_code": "post_code"})
               .dropna(subset=keys).groupBy(*keys)
               .agg(F.countDistinct("property_id").alias("unique_properties"),
                    F.count("id").alias("total_sales")))
-    rated = counts.join(_totals(cube, keys).drop("property_count"), keys, "left")
+    return counts.join(_totals(cube, keys).drop("property_count"), keys, "left")
+
+
+def rated_streets(sales: DataFrame, cube: DataFrame) -> DataFrame:
+    """All-time figures per street; streets without a postcode are left out."""
+    return _rated(sales, cube, STREET)
+
+
+def rated_suburbs(sales: DataFrame, cube: DataFrame) -> DataFrame:
+    return _rated(sales, cube, SUBURB)
+
+
+def with_top_flag(rated: DataFrame) -> DataFrame:
+    """Mark the entities whose average reaches the 0.9 quantile of all averages."""
     threshold = F.coalesce(exact_quantile(rated, "avg_cagr", TOP_SHARE), F.lit(0.0))
-    flag = F.coalesce(F.col("avg_cagr") >= threshold, F.lit(False)).cast("int")
-    return rated.withColumn("is_top_performer", flag)
+    return rated.withColumn("is_top_performer",
+                            F.coalesce(F.col("avg_cagr") >= threshold, F.lit(False)).cast("int"))
 
 
 def street_summary(sales: DataFrame, cube: DataFrame) -> DataFrame:
-    """All-time figures per street; streets without a postcode are left out."""
-    return _summary(sales, cube, STREET)
+    return with_top_flag(rated_streets(sales, cube))
 
 
 def suburb_summary(sales: DataFrame, cube: DataFrame) -> DataFrame:
-    return _summary(sales, cube, SUBURB)
+    return with_top_flag(rated_suburbs(sales, cube))

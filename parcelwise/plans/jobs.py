@@ -30,18 +30,20 @@ def ingest(spark: SparkSession, archives: str, root: str, start_year: int = arch
 
 def build_growth(spark: SparkSession, root: str, start_year: int = growth.START_YEAR,
                  end_year: int = growth.END_YEAR) -> None:
-    """Rebuild the five derived tables from `sales`, which is left alone. The two passes over single
-    properties and streets are written once and read back by what follows."""
+    """Rebuild the five derived tables from `sales`, which is left alone. What several of them are
+    read from is written once and read back, so it is neither computed twice nor lost with an executor."""
+    def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+        write_table(df, root, name, partition_by)
+        return read_table(spark, root, name)
+
     sales = read_table(spark, root, "sales")
-    write_table(growth.repeat_sales(sales), root, "repeat_sales")
-    repeats = read_table(spark, root, "repeat_sales")
-    write_table(growth.property_growth(repeats), root, "property_growth")
-    write_table(growth.growth_cube(repeats, end_year), root, "growth_cube")
-    cube = read_table(spark, root, "growth_cube")
-    write_table(growth.street_growth(cube, start_year).hint("rebalance", "year"), root, "street_growth", ["year"])
-    write_table(growth.suburb_growth(cube, start_year).hint("rebalance", "year"), root, "suburb_growth", ["year"])
-    write_table(growth.street_summary(sales, cube), root, "street_summary")
-    write_table(growth.suburb_summary(sales, cube), root, "suburb_summary")
+    repeats = stored(growth.repeat_sales(sales), "repeat_sales")
+    stored(growth.property_growth(repeats), "property_growth")
+    cube = stored(growth.growth_cube(repeats, end_year), "growth_cube")
+    stored(growth.street_growth(cube, start_year).hint("rebalance", "year"), "street_growth", ["year"])
+    stored(growth.suburb_growth(cube, start_year).hint("rebalance", "year"), "suburb_growth", ["year"])
+    stored(growth.with_top_flag(stored(growth.rated_streets(sales, cube), "rated_streets")), "street_summary")
+    stored(growth.with_top_flag(stored(growth.rated_suburbs(sales, cube), "rated_suburbs")), "suburb_summary")
 
 
 def geocode_sales(spark: SparkSession, root: str, gazetteer: DataFrame, ids: list[int] | None = None) -> DataFrame:

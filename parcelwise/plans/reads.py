@@ -38,7 +38,8 @@ def sales_list(sales: DataFrame, growth: DataFrame, stations: DataFrame, skip: i
     rows = matching(sales, **filters)
     if min_growth is not None:
         rows = rows.join(growth.filter(F.col("cagr") >= min_growth / 100.0), "property_id")
-    rows = rows.orderBy(F.col("contract_date").desc_nulls_last(), "id")
+    order = [F.col("contract_date").desc_nulls_last(), F.col("id")]
+    rows = rows.orderBy(*order)
     if skip > 0:
         rows = rows.offset(skip)
     if limit >= 0:
@@ -46,7 +47,7 @@ def sales_list(sales: DataFrame, growth: DataFrame, stations: DataFrame, skip: i
     if min_growth is None:
         if limit >= 0:
             growth = growth.join(rows.select("property_id").distinct(), "property_id", "left_semi")
-        rows = rows.join(growth, "property_id", "left")
+        rows = rows.join(growth, "property_id", "left").orderBy(*order)
     return spatial.with_nearest_station(rows, stations).select(*RESPONSE_COLUMNS)
 
 
