@@ -13,6 +13,7 @@ from parcelwise import fixtures
 from parcelwise.functions import display, geo, text
 from parcelwise.operators import enrich, growth, quantile, spatial
 from parcelwise.operators.filters import dashboard_filters
+from parcelwise.operators.neighbors import nearest_sales_of_all
 from parcelwise.operators.numbering import latest_sales, number_sales
 from parcelwise.plans import checks, reads
 from parcelwise.sources.listings import extract_cards
@@ -225,6 +226,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "neighbor_streets": lambda m: rounded(reads.neighbor_streets(m.street_centroids, m.street_summary, STREET, SUBURB),
                                           **PLACE),
     "neighbor_properties": lambda m: rounded(reads.neighbor_properties(m.sales, m.growth, PROPERTY), **PLACE),
+    "neighbor_properties_all": lambda m: rounded(nearest_sales_of_all(m.sales, m.growth), dist=12),
     "unified_map_suburb": lambda m: rounded(reads.unified_map_suburbs(
         m.suburb_growth, m.suburb_centroids, m.suburb_summary, YEAR), **PLACE),
     "unified_map_street": lambda m: rounded(reads.unified_map_streets(

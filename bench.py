@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from parcelwise import fixtures
 from parcelwise.operators import enrich, spatial
+from parcelwise.operators.neighbors import nearest_sales_of_all
 from parcelwise.operators.numbering import latest_sales, number_sales
 from parcelwise.plans import checks, jobs, reads
 from parcelwise.session import local_session
@@ -70,6 +71,7 @@ def main() -> None:
         "unified_map_street": lambda: reads.unified_map_streets(t["street_growth"], streets, t["street_summary"], YEAR),
         "property_comparison_all": lambda: reads.property_comparison(sales, growth, t["street_growth"],
                                                                      t["suburb_growth"], YEAR),
+        "neighbor_properties_all": lambda: nearest_sales_of_all(sales, growth),
         "nearest_station_all": lambda: spatial.with_nearest_station(sales, stations),
         "sale_numbers_all": lambda: number_sales(sales),
         "latest_sale_all": lambda: latest_sales(sales),

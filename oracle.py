@@ -357,6 +357,26 @@ ORACLE_SQL = {
         where s.property_id <> '100-18' and s.latitude is not null
         order by (s.latitude-t.latitude)*(s.latitude-t.latitude) + (s.longitude-t.longitude)*(s.longitude-t.longitude),
          s.id limit 20""",
+    "neighbor_properties_all": with_(INPUTS, GROWTH, """
+        cand as (select s.id, s.property_id, s.latitude as lat, s.longitude as lon
+          from sales s join pg on s.property_id = pg.property_id where s.latitude is not null),
+        most as (select 20 + max(n) as rows from (select count(*) as n from cand group by property_id)),
+        tgt as (select property_id, arg_min(latitude, id) as lat, arg_min(longitude, id) as lon
+          from sales where latitude is not null group by 1),
+        near as (
+          select t.lat as tlat, t.lon as tlon, s.lat, s.lon,
+           (s.lat-t.lat)*(s.lat-t.lat) + (s.lon-t.lon)*(s.lon-t.lon) as dist,
+           rank() over (partition by t.lat, t.lon order by (s.lat-t.lat)*(s.lat-t.lat) + (s.lon-t.lon)*(s.lon-t.lon)) as r
+          from (select distinct lat, lon from tgt) t, (select distinct lat, lon from cand) s
+          qualify r <= (select rows from most)),
+        lists as (
+          select n.tlat, n.tlon, c.id, c.property_id as neighbor_property_id, n.dist,
+           row_number() over (partition by n.tlat, n.tlon order by n.dist, c.id) as r
+          from near n join cand c on n.lat = c.lat and n.lon = c.lon qualify r <= (select rows from most))""") + """
+        select t.property_id, row_number() over (partition by t.property_id order by l.dist, l.id) as neighbor_rank,
+         l.id, l.neighbor_property_id, round(l.dist, 12) as dist
+        from tgt t join lists l on t.lat = l.tlat and t.lon = l.tlon and l.neighbor_property_id <> t.property_id
+        qualify neighbor_rank <= 20""",
     "unified_map_suburb": with_(INPUTS, GROWTH, SPACE, MAP_SUBURBS) + " select * from map_rows",
     "unified_map_street": with_(INPUTS, GROWTH, SPACE, MAP_STREETS) + " select * from map_rows",
     "unified_map_clusters": with_(INPUTS, GROWTH, SPACE, MAP_SUBURBS) + """ select rank, id,

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parcelwise.operators import enrich, filters, growth, numbering, quantile, spatial
+from parcelwise.operators import enrich, filters, growth, neighbors, numbering, quantile, spatial
 from parcelwise.plans import checks, reads
 from parcelwise.schemas import CARDS_DDL, GAZETTEER_DDL, SALES_DDL, STATIONS_DDL
 
@@ -270,3 +270,28 @@ def test_checks(spark):
     assert [r.status for r in checks.reconcile_growth(stored, sales).collect()] == ["PASS"]
     off = stored.withColumn("cagr", F.col("cagr") + 0.01)
     assert [r.status for r in checks.reconcile_growth(off, sales).collect()] == ["FAIL"]
+
+
+@pytest.mark.parametrize("kind", ["clumps", "moving"])
+def test_neighbors_of_all_equal_brute_force(spark, kind):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(140):
+        # A third at one spot, a dense clump, the rest scattered; in the second case one property roams.
+        spot = ((-34.0, 151.0) if i % 3 == 0 else (-34.2 + rng.random() * 1e-7, 151.1 + rng.random() * 1e-7) if i % 3 == 1
+                else (-34 + float(rng.random()), 151 + float(rng.random())))
+        pid = f"p{rng.integers(40)}" if kind == "clumps" or i % 2 else "roamer"
+        rows.append(sale(pid, "2010-01-01", 1.0, latitude=float(spot[0]), longitude=float(spot[1])))
+    sales = sales_of(spark, rows + [sale("off", "2010-01-01", 1.0)])
+    rated = {r["property_id"] for r in rows if r["property_id"] != "p3"}
+    growth_rows = spark.createDataFrame([(p,) for p in sorted(rated)], "property_id string")
+    for k in (2, 5):
+        got = {}
+        for r in neighbors.nearest_sales_of_all(sales, growth_rows, k).collect():
+            got.setdefault(r.property_id, []).append((r.neighbor_rank, r.id))
+        pts = [(i + 1, r["property_id"], r["latitude"], r["longitude"]) for i, r in enumerate(rows)]
+        for pid in {p[1] for p in pts}:
+            _, _, lat, lon = min(p for p in pts if p[1] == pid)
+            near = sorted(((c[2] - lat) * (c[2] - lat) + (c[3] - lon) * (c[3] - lon), c[0]) for c in pts
+                          if c[1] != pid and c[1] in rated)
+            assert sorted(got[pid]) == [(n + 1, i) for n, (_, i) in enumerate(near[:k])], (kind, k, pid)
