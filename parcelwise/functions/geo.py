@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,18 +23,6 @@ def planar_sq(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return dlat * dlat + dlon * dlon
 
 
-def on_sphere(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
-    """Position as a point of the unit sphere."""
-    flat = F.cos(F.radians(lat))
-    return flat * F.cos(F.radians(lon)), flat * F.sin(F.radians(lon)), F.sin(F.radians(lat))
-
-
-def sphere_point(lat: float, lon: float) -> tuple[float, float, float]:
-    """The same for known coordinates."""
-    phi, theta = math.radians(lat), math.radians(lon)
-    return math.cos(phi) * math.cos(theta), math.cos(phi) * math.sin(theta), math.sin(phi)
-
-
 def located(lat: Column, lon: Column) -> Column:
     """Both coordinates present; 0.0 counts as missing."""
     return F.coalesce((lat != 0.0) & (lon != 0.0), F.lit(False))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 
-MAX_INLINE_STATIONS = 500
+MAX_INLINE_STATIONS = 5_000
 BLOCK_STATIONS = 2_000
+CELLS_AT_ONCE = 2_000_000
+STATION_DDL = "struct<station: string, lat: double, lon: double>"
 
 SUBURB = ["suburb"]
 STREET = ["street_name", "suburb"]
@@ -89,33 +93,47 @@ def nearest_sales(sales: DataFrame, growth: DataFrame, property_id: str, k: int,
 def with_nearest_station(df: DataFrame, stations: DataFrame, max_inline: int = MAX_INLINE_STATIONS) -> DataFrame:
     """Add nearest_station and distance_to_station; NULL without coordinates or stations.
 
-    Equal distances go to the station listed first. Up to `max_inline` stations become literals of
-    one expression, so that the search compiles to straight code and no row is shuffled or
-    multiplied; a larger table is searched by blocks instead.
+    Equal distances go to the station listed first. Up to `max_inline` stations travel with an Arrow
+    function that compares whole batches of sales with them, so no row is shuffled or multiplied; a
+    larger table is searched by blocks instead. (As one Column expression the search outgrows what
+    the JVM compiles: 31 s against 0.6 s for 600,000 sales and 181 stations.)
     """
     listed = stations.select("idx", "station", "latitude", "longitude").limit(max_inline + 1).collect()
     if len(listed) > max_inline:
         return _nearest_station_blocks(df, stations, BLOCK_STATIONS)
-    listed.sort(key=lambda s: s.idx)
-    # Chord lengths between points of the unit sphere order stations as the distance does, at the
-    # cost of a few multiplications; the distance itself is computed for the nearest one only.
-    position = dict(zip(("_x", "_y", "_z"), geo.on_sphere(F.col("latitude"), F.col("longitude"))))
-    chords = F.array(*[
-        sum((F.col(axis) - value) * (F.col(axis) - value)
-            for axis, value in zip(position, geo.sphere_point(s.latitude, s.longitude)))
-        for s in listed]).cast("array<double>")
-    station = F.array(*[F.struct(F.lit(s.station).alias("station"), F.lit(s.latitude).alias("lat"),
-                                 F.lit(s.longitude).alias("lon")) for s in listed])
-    found = F.get(station, F.array_position("_chords", F.array_min("_chords")).cast("int") - 1)
-    located = geo.located(F.col("latitude"), F.col("longitude"))
-    if not listed:
-        found = F.lit(None).cast("struct<station: string, lat: double, lon: double>")
-    return (df.withColumns(position).withColumn("_chords", chords)
-            .withColumn("_found", F.when(located, found))
+    lat, lon = F.col("latitude"), F.col("longitude")
+    found = F.lit(None).cast(STATION_DDL)
+    if listed:
+        found = F.when(geo.located(lat, lon), _station_finder(sorted(listed, key=lambda s: s.idx))(lat, lon))
+    return (df.withColumn("_found", found)
             .withColumns({"nearest_station": F.col("_found.station"),
-                          "distance_to_station": geo.haversine_km(F.col("latitude"), F.col("longitude"),
-                                                                  F.col("_found.lat"), F.col("_found.lon"))})
-            .drop(*position, "_chords", "_found"))
+                          "distance_to_station": geo.haversine_km(lat, lon, F.col("_found.lat"), F.col("_found.lon"))})
+            .drop("_found"))
+
+
+def _station_finder(listed: list):
+    """Nearest station of each position. Chord lengths between points of the unit sphere order
+    stations as the distance does, at the cost of a few multiplications."""
+    names = np.array([s.station for s in listed], dtype=object)
+    lats, lons = (np.array([s[c] for s in listed], dtype=float) for c in ("latitude", "longitude"))
+    points = _on_sphere(lats, lons)
+
+    @F.pandas_udf(STATION_DDL)
+    def find(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
+        here = _on_sphere(lat.to_numpy(dtype=float), lon.to_numpy(dtype=float))
+        step = max(1, CELLS_AT_ONCE // len(names))
+        nearest = np.empty(len(lat), dtype=int)
+        for start in range(0, len(lat), step):
+            rows = slice(start, start + step)
+            nearest[rows] = sum((p[rows, None] - q) ** 2 for p, q in zip(here, points)).argmin(axis=1)
+        return pd.DataFrame({"station": names[nearest], "lat": lats[nearest], "lon": lons[nearest]})
+
+    return find
+
+
+def _on_sphere(lat: np.ndarray, lon: np.ndarray) -> list[np.ndarray]:
+    lat, lon = np.radians(lat), np.radians(lon)
+    return [np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)]
 
 
 def _closest(stations: Column, lat: Column, lon: Column) -> Column:
