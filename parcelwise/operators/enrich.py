@@ -30,6 +30,11 @@ def coordinates_pending(sales: DataFrame) -> DataFrame:
     return sales.filter("latitude IS NULL")
 
 
+def pending_slice(pending: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A run of pending sales in id order, for working off a backlog in portions."""
+    return pending.orderBy("id").offset(offset).limit(limit)
+
+
 def by_ids(sales: DataFrame, ids: list[int]) -> DataFrame:
     """Requested sales that lack a latitude (0.0 counts as lacking); at most 20 ids per request."""
     if len(ids) > ID_LIMIT:

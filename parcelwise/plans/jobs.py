@@ -46,21 +46,28 @@ def build_growth(spark: SparkSession, root: str, start_year: int = growth.START_
     stored(growth.with_top_flag(stored(growth.rated_suburbs(sales, cube), "rated_suburbs")), "suburb_summary")
 
 
-def geocode_sales(spark: SparkSession, root: str, gazetteer: DataFrame, ids: list[int] | None = None) -> DataFrame:
-    """Fill coordinates of all sales that lack them, or of the requested ones; returns the counts."""
+def geocode_sales(spark: SparkSession, root: str, gazetteer: DataFrame, ids: list[int] | None = None,
+                  limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Fill coordinates of all sales that lack them, of the requested ones, or of a slice; returns the counts."""
     sales = read_table(spark, root, "sales")
     place = [F.col("property_house_number"), F.col("property_street_name"), F.col("property_locality")]
     if ids is None:
         pending, address = enrich.coordinates_pending(sales), text.postal_address(*place, F.col("property_post_code"))
     else:
         pending, address = enrich.by_ids(sales, ids), text.local_address(*place)
+    if limit is not None:
+        pending = enrich.pending_slice(pending, limit, offset)
     return _update(spark, root, sales, enrich.geocoded(pending, gazetteer, address), ["latitude", "longitude"])
 
 
-def check_listings(spark: SparkSession, root: str, cards: DataFrame, checked_at: datetime) -> DataFrame:
-    """Look up listings of all sales never checked; returns the counts."""
+def check_listings(spark: SparkSession, root: str, cards: DataFrame, checked_at: datetime,
+                   limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Look up listings of all sales never checked, or of a slice of them; returns the counts."""
     sales = read_table(spark, root, "sales")
-    updates = enrich.listing_updates(enrich.listings_unchecked(sales), cards, checked_at)
+    pending = enrich.listings_unchecked(sales)
+    if limit is not None:
+        pending = enrich.pending_slice(pending, limit, offset)
+    updates = enrich.listing_updates(pending, cards, checked_at)
     return _update(spark, root, sales, updates, ["realestate_url", "domain_url", "listings_last_checked"])
 
 

@@ -43,7 +43,9 @@ def archive_lines(files: DataFrame) -> DataFrame:
     """Every text line with its place in the archives; what could not be read has an error and no
     line. Only .dat members of inner ZIPs count, names in any case."""
     inner = files.mapInPandas(_inner_zips, INNER_SCHEMA)
-    return inner.repartition("path", "inner_no").mapInPandas(_member_lines, LINE_SCHEMA)
+    # A given number of partitions is not merged again at run time: packed bytes are few, work is not.
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return inner.repartition(tasks, "path", "inner_no").mapInPandas(_member_lines, LINE_SCHEMA)
 
 
 def bad_files(lines: DataFrame) -> DataFrame:

@@ -19,22 +19,36 @@ MARKUP = {
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
-def extract_cards(pages: DataFrame) -> DataFrame:
+def extract_cards(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Cards of pages (page_url, portal, html) in page order; address and link are those of the first
-    matching element inside the card, NULL where there is none."""
-    return pages.select("page_url", "portal", "html").mapInPandas(_cards, PAGE_CARDS_SCHEMA)
-
-
-def _cards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for url, portal, html in batch.itertuples(index=False):
-            if portal in MARKUP and html:
-                reader = _CardReader(*MARKUP[portal])
-                reader.feed(html)
-                reader.close()
-                rows += [(url, portal, i, c["address"], c["href"]) for i, c in enumerate(reader.cards)]
-        yield pd.DataFrame(rows, columns=["page_url", "portal", "position", "card_address", "href"])
+    matching element inside the card, NULL where there is none. Columns of the page named in `keep`
+    come along."""
+    keep = keep or []
+    schema = ", ".join([PAGE_CARDS_SCHEMA, *[f"{c} {t}" for c, t in pages.select(*keep).dtypes]])
+
+    def cards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for url, portal, html, *kept in batch.itertuples(index=False):
+                rows += [(url, portal, i, c["address"], c["href"], *kept) for i, c in enumerate(_read(portal, html))]
+            yield pd.DataFrame(rows, columns=["page_url", "portal", "position", "card_address", "href", *keep])
+
+    return pages.select("page_url", "portal", "html", *keep).mapInPandas(cards, schema)
+
+
+def search_cards(pages: DataFrame) -> DataFrame:
+    """Cards of search pages that know their suburb and postcode, ready for the listing match."""
+    return extract_cards(pages, ["suburb_slug", "post_code"]).select(
+        "portal", "suburb_slug", "post_code", "position", "card_address", "href")
+
+
+def _read(portal: str, html: str | None) -> list[dict]:
+    if portal not in MARKUP or not html:
+        return []
+    reader = _CardReader(*MARKUP[portal])
+    reader.feed(html)
+    reader.close()
+    return reader.cards
 
 
 class _CardReader(HTMLParser):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parcelwise.plans import jobs
 from parcelwise.schemas import CARDS_DDL, GAZETTEER_DDL
 from parcelwise.sources import archive, stations, tables
-from parcelwise.sources.listings import extract_cards
+from parcelwise.sources.listings import extract_cards, search_cards
 from parcelwise.sources.records import parse_records
 from parcelwise.streaming.drops import ingest_drops
 
@@ -107,6 +107,8 @@ def test_cards(spark):
                                   "page_url string, portal string, html string")
     assert sorted(map(tuple, extract_cards(pages).collect())) == [
         ("u", "rea", 0, "1 A & B", "/yes"), ("u", "rea", 1, None, None)]
+    known = pages.selectExpr("*", "'potts+point' as suburb_slug", "2000 as post_code")
+    assert ("rea", "potts+point", 2000, 0, "1 A & B", "/yes") in set(map(tuple, search_cards(known).collect()))
 
 
 def test_jobs(spark, tmp_path):
@@ -121,7 +123,8 @@ def test_jobs(spark, tmp_path):
     assert tables.read_table(spark, root, "street_summary").first().is_top_performer == 1
 
     gazetteer = spark.createDataFrame([("1 kent st, sydney nsw 2000", -33.9, 151.2)], GAZETTEER_DDL)
-    assert jobs.geocode_sales(spark, root, gazetteer).first() == (5, 5)
+    assert jobs.geocode_sales(spark, root, gazetteer, limit=2, offset=1).first() == (2, 2)
+    assert jobs.geocode_sales(spark, root, gazetteer).first() == (3, 3)
     cards = spark.createDataFrame([("rea", "sydney", 2000, 1, "1 KENT ST", "/a")], CARDS_DDL)
     assert jobs.check_listings(spark, root, cards, datetime(2024, 1, 1)).first() == (5, 5)
     assert jobs.refresh_listings(spark, root, cards.limit(0), datetime(2024, 1, 5)).first() == (0, 0)
