@@ -75,11 +75,17 @@ class Market:
         return reads.street_centroids(self.sales)
 
 
-def rounded(df: DataFrame, places: int = 6, **columns: int) -> DataFrame:
-    """Round every double, so that the order of summation does not show."""
-    return df.select(*[
-        F.round(F.col(name), columns.get(name, places)).alias(name) if kind == "double" else F.col(name)
-        for name, kind in df.dtypes])
+def rounded(df: DataFrame, **columns: int) -> DataFrame:
+    """Round every double, so that the order of summation does not show. Means of short decimals
+    would often lie on the edge between two roundings; those columns (`columns`) are moved off it."""
+    def cell(name: str, kind: str):
+        if kind != "double":
+            return F.col(name)
+        if name not in columns:
+            return F.round(name, 6).alias(name)
+        return F.round(F.col(name) + float(f"1.3141592e-{columns[name] + 1}"), columns[name]).alias(name)
+
+    return df.select(*[cell(name, kind) for name, kind in df.dtypes])
 
 
 SALE_PRICE = {"avg_price": 3}
@@ -226,7 +232,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "neighbor_streets": lambda m: rounded(reads.neighbor_streets(m.street_centroids, m.street_summary, STREET, SUBURB),
                                           **PLACE),
     "neighbor_properties": lambda m: rounded(reads.neighbor_properties(m.sales, m.growth, PROPERTY), **PLACE),
-    "neighbor_properties_all": lambda m: rounded(nearest_sales_of_all(m.sales, m.growth), dist=12),
+    "neighbor_properties_all": lambda m: nearest_sales_of_all(m.sales, m.growth),
     "unified_map_suburb": lambda m: rounded(reads.unified_map_suburbs(
         m.suburb_growth, m.suburb_centroids, m.suburb_summary, YEAR), **PLACE),
     "unified_map_street": lambda m: rounded(reads.unified_map_streets(

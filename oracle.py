@@ -118,7 +118,7 @@ closest as (
 SALE_COLUMNS = """id, district_code, property_id, property_name, property_unit_number, property_house_number,
  property_street_name, property_locality, property_post_code, area, area_type, contract_date, settlement_date,
  round(purchase_price, 6) as purchase_price, zoning, nature_of_property, primary_purpose,
- round(latitude, 8) as latitude, round(longitude, 8) as longitude, round(cagr, 6) as cagr,
+ round(latitude + 1.3141592e-9, 8) as latitude, round(longitude + 1.3141592e-9, 8) as longitude, round(cagr, 6) as cagr,
  round(total_growth, 6) as total_growth, round(years_held, 6) as years_held, nearest_station,
  round(distance_to_station, 6) as distance_to_station, realestate_url, domain_url"""
 
@@ -148,7 +148,7 @@ def history(property_id: str) -> str:
             + f" select sale_number, {SALE_COLUMNS} from history left join closest using (id)")
 
 
-MONTHLY = """ select strftime(contract_date, '%Y-%m') as month, round(avg(purchase_price), 3) as avg_price,
+MONTHLY = """ select strftime(contract_date, '%Y-%m') as month, round(avg(purchase_price) + 1.3141592e-4, 3) as avg_price,
  count(id) as count from sales where contract_date is not null {and_} group by 1"""
 
 ACTIVE = """ select {select} from sales where year(contract_date) = 2018 {and_}"""
@@ -172,13 +172,13 @@ leaders as (
 targets as (select l.rank, l.suburb, p.lat, p.lon, l.avg_cagr from leaders l join suburb_points p on l.suburb = p.suburb),
 near as (
   select t.rank, p.suburb, p.lat, p.lon, row_number() over (partition by t.rank
-    order by (p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon), p.suburb) as neighbor_rank
+    order by floor(((p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon)) * 1e12 + 0.314e0), p.suburb) as neighbor_rank
   from targets t join suburb_points p on p.suburb <> t.suburb qualify neighbor_rank <= 5),
 rated as (select n.*, s.avg_cagr from near n join suburb_summary s on n.suburb = s.suburb),
 map_rows as (
-  select t.rank, t.suburb as id, t.suburb as name, round(t.lat, 8) as lat, round(t.lon, 8) as lon,
-   round(t.avg_cagr, 6) as cagr, r.neighbor_rank, r.suburb as neighbor_name, round(r.lat, 8) as neighbor_lat,
-   round(r.lon, 8) as neighbor_lon, round(r.avg_cagr, 6) as neighbor_cagr
+  select t.rank, t.suburb as id, t.suburb as name, round(t.lat + 1.3141592e-9, 8) as lat, round(t.lon + 1.3141592e-9, 8) as lon,
+   round(t.avg_cagr, 6) as cagr, r.neighbor_rank, r.suburb as neighbor_name, round(r.lat + 1.3141592e-9, 8) as neighbor_lat,
+   round(r.lon + 1.3141592e-9, 8) as neighbor_lon, round(r.avg_cagr, 6) as neighbor_cagr
   from targets t left join rated r on t.rank = r.rank)"""
 
 MAP_STREETS = """
@@ -190,16 +190,16 @@ targets as (
   from leaders l join street_points p on l.suburb = p.suburb and l.street_name = p.street_name),
 near as (
   select t.rank, p.street_name, p.suburb, p.lat, p.lon, row_number() over (partition by t.rank
-    order by (p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon), p.suburb, p.street_name) as neighbor_rank
+    order by floor(((p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon)) * 1e12 + 0.314e0), p.suburb, p.street_name) as neighbor_rank
   from targets t join street_points p on p.suburb <> t.suburb or p.street_name <> t.street_name
   qualify neighbor_rank <= 5),
 rated as (
   select n.*, s.avg_cagr from near n join street_first s on n.suburb = s.suburb and n.street_name = s.street_name),
 map_rows as (
   select t.rank, t.street_name || '_' || t.suburb as id, t.street_name || ', ' || t.suburb as name,
-   round(t.lat, 8) as lat, round(t.lon, 8) as lon, round(t.avg_cagr, 6) as cagr, r.neighbor_rank,
-   r.street_name || ', ' || r.suburb as neighbor_name, round(r.lat, 8) as neighbor_lat,
-   round(r.lon, 8) as neighbor_lon, round(r.avg_cagr, 6) as neighbor_cagr
+   round(t.lat + 1.3141592e-9, 8) as lat, round(t.lon + 1.3141592e-9, 8) as lon, round(t.avg_cagr, 6) as cagr, r.neighbor_rank,
+   r.street_name || ', ' || r.suburb as neighbor_name, round(r.lat + 1.3141592e-9, 8) as neighbor_lat,
+   round(r.lon + 1.3141592e-9, 8) as neighbor_lon, round(r.avg_cagr, 6) as neighbor_cagr
   from targets t left join rated r on t.rank = r.rank)"""
 
 LATEST = """
@@ -252,7 +252,7 @@ ORACLE_SQL = {
     "monthly_price_range": with_(INPUTS) + MONTHLY.format(
         and_="and contract_date >= date '2016-03-10' and contract_date <= date '2018-11-20'"),
     "top_suburbs": with_(INPUTS) + """ select property_locality as suburb, count(id) as count,
-        round(avg(purchase_price), 3) as avg_price from sales
+        round(avg(purchase_price) + 1.3141592e-4, 3) as avg_price from sales
         where contract_date >= date '2016-01-01' and contract_date <= date '2018-12-31'
         group by 1 order by 2 desc, 1 limit 10""",
     "property_history": history("100-18"),
@@ -329,29 +329,29 @@ ORACLE_SQL = {
         greatest(5e0, least(100e0, purchase_price / 1e6 * 800e0)) as bar
         from (select id, floor(purchase_price) as p, purchase_price from sales where purchase_price is not null)""",
 
-    "suburb_centroids": with_(INPUTS, GROWTH, SPACE) + """ select suburb, round(lat, 8) as lat, round(lon, 8) as lon
+    "suburb_centroids": with_(INPUTS, GROWTH, SPACE) + """ select suburb, round(lat + 1.3141592e-9, 8) as lat, round(lon + 1.3141592e-9, 8) as lon
         from suburb_points""",
-    "street_centroids": with_(INPUTS, GROWTH, SPACE) + """ select street_name, suburb, round(lat, 8) as lat,
-        round(lon, 8) as lon from street_points""",
+    "street_centroids": with_(INPUTS, GROWTH, SPACE) + """ select street_name, suburb, round(lat + 1.3141592e-9, 8) as lat,
+        round(lon + 1.3141592e-9, 8) as lon from street_points""",
     "neighbor_suburbs": with_(INPUTS, GROWTH, SPACE, """
-        near as (select p.*, (p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon) as dist
+        near as (select p.*, floor(((p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon)) * 1e12 + 0.314e0) as dist
           from suburb_points p, suburb_points t where t.suburb = 'Brand#12' and p.suburb <> 'Brand#12'
           order by dist, p.suburb limit 10)""") + """
-        select suburb, round(lat, 8) as latitude, round(lon, 8) as longitude, round(avg_cagr, 6) as avg_cagr,
+        select suburb, round(lat + 1.3141592e-9, 8) as latitude, round(lon + 1.3141592e-9, 8) as longitude, round(avg_cagr, 6) as avg_cagr,
          total_sales, unique_properties from near join suburb_summary using (suburb)""",
     "neighbor_streets": with_(INPUTS, GROWTH, SPACE, """
-        near as (select p.*, (p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon) as dist
+        near as (select p.*, floor(((p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon)) * 1e12 + 0.314e0) as dist
           from street_points p, street_points t where t.suburb = 'Brand#12' and t.street_name = 'red plate'
            and (p.suburb <> 'Brand#12' or p.street_name <> 'red plate')
           order by dist, p.suburb, p.street_name limit 20)""") + """
-        select street_name, suburb, round(lat, 8) as latitude, round(lon, 8) as longitude,
+        select street_name, suburb, round(lat + 1.3141592e-9, 8) as latitude, round(lon + 1.3141592e-9, 8) as longitude,
          round(avg_cagr, 6) as avg_cagr, total_sales from near join street_first using (street_name, suburb)
         order by dist, suburb, street_name limit 15""",
     "neighbor_properties": with_(INPUTS, GROWTH, """
         target as (select latitude, longitude from sales where property_id = '100-18' and latitude is not null
           order by id limit 1)""") + """
         select s.id, s.property_id, property_house_number || ' ' || property_street_name as address,
-         property_locality as suburb, round(s.latitude, 8) as latitude, round(s.longitude, 8) as longitude,
+         property_locality as suburb, round(s.latitude + 1.3141592e-9, 8) as latitude, round(s.longitude + 1.3141592e-9, 8) as longitude,
          round(cagr, 6) as avg_cagr, round(purchase_price, 6) as last_price
         from sales s join pg on s.property_id = pg.property_id, target t
         where s.property_id <> '100-18' and s.latitude is not null
@@ -374,7 +374,7 @@ ORACLE_SQL = {
            row_number() over (partition by n.tlat, n.tlon order by n.dist, c.id) as r
           from near n join cand c on n.lat = c.lat and n.lon = c.lon qualify r <= (select rows from most))""") + """
         select t.property_id, row_number() over (partition by t.property_id order by l.dist, l.id) as neighbor_rank,
-         l.id, l.neighbor_property_id, round(l.dist, 12) as dist
+         l.id, l.neighbor_property_id, l.dist
         from tgt t join lists l on t.lat = l.tlat and t.lon = l.tlon and l.neighbor_property_id <> t.property_id
         qualify neighbor_rank <= 20""",
     "unified_map_suburb": with_(INPUTS, GROWTH, SPACE, MAP_SUBURBS) + " select * from map_rows",
@@ -406,11 +406,11 @@ ORACLE_SQL = {
 
     "pending_enrich": with_(INPUTS) + """ select id, 'geocoding' as kind from sales where latitude is null
         union all select id, 'listings' from sales where listings_last_checked is null""",
-    "geocode_join": with_(INPUTS) + """ select id, round(g.latitude, 8) as latitude, round(g.longitude, 8) as longitude
+    "geocode_join": with_(INPUTS) + """ select id, round(g.latitude + 1.3141592e-9, 8) as latitude, round(g.longitude + 1.3141592e-9, 8) as longitude
         from sales s left join gazetteer g on nth = 1 and addr_key = lower(property_street_name || ', ' || property_locality)
         where s.latitude is null""",
-    "coordinates_updated": with_(INPUTS) + """ select id, round(coalesce(s.latitude, g.latitude), 8) as latitude,
-        round(coalesce(s.longitude, g.longitude), 8) as longitude
+    "coordinates_updated": with_(INPUTS) + """ select id, round(coalesce(s.latitude, g.latitude) + 1.3141592e-9, 8) as latitude,
+        round(coalesce(s.longitude, g.longitude) + 1.3141592e-9, 8) as longitude
         from sales s left join gazetteer g on nth = 1 and addr_key = lower(property_street_name || ', ' || property_locality)""",
     "enrich_callback": with_(INPUTS) + """ select count(*) as processed,
         count(*) filter (property_house_number not in ('6', '7')) as updated,
@@ -435,6 +435,6 @@ ORACLE_SQL = {
          suburb as top_suburb, round(avg_cagr * 100, 2) as top_avg_cagr_pct, unique_properties as top_properties,
          total_sales as top_sales from best""",
     "coordinate_sample": with_(INPUTS) + """ select id, property_house_number, property_street_name, property_locality,
-        round(latitude, 8) as latitude, round(longitude, 8) as longitude from sales where latitude is not null
+        round(latitude + 1.3141592e-9, 8) as latitude, round(longitude + 1.3141592e-9, 8) as longitude from sales where latitude is not null
         order by id limit 5""",
 }

@@ -23,6 +23,13 @@ def planar_sq(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return dlat * dlat + dlon * dlon
 
 
+def nearness(dist: Column) -> Column:
+    """Order of squared distances between means: whole steps of 1e-12, so that the order in which a
+    mean was summed up does not decide between places equally far. The offset keeps round numbers
+    clear of the edge of a step."""
+    return F.floor(dist * 1e12 + 0.314)
+
+
 def located(lat: Column, lon: Column) -> Column:
     """Both coordinates present; 0.0 counts as missing."""
     return F.coalesce((lat != 0.0) & (lon != 0.0), F.lit(False))

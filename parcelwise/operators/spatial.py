@@ -44,7 +44,8 @@ def nearest_entities(points: DataFrame, keys: list[str], values: list[str], k: i
     return (points.filter(differs(keys, named))
             .withColumn("t", target)
             .filter("t.lat <> 0.0")
-            .withColumn("dist", geo.planar_sq(F.col("lat"), F.col("lon"), F.col("t.lat"), F.col("t.lon")))
+            .withColumn("dist", geo.nearness(
+                geo.planar_sq(F.col("lat"), F.col("lon"), F.col("t.lat"), F.col("t.lon"))))
             .drop("t")
             .orderBy(F.col("dist").asc_nulls_first(), *reversed(keys)).limit(k))
 
@@ -61,8 +62,8 @@ def nearest_to_targets(points: DataFrame, targets: DataFrame, keys: list[str], k
         *[F.col(key).alias(name) for key, name in named.items()]))).scalar()
     pairs = (points.select("*", F.inline(listed))
              .filter(differs(keys, [F.col(name) for name in named.values()]))
-             .withColumn("dist", geo.planar_sq(F.col("lat"), F.col("lon"),
-                                               F.col("target_lat"), F.col("target_lon"))))
+             .withColumn("dist", geo.nearness(
+                 geo.planar_sq(F.col("lat"), F.col("lon"), F.col("target_lat"), F.col("target_lon")))))
     order = Window.partitionBy("rank").orderBy(F.col("dist").asc_nulls_first(), *reversed(keys))
     return (pairs.withColumn("neighbor_rank", F.row_number().over(order))
             .filter(F.col("neighbor_rank") <= k)

@@ -27,7 +27,7 @@ def canonical(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     def cell(v):
         if isinstance(v, float):
-            return "nan" if math.isnan(v) else f"{v + 0.0:.10g}"
+            return "nan" if math.isnan(v) else repr(v)
         return str(int(v)) if isinstance(v, bool) else str(v)
     return [names[i] for i in order], sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
