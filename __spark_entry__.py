@@ -19,6 +19,14 @@ from parcelwise.plans import checks, reads
 from parcelwise.sources.listings import extract_cards
 from parcelwise.sources.records import parse_records
 
+try:
+    import corpus_pipeline
+    from parcelwise.llm import registry as llm
+except ModuleNotFoundError as missing:  # only where the training-data operators were taken out
+    if missing.name not in ("corpus_pipeline", "parcelwise.llm"):
+        raise
+    llm = None
+
 YEAR = 2018
 SUBURB = "Brand#12"
 STREET = "red plate"
@@ -273,8 +281,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(query):
         return lambda spark, sf_dir: query(Market(spark, sf_dir))
 
-    return {name: bind(query) for name, query in QUERIES.items()}
+    own = {name: bind(query) for name, query in QUERIES.items()}
+    return own if llm is None else own | llm.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    if llm is None:
+        return dict(ORACLE_SQL)
+    staged = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return ORACLE_SQL | llm.ORACLE_SQL | staged
