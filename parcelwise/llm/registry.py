@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import chat, mixing, packing, simhash
+from parcelwise.llm import chat, mixing, packing, secrets, simhash
 
 #: Weights of sources in code-point order, in turn.
 WEIGHTS = [5, 2, 1]
@@ -53,6 +53,22 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def split_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.secret_spans(F.col("text"), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
+    found = table(spark, sf_dir, "documents").select("doc_id", spans.alias("spans"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *map(number, secrets.KINDS), F.sha2(told(base), 256).alias("base_sha256"),
+                        told(F.col("spans")).alias("spans"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, MAX_EPOCHS)
     return mixed.select("doc_id", "size", "source_size", "target", "copies", "part", "taken")
@@ -62,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
     "op4_simhash": op4_simhash,
+    "op6_secrets": op6_secrets,
     "op9_mixing": op9_mixing,
 }
 
