@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import chat, mixing, packing, secrets, simhash
+from parcelwise.llm import chat, lm, mixing, packing, secrets, simhash
+from parcelwise.llm.shared import fold
 
 #: Weights of sources in code-point order, in turn.
 WEIGHTS = [5, 2, 1]
@@ -69,6 +70,13 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         told(F.col("spans")).alias("spans"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id")) == 1
+    scored = lm.score(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+                         "perplexity")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, MAX_EPOCHS)
     return mixed.select("doc_id", "size", "source_size", "target", "copies", "part", "taken")
@@ -79,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op4_simhash": op4_simhash,
     "op6_secrets": op6_secrets,
+    "op7_lm": op7_lm,
     "op9_mixing": op9_mixing,
 }
 
