@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import chat, lm, mixing, packing, secrets, simhash
+from parcelwise.llm import chat, lm, mixing, packing, rules, secrets, simhash
 from parcelwise.llm.shared import fold
 
 #: Weights of sources in code-point order, in turn.
@@ -77,6 +77,10 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "perplexity")
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).drop("lang")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, MAX_EPOCHS)
     return mixed.select("doc_id", "size", "source_size", "target", "copies", "part", "taken")
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op6_secrets": op6_secrets,
     "op7_lm": op7_lm,
+    "op8_rules": op8_rules,
     "op9_mixing": op9_mixing,
 }
 
