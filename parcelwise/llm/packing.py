@@ -14,112 +14,161 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parcelwise.llm.shared import settled, text_column
+from parcelwise.llm.shared import byte_view, settled, slices, text_column
+from parcelwise.llm.words import CHUNK, SPACE, hashes
 
 PIECES = "row long, doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
-#: Chunks of text whose ids a worker remembers, and the longest that it does.
-REMEMBERED, MEMO_CHARS = 800_000, 48
+#: Different stretches of text whose ids a worker remembers.
+REMEMBERED = 2_000_000
 #: Rows that are ranked in one task.
-RANKED = 50_000
-#: Fixed value: white space as the vocabulary's own splitting has it.
-SPACE = "\t-\r \x85\xa0  -     　"
-#: A word with the blank before it, or white space up to that blank: no merge crosses these borders.
-CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Without this, the borders are just those before a blank and around a line feed.
-WIDE = re.compile(rf"[{SPACE}][{SPACE}]")
-
-
-@lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    tokenizer.no_truncation()
-    return tokenizer, {}, {}
-
-
-def _learn(memo: dict[str, bytes], new: set[str], lead: str, tokenizer) -> None:
-    """Puts the ids of `lead` + chunk into `memo`."""
-    new = list(new - memo.keys())
-    for at in range(0, len(new), 4096):
-        some = new[at:at + 4096]
-        coded = tokenizer.encode_batch_fast([lead + c for c in some], add_special_tokens=False)
-        memo.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, coded))
-
-
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Each text's token ids, little-endian and four bytes each. Ids of short chunks are remembered by the worker."""
-    tokenizer, chunks, words = _tokenizer(path)  # `words`: by the word after a blank
-    for memo in (chunks, words):
-        if len(memo) > REMEMBERED:
-            memo.clear()
-    split = [CHUNK.findall(t) if WIDE.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-    heads, rests = {"\n"}, set()
-    for parts in split:
-        if parts and isinstance(parts[0], list):
-            heads.update(line[0] for line in parts)
-            for line in parts:
-                rests.update(line[1:])
-        else:
-            heads.update(parts)
-    _learn(chunks, heads, "", tokenizer)
-    _learn(words, rests, " ", tokenizer)
-    out = []
-    for parts in split:
-        if parts and isinstance(parts[0], list):
-            lines = (chunks[line[0]] + b"".join(map(words.__getitem__, line[1:])) for line in parts)
-            out.append(chunks["\n"].join(lines))
-        else:
-            out.append(b"".join(map(chunks.__getitem__, parts)))
-    for memo, seen in ((chunks, heads), (words, rests)):
-        for chunk in [c for c in seen if len(c) > MEMO_CHARS]:
-            del memo[chunk]
-    return out
-
-
-def _grouped(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Texts in lists of about a million characters, in order."""
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t)
-        if size >= most:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
-def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
+RANKED = 10_000
+#: The marks that the vocabulary's own splitting always parts from a letter before them.
+MARKS = np.isin(np.arange(256), list(b".,!?;:"))
+LETTERS = np.isin(np.arange(256), [*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)])
+#: White space beyond ASCII; texts with it are left to the library whole.
+WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+WIDE_LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+
+
+class Stretches:
+    """Token ids of stretches of text between borders that no merge crosses, learnt from the library once per stretch.
+
+    The ids of a text are those of its stretches in order; a worker looks up millions of stretches in sorted arrays."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.no_truncation()
+        self.feed = self.encoded("\n")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, np.uint32)
+
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Plain stretches are encoded together, a line each: a line feed parts them and is one id that none of them has."""
+        plain = np.array([not (t.isspace() or "\n" in t) for t in texts], bool)
+        ids = self.encoded("\n".join(t for t, p in zip(texts, plain) if p))
+        feeds = np.flatnonzero(ids == self.feed[0])
+        first, past = np.r_[0, feeds + 1], np.r_[feeds, len(ids)]
+        assert len(self.feed) == 1 and (not plain.any() or len(first) == plain.sum())
+        other = [self.encoded(t) for t, p in zip(texts, plain) if not p]
+        at, size = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        at[plain], size[plain] = (first, past - first) if plain.any() else (0, 0)
+        size[~plain] = [len(o) for o in other]
+        at[~plain] = len(ids) + np.cumsum(size[~plain]) - size[~plain]
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys)
+        self.keys, self.at = keys[order], np.concatenate([self.at, at + len(self.pool)])[order]
+        self.size, self.pool = np.concatenate([self.size, size])[order], np.concatenate([self.pool, ids, *other])
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all stretches in order, and how many each has."""
+        own, first, place = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > REMEMBERED:
+            self._forget()
+        new = own[~np.isin(own, self.keys, assume_unique=True)]
+        if len(new):
+            which = first[np.searchsorted(own, new)]
+            self._learn(new, [data[a:b].tobytes().decode() for a, b in zip(starts[which], ends[which])])
+        known = np.searchsorted(self.keys, own)
+        at, size = self.at[known][place], self.size[known][place]
+        passed = np.cumsum(size) - size
+        return self.pool[np.repeat(at - passed, size) + np.arange(size.sum())], size
+
+
+_stretches = lru_cache(maxsize=1)(Stretches)
+
+
+def borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where stretches of texts begin: at white space, at its last character before a word (a blank goes with the word), after
+    that character if it is no blank, and at marks after a letter."""
+    n = len(data)
+    blank = SPACE[data]
+    before, after = np.zeros(n, bool), np.ones(n, bool)
+    before[1:], after[:-1] = blank[:-1], blank[1:]
+    opening = offsets[:-1][offsets[:-1] < n]
+    closing = offsets[1:][offsets[1:] > 0] - 1
+    before[opening], after[closing] = False, True
+    begin = blank & (~before | ~after)
+    begin[1:] |= ~blank[1:] & before[1:] & (data[:-1] != 0x20)
+    begin[1:] |= MARKS[data[1:]] & LETTERS[data[:-1]]
+    begin[opening] = True
+    return np.flatnonzero(begin)
+
+
+def _cuts(data: np.ndarray, most: int) -> list[int]:
+    """Where a long text can be cut: before white space that follows a plain character."""
+    cuts = [0]
+    while len(data) - cuts[-1] > most:
+        at = cuts[-1] + most
+        while at < len(data):
+            here = data[at - 1:at + most]
+            found = np.flatnonzero(SPACE[here[1:]] & ~SPACE[here[:-1]] & (here[:-1] < 0x80))
+            if len(found):
+                at += int(found[0])
+                break
+            at += most
+        if at >= len(data):
+            break
+        cuts.append(at)
+    return [*cuts, len(data)]
+
+
+def token_ids(texts: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
+    """Each text's ids and `end_id`."""
+    stretches = _stretches(path)
+    data, offsets = byte_view(texts)
+    for a, b in slices(offsets, CHUNK):
+        part, own = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+        lead = np.flatnonzero(WIDE_LEADS[part])
+        wide = set((np.searchsorted(own, lead, "right") - 1).tolist()) if len(lead) else set()
+        wide = {i for i in wide if WIDE.search(part[own[i]:own[i + 1]].tobytes().decode())}
+        if wide or len(part) > CHUNK:
+            for i in range(b - a):
+                text, ids = part[own[i]:own[i + 1]], []
+                cuts = _cuts(text, CHUNK)
+                for x, y in zip(cuts, cuts[1:]):
+                    piece = text[x:y]
+                    starts = np.empty(0, np.int64) if i in wide or x == y else borders(piece, np.array([0, y - x]))
+                    ids.append(stretches.encoded(piece.tobytes().decode()) if i in wide else
+                               stretches(piece, starts, np.r_[starts[1:], y - x][:len(starts)])[0])
+                yield np.concatenate([*ids, np.array([end_id], np.uint32)])
+            continue
+        starts = borders(part, own)
+        ids, size = stretches(part, starts, np.r_[starts[1:], len(part)][:len(starts)])
+        text = np.searchsorted(own, starts, "right") - 1
+        lengths = np.bincount(text, size, len(own) - 1).astype(np.int64)
+        yield from (np.append(x, np.uint32(end_id)) for x in np.split(ids, np.cumsum(lengths)[:-1]))
+
+
+def pieces_of(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of a document's ids; only a longer one is cut, its first piece is the shorter."""
-    n = len(ids) // 4
-    cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+    ids = ids.astype("<u4")
+    cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
     for k, (start, end) in enumerate(zip(cuts, cuts[1:])):
-        yield k, start, end - start, zlib.crc32(ids[4 * start:4 * end])
+        yield k, start, end - start, zlib.crc32(ids[start:end])
 
 
 def tokenized(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One row per piece of every row of `df`; `row` tells equal ids apart."""
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+
     def cut(batches):
         for batch in batches:
-            texts = text_column(batch)
-            rows, ids = batch.column(0), batch.column(1)
-            at = 0
-            while at < len(texts):
-                # A slice of the batch at a time, so that no more than a few texts are Python strings at once.
-                some = texts.slice(at, 256).to_pylist()
-                found, place = [], at
-                for group in _grouped(some):
-                    for coded in token_bytes(group, tokenizer):
-                        found += [(place, *p) for p in pieces_of(coded + np.uint32(end_id).tobytes(), capacity)]
-                        place += 1
-                take = pa.array([f[0] for f in found], pa.int64())
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.take(take), ids.take(take), *[pa.array([f[i + 1] for f in found], k) for i, k in enumerate(kinds)]],
-                    names=["row", "doc_id", "piece", "start", "length", "ids_crc32"])
-                at += 256
+            found = [(place, *p) for place, ids in enumerate(token_ids(text_column(batch), tokenizer, end_id))
+                     for p in pieces_of(ids, capacity)]
+            take = pa.array([f[0] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take),
+                 *[pa.array([f[i + 1] for f in found], k) for i, k in enumerate(kinds)]],
+                names=["row", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(cut, PIECES.format(id_type=docs.schema["doc_id"].dataType.simpleString()))
