@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import chat, lm, mixing, packing, rules, secrets, simhash
-from parcelwise.llm.shared import fold
+from parcelwise.llm import chat, lm, mixing, packing, rules, sampling, secrets, simhash
+from parcelwise.llm.shared import fold, settled
 
 #: Weights of sources in code-point order, in turn.
 WEIGHTS = [5, 2, 1]
@@ -86,6 +86,24 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "copies", "part", "taken")
 
 
+def op10_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with one id are told apart by a hash of their text; of several rows with the next id, the least fingerprint counts."""
+    changed = sampling.edited(table(spark, sf_dir, "documents")).withColumn("version", F.xxhash64("text"))
+    texts = F.array(F.struct(F.lit(0).alias("is_edited"), "text"), F.struct(F.lit(1).alias("is_edited"), F.col("edited").alias("text")))
+    both = changed.select("doc_id", "version", F.explode(texts).alias("t")).select("doc_id", "version", "t.*")
+    prints = sampling.fingerprints(both, ["doc_id", "version", "is_edited"]).groupBy("doc_id", "version").agg(
+        F.max(F.when(F.col("is_edited") == 0, F.col("fingerprint"))).alias("fingerprint"),
+        F.max(F.when(F.col("is_edited") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
+    told = changed.select(F.col("doc_id").alias("id"), F.col("version").alias("v"), "next", "n_chars",
+                          F.sha2("edited", 256).alias("edited_sha256"))
+    found = settled(told.join(prints, told["id"].eqNullSafe(prints["doc_id"]) & (told["v"] == prints["version"])))
+    following = found.groupBy(F.col("doc_id").alias("next")).agg(F.min("fingerprint").alias("next_fingerprint"))
+    return found.join(following, "next", "left").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        sampling.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        sampling.likeness(F.col("fingerprint"), F.coalesce("next_fingerprint", F.lit(""))).alias("near_next"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
@@ -94,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm": op7_lm,
     "op8_rules": op8_rules,
     "op9_mixing": op9_mixing,
+    "op10_sampling": op10_sampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
