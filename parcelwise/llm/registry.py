@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import chat, lm, mixing, packing, rules, sampling, secrets, simhash
+from parcelwise.llm import chat, language, lm, mixing, packing, rules, sampling, secrets, simhash
 from parcelwise.llm.shared import fold, settled
 
 #: Weights of sources in code-point order, in turn.
@@ -49,6 +49,12 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id")) == 0
+    found = language.predict(docs, language.learn(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
@@ -107,6 +113,7 @@ def op10_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
+    "op3_language": op3_language,
     "op4_simhash": op4_simhash,
     "op6_secrets": op6_secrets,
     "op7_lm": op7_lm,
