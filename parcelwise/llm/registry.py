@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import chat, language, lm, mixing, packing, rules, sampling, secrets, simhash
+from parcelwise.llm import chat, language, lm, mixing, packing, quality, rules, sampling, secrets, simhash
 from parcelwise.llm.shared import fold, settled
 
 #: Weights of sources in code-point order, in turn.
@@ -66,6 +66,12 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id")) == 0
+    scored = quality.score(docs, quality.learn(docs, labels, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secrets.secret_spans(F.col("text"), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
     found = table(spark, sf_dir, "documents").select("doc_id", spans.alias("spans"))
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_language": op3_language,
     "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_lm": op7_lm,
     "op8_rules": op8_rules,
