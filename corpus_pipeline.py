@@ -1,21 +1,53 @@
-"""The training-data pipeline over `documents`: stages in order, each works on all that its predecessor kept."""
+"""The training-data pipeline over `documents`: five stages in order, each on all that its predecessor kept.
+
+Every stage but the last returns the columns of `documents`. None of it is expressible as SQL as a whole (language models,
+codeword keys and token ids are not), so that `ORACLE_SQL` is None and the stages are tested against brute force."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parcelwise.llm import mixing, registry
+from parcelwise.llm import mixing, packing, registry, rules, secrets, simhash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return rules.passing(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.deduplicated(docs, shingle=3, max_bits=2)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked, documents stay."""
+    text = secrets.masked(F.col("text"), registry.vocabulary("byte_bpe_50k.tiktoken"), registry.split_pattern())
+    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Documents are repeated or left out so that each source's words meet its target."""
+    return mixing.mixed(docs, registry.WEIGHTS, registry.MAX_EPOCHS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences."""
+    return packing.pack(docs, registry.vocabulary("byte_bpe_50k.json"), registry.CAPACITY)
 
 
-STAGES: list[tuple[str, Stage]] = [("mix_sources", mix_sources)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
 
 ORACLE_SQL = None
 

@@ -36,10 +36,10 @@ def targets(sizes: DataFrame, max_epochs: int) -> DataFrame:
 
 
 def mix(df: DataFrame, weights: list[int], max_epochs: int = 3, seed: int = 42, id_col: str = "doc_id",
-        text_col: str = "text", source_col: str = "source") -> DataFrame:
+        text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Repetitions of every document, so that each source's words come near its target.
 
-    Returns `id_col`, size, source_size, target, copies (whole repetitions), part (words of the fractional one,
+    Returns `id_col`, the columns `keep`, size, source_size, target, copies (whole repetitions), part (words of the fractional one,
     fewer than size), taken (= copies * size + part), one row per input row. Sources in code-point order (null
     last, a source of its own) take `weights` in turn. With r = target / source_size, a document is repeated
     floor(r) times; the rest of the target, rounded to words, is filled by one more repetition of documents in
@@ -50,7 +50,8 @@ def mix(df: DataFrame, weights: list[int], max_epochs: int = 3, seed: int = 42,
     only the range in which the border lies is summed row by row. Empty or null texts have size 0; they are
     repeated like their neighbours in that order. Repeated rows and equal ids are rows of their own, ordered by
     size. An empty table gives an empty table; further columns are ignored."""
-    docs = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"))
+    kept = F.struct(F.lit(0).alias("_none"), *keep).alias("_kept")
+    docs = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), kept)
     docs = docs.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.lit(""))).cast("binary")))
     docs = docs.withColumn("_range", F.substring("_hash", 1, RANGES_HEX))
     ranges = docs.groupBy("_source", "_range").agg(F.sum("size").alias("_range_size"))
@@ -72,7 +73,7 @@ def mix(df: DataFrame, weights: list[int], max_epochs: int = 3, seed: int = 42,
 
     key = [F.col("d._source").eqNullSafe(F.col("p._source")), F.col("d._range") == F.col("p._range")]
     placed = docs.alias("d").join(plan.alias("p"), key).select(
-        "d._id", "d._source", "d._range", "d.size", "d._hash", "p.source_size", "p.target", "_whole", "_rest", "_before", "_range_size", "_border")
+        "d._id", "d._source", "d._range", "d.size", "d._hash", "d._kept", "p.source_size", "p.target", "_whole", "_rest", "_before", "_range_size", "_border")
     inner = placed.filter("_border")
     order = Window.partitionBy("_source", "_range").orderBy("_hash", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     inner = inner.withColumn("_at", F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
@@ -82,10 +83,24 @@ def mix(df: DataFrame, weights: list[int], max_epochs: int = 3, seed: int = 42,
     complete = (F.col("_at") < F.col("_rest")) & (again == F.col("size"))
     part = F.when(complete, 0).otherwise(again).cast("long")
     copies = (F.col("_whole") + complete.cast("int")).cast("int")
-    return both.select(F.col("_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), part.alias("part"),
+    return both.select(F.col("_id").alias(id_col), *[F.col("_kept")[name].alias(name) for name in keep], "size", "source_size", "target", copies.alias("copies"), part.alias("part"),
                        (copies * F.col("size") + part).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, weights: list[int], max_epochs: int = 3, seed: int = 42) -> DataFrame:
+    """The mix itself: rows of `docs` (doc_id, text, source, n_chars and others), each as often as it is repeated. Of a fraction the
+    first words are taken, joined by blanks; its n_chars is that of what is left."""
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    found = mix(docs, weights, max_epochs, seed, keep=others)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    fraction = F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")
+    texts = F.concat(F.array_repeat(F.struct("text", "n_chars"), F.col("copies")), F.when(F.col("part") > 0, F.array(F.struct(
+        fraction.alias("text"), F.length(fraction).cast("long").alias("n_chars")))).otherwise(F.array().cast(
+            "array<struct<text:string,n_chars:bigint>>")))
+    rows = found.withColumn("_each", F.explode(texts))
+    return rows.select(*[F.col("_each")[c].alias(c) if c in ("text", "n_chars") else F.col(c) for c in docs.columns])
+
+
 #: The rows of `mix` as SQL, from the definition and without ranges.
 MIX_SQL = r"""
 WITH docs AS (

@@ -165,21 +165,33 @@ def links(classes: DataFrame, max_bits: int = 2) -> DataFrame:
 
 def near_duplicates(df: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(`id_col`, fingerprint, component_id) for every row of `df`.
+    """(`id_col`, fingerprint, component_id, root, text_hash) for every row of `df`.
 
     Texts are lower-cased (A-Z), parted at ASCII white space and cut into shingles of `shingle` words, repeats
     included; a shorter text is one shingle. A bit of the 64-bit `fingerprint` (a signed long) is set if more than half
     of the shingles' XXH64 hashes have it. A text without words, also null, has fingerprint 0 and is linked like any
     other. Fingerprints that differ in `max_bits` (0 to 2) or fewer are linked; `component_id` is the least id
-    reachable, null if all ids there are null.
+    reachable, null if all ids there are null; `root` is a fingerprint that names the group, `text_hash` tells texts apart.
 
     Equal fingerprints are one class before anything is joined, so copies cost a row each however many they are.
     Repeated rows and ids give repeated rows. An empty table gives an empty table; further columns are ignored."""
-    docs = settled(df.select(F.col(id_col).alias("_id"), fingerprints(F.col(text_col), shingle).alias("fingerprint")))
+    docs = settled(df.select(F.col(id_col).alias("_id"), fingerprints(F.col(text_col), shingle).alias("fingerprint"),
+                             F.xxhash64(text_col).alias("text_hash")))
     classes = settled(docs.groupBy("fingerprint").agg(F.min("_id").alias("least")))
     roots = settled(components(links(classes, max_bits)))
     rooted = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(least, "root").select("fingerprint", "component_id")
-    return docs.join(found, "fingerprint").select(F.col("_id").alias(id_col), "fingerprint", "component_id")
+    found = rooted.join(least, "root").select("fingerprint", "component_id", "root")
+    return docs.join(found, "fingerprint").select(F.col("_id").alias(id_col), "fingerprint", "component_id", "root", "text_hash")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of `docs` of each group of near-duplicates, with all columns: that with the least id (null last, ties by a hash
+    of the text, and of equal rows one)."""
+    found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("_id"), "text_hash")).alias("least"))
+    chosen = chosen.select(F.col("least._id").alias("_id"), F.col("least.text_hash").alias("_hash"))
+    rows = docs.withColumn("_text_hash", F.xxhash64(text_col)).join(
+        chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    return rows.groupBy(id_col, "_text_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
