@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parcelwise.llm import kneser_ney as kn
-from parcelwise.llm.shared import mapped_folder, settled, text_column
+from parcelwise.llm.shared import byte_view, mapped_folder, settled, text_column
 from parcelwise.llm.words import SPACE, Chunk, bounds, chunks, hashes, paired
 
 #: Bytes of an n-gram.
@@ -26,7 +26,7 @@ COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 #: Log-perplexities are told apart to this step when a language's bands are drawn.
 STEP = 0.0005
 #: A band reaches so many quartile distances from the median, each way; the distance is at least LEAST_SPREAD.
-REACH, LEAST_SPREAD = 5.0, 0.01
+REACH, LEAST_SPREAD = 10.0, 0.01
 
 
 def shorten(context: np.ndarray, level: int) -> np.ndarray:
@@ -34,12 +34,17 @@ def shorten(context: np.ndarray, level: int) -> np.ndarray:
     return (context & np.uint64(0xFFFFFFFF00000000)) | (context & np.uint64((1 << 8 * (level - 2)) - 1 if level > 1 else 0))
 
 
-def languages(batch: pa.RecordBatch, name: str = "lang") -> np.ndarray:
-    """Each text's language as the upper half of a number. Null is a language of its own."""
-    column = batch.column(batch.schema.get_field_index(name)).cast(pa.string()).dictionary_encode()
+def languages(batch: pa.RecordBatch, texts: pa.Array, other: bool = False) -> np.ndarray:
+    """Each text's language and half, as the upper half of a number. Null is a language of its own.
+
+    Texts are halved by a checksum; `other` gives the half that a text is not in, whose counts it is scored by. So no text
+    vouches for itself, and copies do not vouch for each other."""
+    column = batch.column(batch.schema.get_field_index("lang")).cast(pa.string()).dictionary_encode()
     codes = [zlib.crc32(b"l" + v.encode()) for v in column.dictionary.to_pylist()] + [zlib.crc32(b"n")]
-    at = column.indices.fill_null(len(codes) - 1).to_numpy(zero_copy_only=False)
-    return np.array(codes, np.uint64)[at] << np.uint64(32)
+    code = np.array(codes, np.uint64)[column.indices.fill_null(len(codes) - 1).to_numpy(zero_copy_only=False)]
+    data, offsets = byte_view(texts)
+    half = np.array([zlib.crc32(data[a:b]) & 1 for a, b in zip(offsets, offsets[1:])], np.uint64) ^ np.uint64(other)
+    return (code & np.uint64(0xFFFFFFFE) | half) << np.uint64(32)
 
 
 class Words:
@@ -65,7 +70,8 @@ class Words:
 def _ngrams(route: kn.Route):
     def parts(batches):
         for batch in batches:
-            texts, lang = text_column(batch), languages(batch)
+            texts = text_column(batch)
+            lang = languages(batch, texts)
             for chunk in chunks(texts):
                 words = Words(chunk, lang)
                 _, first, place = np.unique(paired(words.context, words.symbol), return_index=True, return_inverse=True)
@@ -82,7 +88,7 @@ def _ngrams(route: kn.Route):
 
 
 def learn(df: DataFrame) -> kn.Model:
-    """The model of all rows of `df` (text, lang): modified Kneser-Ney over the bytes of words, one per language."""
+    """The models of all rows of `df` (text, lang): modified Kneser-Ney over the bytes of words, one per language and half."""
     route = kn.Route(kn.LEAST_BUCKETS)
     folder = mapped_folder(df.sparkSession, "byte-ngrams")
     rows = df.select("text", "lang").mapInArrow(_ngrams(route), kn.ROWS)
@@ -174,7 +180,7 @@ def measured(df: DataFrame, model: kn.Model, keep: list[str]) -> DataFrame:
             texts = text_column(batch)
             columns = base_counts(texts)
             words, again = columns["n_words"], columns["n_repeat_words"]
-            logs = log_perplexities(texts, languages(batch), model)
+            logs = log_perplexities(texts, languages(batch, texts, other=True), model)
             rest = {name: batch.column(batch.schema.get_field_index(name)) for name in keep}
             yield pa.RecordBatch.from_pydict(rest | columns | {
                 "base_failed": (words < 50) | (100 * again > 50 * words), "log_perplexity": pa.array(logs, from_pandas=True)})
@@ -209,7 +215,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     A text fails by count with fewer than 50 words, or if over half its words are in a window of three that it repeats. Of the
     others, those are kept whose perplexity lies within the bands of their language: too high is not that language, too low is
-    the same over and over. The perplexity is that of the words' bytes under a modified Kneser-Ney model of the whole table.
+    the same over and over. The perplexity is that of the words' bytes under a modified Kneser-Ney model of the language's texts in
+    the half of the table (by checksum) that the text is not in.
     Null and empty texts have no words and fail; null is a language of its own. Repeated rows are rows of their own; further
     columns are ignored."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -220,5 +227,6 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (with text and lang) that `judge` keeps, with all their columns."""
     model = learn(docs)
-    limits = settled(bands(measured(docs, model, ["lang"])))
-    return _with_verdict(measured(docs, model, docs.columns), limits).filter("kept").select(docs.columns)
+    limits = settled(bands(measured(docs.select("text", "lang"), model, ["lang"])))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")
+    return _with_verdict(measured(rows, model, ["row", "lang"]), limits).filter("kept").select("row.*")
