@@ -159,7 +159,8 @@ def learn(df: DataFrame, labels: DataFrame, train: Column, setup: Setup = Setup(
     With no labels at all every score is 0.5."""
     named = labels.filter(train & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ratio = log_count_ratios(texts.join(named, "id").select("label", "text"), setup)
+    # Labels grow with the texts: both are dealt by id at every size, as no size at which labels are sent around would last.
+    ratio = log_count_ratios(texts.join(named.hint("merge"), "id").select("label", "text"), setup)
 
     sizes = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chance = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
