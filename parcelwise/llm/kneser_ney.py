@@ -22,7 +22,7 @@ from parcelwise.llm.words import mixed, paired
 
 ROWS = "bucket int, entries binary"
 #: Entries that a task sums up before it passes them on.
-SUMMED = 3 << 20
+SUMMED = 3 << 19
 #: A context before more than this share of all symbols is spread over all buckets.
 HEAVY_SHARE = 2000
 #: A bucket is meant to hold about so many entries; there are at least so many buckets.

@@ -90,15 +90,16 @@ def mix(df: DataFrame, weights: list[int], max_epochs: int = 3, seed: int = 42,
 def mixed(docs: DataFrame, weights: list[int], max_epochs: int = 3, seed: int = 42) -> DataFrame:
     """The mix itself: rows of `docs` (doc_id, text, source, n_chars and others), each as often as it is repeated. Of a fraction the
     first words are taken, joined by blanks; its n_chars is that of what is left."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    found = mix(docs, weights, max_epochs, seed, keep=others)
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    found = mix(whole, weights, max_epochs, seed, keep=("_row",))
+    text = F.col("_row")["text"]
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     fraction = F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")
-    texts = F.concat(F.array_repeat(F.struct("text", "n_chars"), F.col("copies")), F.when(F.col("part") > 0, F.array(F.struct(
-        fraction.alias("text"), F.length(fraction).cast("long").alias("n_chars")))).otherwise(F.array().cast(
-            "array<struct<text:string,n_chars:bigint>>")))
-    rows = found.withColumn("_each", F.explode(texts))
-    return rows.select(*[F.col("_each")[c].alias(c) if c in ("text", "n_chars") else F.col(c) for c in docs.columns])
+    again = F.struct(text.alias("text"), F.col("_row")["n_chars"].cast("long").alias("n_chars"))
+    cut = F.struct(fraction.alias("text"), F.length(fraction).cast("long").alias("n_chars"))
+    each = F.explode(F.concat(F.array_repeat(again, F.col("copies")), F.array_repeat(cut, (F.col("part") > 0).cast("int"))))
+    rows = found.select("_row", each.alias("_each"))
+    return rows.select(*[F.col("_each" if c in ("text", "n_chars") else "_row")[c].alias(c) for c in docs.columns])
 
 
 #: The rows of `mix` as SQL, from the definition and without ranges.

@@ -19,7 +19,7 @@ from parcelwise.llm.words import CHUNK, SPACE, hashes
 
 PIECES = "row long, doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
 #: Different stretches of text whose ids a worker remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 #: Rows that are ranked in one task.
 RANKED = 10_000
 #: The marks that the vocabulary's own splitting always parts from a letter before them.

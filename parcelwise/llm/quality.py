@@ -121,7 +121,8 @@ def dual_descent(indices: list[np.ndarray], signs: np.ndarray, ratio: np.ndarray
     norms = np.array([np.sqrt(square[i].sum()) for i in indices])
     dual, weight = np.zeros(len(indices)), np.zeros(len(ratio))
     # Both classes weigh as much, however many texts each has.
-    cost = setup.cost * np.where(signs > 0, 0.5 / max((signs > 0).mean(), 1e-9), 0.5 / max((signs < 0).mean(), 1e-9))
+    half = setup.cost * len(signs) / 2
+    cost = np.where(signs > 0, half / max((signs > 0).sum(), 1), half / max((signs < 0).sum(), 1))
     for _ in range(setup.epochs):
         for i in rng.permutation(len(indices)):
             if not norms[i]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from parcelwise.llm.shared import byte_view, slices
 
 #: Bytes of text that are worked on at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Fixed value: ASCII white space, which parts words.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.arange(256, dtype=np.uint8)
