@@ -83,25 +83,25 @@ class Market:
         return reads.street_centroids(self.sales)
 
 
-def rounded(df: DataFrame, **columns: int) -> DataFrame:
-    """Round every double, so that the order of summation does not show. Means of short decimals
-    would often lie on the edge between two roundings; those columns (`columns`) are moved off it."""
+def rounded(df: DataFrame, *single: str) -> DataFrame:
+    """Round every double, so that the order of summation does not show. Means of short decimals would often lie on the edge
+    between two roundings; those columns (`single`) are compared at single precision instead."""
     def cell(name: str, kind: str):
         if kind != "double":
             return F.col(name)
-        if name not in columns:
+        if name not in single:
             return F.round(name, 6).alias(name)
-        return F.round(F.col(name) + float(f"1.3141592e-{columns[name] + 1}"), columns[name]).alias(name)
+        return F.col(name).cast("float").cast("double").alias(name)
 
     return df.select(*[cell(name, kind) for name, kind in df.dtypes])
 
 
-SALE_PRICE = {"avg_price": 3}
-PLACE = {"lat": 8, "lon": 8, "latitude": 8, "longitude": 8, "neighbor_lat": 8, "neighbor_lon": 8}
+SALE_PRICE = ["avg_price"]
+PLACE = ["lat", "lon", "latitude", "longitude", "neighbor_lat", "neighbor_lon"]
 
 
 def _sales_list(m: Market, **filters) -> DataFrame:
-    return rounded(reads.sales_list(m.sales, m.growth, m.stations, **filters), **PLACE)
+    return rounded(reads.sales_list(m.sales, m.growth, m.stations, **filters), *PLACE)
 
 
 def _chart(m: Market) -> DataFrame:
@@ -116,29 +116,69 @@ def _chart(m: Market) -> DataFrame:
     return first
 
 
+def _unnested(lists: dict) -> DataFrame:
+    """One row per member of nested lists, with its place; all fields of all lists."""
+    fields = {f.name: f.dataType for df, column in lists.values() for f in df.select(column.alias("l")).schema["l"].dataType.elementType}
+    first, *others = [
+        df.select(F.lit(name).alias("list"), F.posexplode(column).alias("pos", "m")).select(
+            "list", (F.col("pos") + 1).cast("bigint").alias("pos"),
+            *[(F.col(f"m.{f}") if f in df.select(column.alias("l")).schema["l"].dataType.elementType.names else F.lit(None)).cast(kind).alias(f)
+              for f, kind in fields.items()])
+        for name, (df, column) in lists.items()]
+    for df in others:
+        first = first.unionByName(df)
+    return rounded(first)
+
+
 def _nested_clusters(m: Market) -> DataFrame:
-    nested = reads.map_clusters(reads.unified_map_suburbs(m.suburb_growth, m.suburb_centroids, m.suburb_summary, YEAR))
-    return nested.select("rank", "id", F.concat_ws("|", F.col("neighbors.name")).alias("neighbor_names"))
+    flat = reads.unified_map("suburb", m.suburb_growth, m.suburb_centroids, m.suburb_summary, YEAR)
+    members = reads.map_clusters(flat).select("*", F.posexplode_outer("neighbors").alias("pos", "n"))
+    return rounded(members.select(
+        "rank", "id", "name", "lat", "lon", "cagr", (F.coalesce("pos", F.lit(0)) + 1).cast("bigint").alias("pos"), "n.neighbor_rank",
+        F.col("n.name").alias("neighbor_name"), F.col("n.lat").alias("neighbor_lat"), F.col("n.lon").alias("neighbor_lon"),
+        F.col("n.cagr").alias("neighbor_cagr")), *PLACE)
 
 
 def _global_summary(m: Market) -> DataFrame:
     nested = reads.global_summary(m.suburb_summary, m.street_summary)
-    return nested.select(F.concat_ws("|", F.col("top_suburbs.suburb")).alias("suburbs"),
-                         F.concat_ws("|", F.col("top_streets.street_name")).alias("streets"))
+    return _unnested({"suburbs": (nested, F.col("top_suburbs")), "streets": (nested, F.col("top_streets"))}).select(
+        "list", "pos", "suburb", "street_name", "avg_cagr", "unique_properties", "total_sales")
 
 
 def _top_performers(m: Market) -> DataFrame:
     nested = reads.top_performers(m.sales, m.suburb_growth, m.street_growth, YEAR, "Residence")
-    return nested.select(F.concat_ws("|", F.col("growth.suburbs.suburb")).alias("growth_suburbs"),
-                         F.concat_ws("|", F.col("growth.streets.street_name")).alias("growth_streets"),
-                         F.concat_ws("|", F.col("activity.suburbs.sales_count")).alias("suburb_sales"),
-                         F.concat_ws("|", F.col("activity.streets.sales_count")).alias("street_sales"))
+    rows = _unnested({f"{kind}_{level}": (nested, F.col(f"{kind}.{level}")) for kind in ("growth", "activity")
+                      for level in ("suburbs", "streets")})
+    return rows.select("list", "pos", "suburb", "street_name", "avg_cagr", F.coalesce("property_count", "sales_count").alias("n"))
+
+
+def _near_station(spots: DataFrame, stations: DataFrame) -> DataFrame:
+    return rounded(spatial.with_nearest_station(spots, stations).select("id", "nearest_station", "distance_to_station"))
+
+
+def _geocode_by_ids(m: Market) -> DataFrame:
+    asked = m.sales.filter("id % 10 = 3").select("id")
+    address = text.street_address(F.lit(None), F.concat_ws(", ", "property_street_name", "property_locality"))
+    return rounded(enrich.geocoded(enrich.by_ids(m.sales, asked), fixtures.gazetteer(m.spark, m.dir), address), *PLACE)
+
+
+def _enrichment_counts(m: Market) -> DataFrame:
+    address = F.concat_ws(", ", "property_street_name", "property_locality")
+    updates = enrich.geocoded(enrich.coordinates_pending(m.sales), fixtures.gazetteer(m.spark, m.dir), address)
+    return enrich.enrichment_counts(updates, "latitude")
+
+
+def _address_strings(m: Market) -> DataFrame:
+    house, street, locality = (F.col(f"property_{c}") for c in ("house_number", "street_name", "locality"))
+    return m.sales.select("id", text.local_address(house, street, locality).alias("local"),
+                          text.postal_address(house, street, locality, F.col("property_post_code")).alias("postal"),
+                          text.street_address(house, street).alias("street"))
 
 
 def _geocode_join(m: Market) -> DataFrame:
     address = text.street_address(F.lit(None), F.concat_ws(", ", "property_street_name", "property_locality"))
     return rounded(enrich.geocoded(enrich.coordinates_pending(m.sales), fixtures.gazetteer(m.spark, m.dir), address),
-                   **PLACE)
+                   *PLACE)
 
 
 def _park():
@@ -179,7 +219,7 @@ def _updated(m: Market) -> DataFrame:
     address = F.concat_ws(", ", "property_street_name", "property_locality")
     updates = enrich.geocoded(enrich.coordinates_pending(m.sales), fixtures.gazetteer(m.spark, m.dir), address)
     return rounded(enrich.apply_updates(m.sales, updates, ["latitude", "longitude"])
-                   .select("id", "latitude", "longitude"), **PLACE)
+                   .select("id", "latitude", "longitude"), *PLACE)
 
 
 def _short_prices(m: Market) -> DataFrame:
@@ -204,10 +244,11 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "sales_list_min_growth": lambda m: _sales_list(m, min_growth=5, max_price=0),
     "sales_list_suburb_ilike": lambda m: _sales_list(m, suburb="bRAND#1_"),
     "sales_list_street": lambda m: _sales_list(m, **dashboard_filters(YEAR, suburb=SUBURB, street=STREET)),
-    "monthly_price": lambda m: rounded(reads.monthly_price(m.sales), **SALE_PRICE),
-    "monthly_price_range": lambda m: rounded(reads.monthly_price(m.sales, "2016-03-10", "2018-11-20"), **SALE_PRICE),
-    "top_suburbs": lambda m: rounded(reads.top_suburbs(m.sales, 10, "2016-01-01", "2018-12-31"), **SALE_PRICE),
-    "property_history": lambda m: rounded(reads.property_history(m.sales, m.growth, m.stations, PROPERTY), **PLACE),
+    "monthly_price": lambda m: rounded(reads.monthly_price(m.sales), *SALE_PRICE),
+    "monthly_price_range": lambda m: rounded(reads.monthly_price(m.sales, "2016-03-10", "2018-11-20"), *SALE_PRICE),
+    "monthly_median_price": lambda m: reads.monthly_median_price(m.sales),
+    "top_suburbs": lambda m: rounded(reads.top_suburbs(m.sales, 10, "2016-01-01", "2018-12-31"), *SALE_PRICE),
+    "property_history": lambda m: rounded(reads.property_history(m.sales, m.growth, m.stations, PROPERTY), *PLACE),
     "property_history_unknown": lambda m: reads.property_history(m.sales, m.growth, m.stations, "nonexistent_id"),
     "history_links": lambda m: reads.history_links(
         reads.property_history(m.sales, m.growth, m.stations, PROPERTY)).select("id", "realestate_url", "domain_url"),
@@ -234,18 +275,23 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "chart_projection": _chart,
     "short_prices": _short_prices,
     # space
-    "suburb_centroids": lambda m: rounded(m.suburb_centroids, **PLACE),
-    "street_centroids": lambda m: rounded(m.street_centroids, **PLACE),
-    "neighbor_suburbs": lambda m: rounded(reads.neighbor_suburbs(m.suburb_centroids, m.suburb_summary, SUBURB), **PLACE),
+    "suburb_centroids": lambda m: rounded(m.suburb_centroids, *PLACE),
+    "street_centroids": lambda m: rounded(m.street_centroids, *PLACE),
+    "neighbor_suburbs": lambda m: rounded(reads.neighbor_suburbs(m.suburb_centroids, m.suburb_summary, SUBURB), *PLACE),
     "neighbor_streets": lambda m: rounded(reads.neighbor_streets(m.street_centroids, m.street_summary, STREET, SUBURB),
-                                          **PLACE),
-    "neighbor_properties": lambda m: rounded(reads.neighbor_properties(m.sales, m.growth, PROPERTY), **PLACE),
+                                          *PLACE),
+    "neighbor_properties": lambda m: rounded(reads.neighbor_properties(m.sales, m.growth, PROPERTY), *PLACE),
     "neighbor_properties_all": lambda m: nearest_sales_of_all(m.sales, m.growth),
     "unified_map_suburb": lambda m: rounded(reads.unified_map_suburbs(
-        m.suburb_growth, m.suburb_centroids, m.suburb_summary, YEAR), **PLACE),
+        m.suburb_growth, m.suburb_centroids, m.suburb_summary, YEAR), *PLACE),
     "unified_map_street": lambda m: rounded(reads.unified_map_streets(
-        m.street_growth, m.street_centroids, m.street_summary, YEAR), **PLACE),
+        m.street_growth, m.street_centroids, m.street_summary, YEAR), *PLACE),
     "unified_map_clusters": _nested_clusters,
+    "unified_map_other_level": lambda m: rounded(reads.unified_map(
+        "state", m.suburb_growth, m.suburb_centroids, m.suburb_summary, YEAR), *PLACE),
+    "nearest_station_ties": lambda m: _near_station(fixtures.between_stations(m.spark, m.dir),
+                                                    fixtures.mirrored_stations(m.spark, m.dir)),
+    "nearest_station_large": lambda m: _near_station(fixtures.spots(m.spark, m.dir), fixtures.many_stations(m.spark, m.dir)),
     "nearest_station": lambda m: rounded(spatial.with_nearest_station(m.sales, m.stations)
                                          .select("id", "nearest_station", "distance_to_station")),
     "haversine": lambda m: rounded(m.sales.select("id", geo.haversine_km(
@@ -253,11 +299,14 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     # ingest
     "parse_records": lambda m: parse_records(fixtures.dat_lines(m.spark, m.dir), AS_OF),
     "title_case": lambda m: fixtures.raw_names(m.spark, m.dir).select("id", text.title_case(F.col("raw")).alias("name")),
-    "listing_cards": lambda m: extract_cards(fixtures.listing_pages(m.spark, m.dir)),
+    "listing_cards": lambda m: extract_cards(fixtures.listing_pages(m.spark, m.dir)).drop("_error"),
     # enrichment
     "pending_enrich": lambda m: enrich.coordinates_pending(m.sales).select("id", F.lit("geocoding").alias("kind"))
     .unionByName(enrich.listings_unchecked(m.sales).select("id", F.lit("listings").alias("kind"))),
     "geocode_join": _geocode_join,
+    "geocode_by_ids": _geocode_by_ids,
+    "enrichment_counts": _enrichment_counts,
+    "address_strings": _address_strings,
     "coordinates_updated": _updated,
     "enrich_callback": _enrich_callback,
     "listing_match": _listing_match,
@@ -268,7 +317,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "completeness": lambda m: checks.completeness(m.sales),
     "derived_counts": lambda m: checks.derived_counts(m.street_growth, m.suburb_growth, m.street_summary,
                                                       m.suburb_summary),
-    "coordinate_sample": lambda m: rounded(checks.coordinate_sample(m.sales), **PLACE),
+    "coordinate_sample": lambda m: rounded(checks.coordinate_sample(m.sales), *PLACE),
 }
 
 

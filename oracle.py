@@ -7,6 +7,19 @@ from __future__ import annotations
 
 DAY = "cast(cast(l_shipdate as date) + interval '20' year as date)"
 
+
+
+def exact_mean(column: str) -> str:
+    return f"cast(sum(cast({column} as decimal(27,9))) as double) / count({column})"
+
+
+def single(column: str) -> str:
+    """At single precision, which leaves the last bits of a sum or of an angle out."""
+    return f"cast(cast({column} as float) as double)"
+
+
+LAT, LON, PRICE = exact_mean("latitude"), exact_mean("longitude"), exact_mean("purchase_price")
+
 INPUTS = f"""
 sales as (
   select ((l_orderkey*100000 + l_partkey)*10000 + l_suppkey)*10 + l_linenumber as id,
@@ -87,12 +100,12 @@ suburb_summary as (
   select *, case when avg_cagr >= (select quantile_cont(avg_cagr, 0.9) from suburb_rated) then 1 else 0 end
    as is_top_performer from suburb_rated)"""
 
-SPACE = """
+SPACE = f"""
 suburb_points as (
-  select property_locality as suburb, avg(latitude) as lat, avg(longitude) as lon
+  select property_locality as suburb, {LAT} as lat, {LON} as lon
   from sales where latitude is not null group by all),
 street_points as (
-  select property_street_name as street_name, property_locality as suburb, avg(latitude) as lat, avg(longitude) as lon
+  select property_street_name as street_name, property_locality as suburb, {LAT} as lat, {LON} as lon
   from sales where latitude is not null group by all),
 street_first as (
   select * from (select *, row_number() over (partition by street_name, suburb order by post_code) as nth
@@ -112,13 +125,31 @@ distances as (
   select s.id, t.idx, t.station, {km('s.latitude', 's.longitude', 't.latitude', 't.longitude')} as dist
   from {{rows}} s, stations t where s.latitude <> 0 and s.longitude <> 0),
 closest as (
-  select id, arg_min(station, (dist, idx)) as nearest_station, min(dist) as distance_to_station
-  from distances group by id)"""
+  select id, arg_min(station, idx) as nearest_station, min(least) as distance_to_station
+  from (select *, min(dist) over (partition by id) as least from distances) where dist <= least + 1e-9 group by id)"""
+
+MIRRORED = """
+stations as (
+  select 2 * n_nationkey + side as idx, n_name || case side when 0 then ' E' else ' W' end as station,
+   -34e0 + n_nationkey*0.017e0 as latitude,
+   150.5e0 + n_nationkey*0.021e0 + case side when 0 then 0.003e0 else -0.003e0 end as longitude
+  from nation, (select unnest([0, 1]) as side)),
+between_stations as (
+  select c_custkey as id, -34e0 + c_nationkey*0.017e0 + (c_custkey % 7)*0.0001e0 as latitude,
+   150.5e0 + c_nationkey*0.021e0 as longitude from customer)"""
+
+MANY = """
+stations as (
+  select o_orderkey as idx, 'S' || o_orderkey as station, -34e0 + (o_orderkey*7919 % 9973)*0.0001e0 as latitude,
+   150.5e0 + (o_orderkey*3571 % 7907)*0.0001e0 as longitude from orders),
+spots as (
+  select c_custkey as id, case when c_custkey % 50 = 1 then null else -34e0 + (c_custkey*2579 % 6899)*0.00013e0 end as latitude,
+   case when c_custkey % 50 = 2 then 0e0 else 150.5e0 + (c_custkey*1999 % 5003)*0.00017e0 end as longitude from customer)"""
 
 SALE_COLUMNS = """id, district_code, property_id, property_name, property_unit_number, property_house_number,
  property_street_name, property_locality, property_post_code, area, area_type, contract_date, settlement_date,
  round(purchase_price, 6) as purchase_price, zoning, nature_of_property, primary_purpose,
- round(latitude + 1.3141592e-9, 8) as latitude, round(longitude + 1.3141592e-9, 8) as longitude, round(cagr, 6) as cagr,
+ cast(cast(latitude as float) as double) as latitude, cast(cast(longitude as float) as double) as longitude, round(cagr, 6) as cagr,
  round(total_growth, 6) as total_growth, round(years_held, 6) as years_held, nearest_station,
  round(distance_to_station, 6) as distance_to_station, realestate_url, domain_url"""
 
@@ -148,8 +179,8 @@ def history(property_id: str) -> str:
             + f" select sale_number, {SALE_COLUMNS} from history left join closest using (id)")
 
 
-MONTHLY = """ select strftime(contract_date, '%Y-%m') as month, round(avg(purchase_price) + 1.3141592e-4, 3) as avg_price,
- count(id) as count from sales where contract_date is not null {and_} group by 1"""
+MONTHLY = f""" select strftime(contract_date, '%Y-%m') as month, cast(cast({PRICE} as float) as double) as avg_price,
+ count(id) as count from sales where contract_date is not null {{and_}} group by 1"""
 
 ACTIVE = """ select {select} from sales where year(contract_date) = 2018 {and_}"""
 
@@ -172,13 +203,13 @@ leaders as (
 targets as (select l.rank, l.suburb, p.lat, p.lon, l.avg_cagr from leaders l join suburb_points p on l.suburb = p.suburb),
 near as (
   select t.rank, p.suburb, p.lat, p.lon, row_number() over (partition by t.rank
-    order by floor(((p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon)) * 1e12 + 0.314e0), p.suburb) as neighbor_rank
+    order by (p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon), p.suburb) as neighbor_rank
   from targets t join suburb_points p on p.suburb <> t.suburb qualify neighbor_rank <= 5),
 rated as (select n.*, s.avg_cagr from near n join suburb_summary s on n.suburb = s.suburb),
 map_rows as (
-  select t.rank, t.suburb as id, t.suburb as name, round(t.lat + 1.3141592e-9, 8) as lat, round(t.lon + 1.3141592e-9, 8) as lon,
-   round(t.avg_cagr, 6) as cagr, r.neighbor_rank, r.suburb as neighbor_name, round(r.lat + 1.3141592e-9, 8) as neighbor_lat,
-   round(r.lon + 1.3141592e-9, 8) as neighbor_lon, round(r.avg_cagr, 6) as neighbor_cagr
+  select t.rank, t.suburb as id, t.suburb as name, cast(cast(t.lat as float) as double) as lat, cast(cast(t.lon as float) as double) as lon,
+   round(t.avg_cagr, 6) as cagr, r.neighbor_rank, r.suburb as neighbor_name, cast(cast(r.lat as float) as double) as neighbor_lat,
+   cast(cast(r.lon as float) as double) as neighbor_lon, round(r.avg_cagr, 6) as neighbor_cagr
   from targets t left join rated r on t.rank = r.rank)"""
 
 MAP_STREETS = """
@@ -190,16 +221,16 @@ targets as (
   from leaders l join street_points p on l.suburb = p.suburb and l.street_name = p.street_name),
 near as (
   select t.rank, p.street_name, p.suburb, p.lat, p.lon, row_number() over (partition by t.rank
-    order by floor(((p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon)) * 1e12 + 0.314e0), p.suburb, p.street_name) as neighbor_rank
+    order by (p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon), p.suburb, p.street_name) as neighbor_rank
   from targets t join street_points p on p.suburb <> t.suburb or p.street_name <> t.street_name
   qualify neighbor_rank <= 5),
 rated as (
   select n.*, s.avg_cagr from near n join street_first s on n.suburb = s.suburb and n.street_name = s.street_name),
 map_rows as (
   select t.rank, t.street_name || '_' || t.suburb as id, t.street_name || ', ' || t.suburb as name,
-   round(t.lat + 1.3141592e-9, 8) as lat, round(t.lon + 1.3141592e-9, 8) as lon, round(t.avg_cagr, 6) as cagr, r.neighbor_rank,
-   r.street_name || ', ' || r.suburb as neighbor_name, round(r.lat + 1.3141592e-9, 8) as neighbor_lat,
-   round(r.lon + 1.3141592e-9, 8) as neighbor_lon, round(r.avg_cagr, 6) as neighbor_cagr
+   cast(cast(t.lat as float) as double) as lat, cast(cast(t.lon as float) as double) as lon, round(t.avg_cagr, 6) as cagr, r.neighbor_rank,
+   r.street_name || ', ' || r.suburb as neighbor_name, cast(cast(r.lat as float) as double) as neighbor_lat,
+   cast(cast(r.lon as float) as double) as neighbor_lon, round(r.avg_cagr, 6) as neighbor_cagr
   from targets t left join rated r on t.rank = r.rank)"""
 
 LATEST = """
@@ -251,8 +282,8 @@ ORACLE_SQL = {
     "monthly_price": with_(INPUTS) + MONTHLY.format(and_=""),
     "monthly_price_range": with_(INPUTS) + MONTHLY.format(
         and_="and contract_date >= date '2016-03-10' and contract_date <= date '2018-11-20'"),
-    "top_suburbs": with_(INPUTS) + """ select property_locality as suburb, count(id) as count,
-        round(avg(purchase_price) + 1.3141592e-4, 3) as avg_price from sales
+    "top_suburbs": with_(INPUTS) + f""" select property_locality as suburb, count(id) as count,
+        cast(cast({PRICE} as float) as double) as avg_price from sales
         where contract_date >= date '2016-01-01' and contract_date <= date '2018-12-31'
         group by 1 order by 2 desc, 1 limit 10""",
     "property_history": history("100-18"),
@@ -280,11 +311,12 @@ ORACLE_SQL = {
     "global_top_streets": with_(INPUTS, GROWTH) + """ select street_name, suburb, round(avg_cagr, 6) as avg_cagr,
         total_sales from street_summary order by street_summary.avg_cagr desc nulls last, street_name, suburb,
         post_code limit 5""",
-    "global_summary": with_(INPUTS, GROWTH) + """ select
-        (select string_agg(suburb, '|' order by avg_cagr desc) from
-          (select * from suburb_summary order by avg_cagr desc nulls last limit 5)) as suburbs,
-        (select string_agg(street_name, '|' order by avg_cagr desc) from
-          (select * from street_summary order by avg_cagr desc nulls last limit 5)) as streets""",
+    "global_summary": with_(INPUTS, GROWTH) + """ select 'suburbs' as list, pos, suburb, cast(null as varchar) as street_name,
+        round(avg_cagr, 6) as avg_cagr, unique_properties, total_sales from
+         (select *, row_number() over (order by avg_cagr desc nulls last, suburb) as pos from suburb_summary) where pos <= 5
+        union all select 'streets', pos, suburb, street_name, round(avg_cagr, 6), null, total_sales from
+         (select *, row_number() over (order by avg_cagr desc nulls last, street_name, suburb, post_code) as pos
+          from street_summary) where pos <= 5""",
     "top_growth_suburbs": with_(INPUTS, GROWTH, LEADERS.format(and_="")) + """ select suburb,
         round(avg_cagr, 6) as avg_cagr, property_count from growth_suburbs""",
     "top_growth_streets": with_(INPUTS, GROWTH, LEADERS.format(and_="")) + """ select street_name, suburb,
@@ -295,11 +327,15 @@ ORACLE_SQL = {
         + " select * from active_suburbs",
     "activity_streets_by_type": with_(INPUTS, GROWTH, LEADERS.format(and_="and primary_purpose = 'Strata Unit'"))
         + " select * from active_streets",
-    "top_performers": with_(INPUTS, GROWTH, LEADERS.format(and_="and primary_purpose = 'Residence'")) + """ select
-        (select string_agg(suburb, '|' order by avg_cagr desc) from growth_suburbs) as growth_suburbs,
-        (select string_agg(street_name, '|' order by avg_cagr desc, street_name desc) from growth_streets) as growth_streets,
-        (select string_agg(sales_count, '|' order by sales_count desc) from active_suburbs) as suburb_sales,
-        (select string_agg(sales_count, '|' order by sales_count desc) from active_streets) as street_sales""",
+    "top_performers": with_(INPUTS, GROWTH, LEADERS.format(and_="and primary_purpose = 'Residence'")) + """
+        select 'growth_suburbs' as list, row_number() over (order by avg_cagr desc nulls last, suburb) as pos, suburb,
+         cast(null as varchar) as street_name, round(avg_cagr, 6) as avg_cagr, property_count as n from growth_suburbs
+        union all select 'growth_streets', row_number() over (order by avg_cagr desc nulls last, street_name, suburb, post_code),
+         suburb, street_name, round(avg_cagr, 6), property_count from growth_streets
+        union all select 'activity_suburbs', row_number() over (order by sales_count desc, suburb), suburb, null, null, sales_count
+         from active_suburbs
+        union all select 'activity_streets', row_number() over (order by sales_count desc, suburb, street_name), suburb,
+         street_name, null, sales_count from active_streets""",
     "comparison_label": with_(INPUTS, GROWTH, LATEST, """
         by_street as (select street_name, suburb, avg(cagr) as street_avg, count(*) as street_count
           from pg where last_year >= 2018 group by all),
@@ -329,29 +365,29 @@ ORACLE_SQL = {
         greatest(5e0, least(100e0, purchase_price / 1e6 * 800e0)) as bar
         from (select id, floor(purchase_price) as p, purchase_price from sales where purchase_price is not null)""",
 
-    "suburb_centroids": with_(INPUTS, GROWTH, SPACE) + """ select suburb, round(lat + 1.3141592e-9, 8) as lat, round(lon + 1.3141592e-9, 8) as lon
+    "suburb_centroids": with_(INPUTS, GROWTH, SPACE) + """ select suburb, cast(cast(lat as float) as double) as lat, cast(cast(lon as float) as double) as lon
         from suburb_points""",
-    "street_centroids": with_(INPUTS, GROWTH, SPACE) + """ select street_name, suburb, round(lat + 1.3141592e-9, 8) as lat,
-        round(lon + 1.3141592e-9, 8) as lon from street_points""",
+    "street_centroids": with_(INPUTS, GROWTH, SPACE) + """ select street_name, suburb, cast(cast(lat as float) as double) as lat,
+        cast(cast(lon as float) as double) as lon from street_points""",
     "neighbor_suburbs": with_(INPUTS, GROWTH, SPACE, """
-        near as (select p.*, floor(((p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon)) * 1e12 + 0.314e0) as dist
+        near as (select p.*, (p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon) as dist
           from suburb_points p, suburb_points t where t.suburb = 'Brand#12' and p.suburb <> 'Brand#12'
           order by dist, p.suburb limit 10)""") + """
-        select suburb, round(lat + 1.3141592e-9, 8) as latitude, round(lon + 1.3141592e-9, 8) as longitude, round(avg_cagr, 6) as avg_cagr,
+        select suburb, cast(cast(lat as float) as double) as latitude, cast(cast(lon as float) as double) as longitude, round(avg_cagr, 6) as avg_cagr,
          total_sales, unique_properties from near join suburb_summary using (suburb)""",
     "neighbor_streets": with_(INPUTS, GROWTH, SPACE, """
-        near as (select p.*, floor(((p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon)) * 1e12 + 0.314e0) as dist
+        near as (select p.*, (p.lat-t.lat)*(p.lat-t.lat) + (p.lon-t.lon)*(p.lon-t.lon) as dist
           from street_points p, street_points t where t.suburb = 'Brand#12' and t.street_name = 'red plate'
            and (p.suburb <> 'Brand#12' or p.street_name <> 'red plate')
           order by dist, p.suburb, p.street_name limit 20)""") + """
-        select street_name, suburb, round(lat + 1.3141592e-9, 8) as latitude, round(lon + 1.3141592e-9, 8) as longitude,
+        select street_name, suburb, cast(cast(lat as float) as double) as latitude, cast(cast(lon as float) as double) as longitude,
          round(avg_cagr, 6) as avg_cagr, total_sales from near join street_first using (street_name, suburb)
         order by dist, suburb, street_name limit 15""",
     "neighbor_properties": with_(INPUTS, GROWTH, """
         target as (select latitude, longitude from sales where property_id = '100-18' and latitude is not null
           order by id limit 1)""") + """
         select s.id, s.property_id, property_house_number || ' ' || property_street_name as address,
-         property_locality as suburb, round(s.latitude + 1.3141592e-9, 8) as latitude, round(s.longitude + 1.3141592e-9, 8) as longitude,
+         property_locality as suburb, cast(cast(s.latitude as float) as double) as latitude, cast(cast(s.longitude as float) as double) as longitude,
          round(cagr, 6) as avg_cagr, round(purchase_price, 6) as last_price
         from sales s join pg on s.property_id = pg.property_id, target t
         where s.property_id <> '100-18' and s.latitude is not null
@@ -379,9 +415,29 @@ ORACLE_SQL = {
         qualify neighbor_rank <= 20""",
     "unified_map_suburb": with_(INPUTS, GROWTH, SPACE, MAP_SUBURBS) + " select * from map_rows",
     "unified_map_street": with_(INPUTS, GROWTH, SPACE, MAP_STREETS) + " select * from map_rows",
-    "unified_map_clusters": with_(INPUTS, GROWTH, SPACE, MAP_SUBURBS) + """ select rank, id,
-        coalesce(string_agg(neighbor_name, '|' order by neighbor_rank), '') as neighbor_names
-        from map_rows group by rank, id""",
+    "unified_map_clusters": with_(INPUTS, GROWTH, SPACE, MAP_SUBURBS) + """ select rank, id, name, lat, lon, cagr,
+        row_number() over (partition by rank order by neighbor_rank) as pos, neighbor_rank, neighbor_name, neighbor_lat,
+        neighbor_lon, neighbor_cagr from map_rows""",
+    "unified_map_other_level": with_(INPUTS, GROWTH, SPACE, MAP_SUBURBS) + " select * from map_rows where false",
+    "nearest_station_ties": with_(MIRRORED, STATIONS.format(rows="between_stations")) + """ select id, nearest_station,
+        round(distance_to_station, 6) as distance_to_station from between_stations left join closest using (id)""",
+    "nearest_station_large": with_(MANY, STATIONS.format(rows="spots")) + """ select id, nearest_station,
+        round(distance_to_station, 6) as distance_to_station from spots left join closest using (id)""",
+    "monthly_median_price": with_(INPUTS) + """ select strftime(contract_date, '%Y-%m') as month,
+        median(purchase_price) as median_price, count(purchase_price) as count from sales
+        where contract_date is not null and purchase_price is not null group by 1""",
+    "geocode_by_ids": with_(INPUTS) + """ select id, cast(cast(g.latitude as float) as double) as latitude,
+        cast(cast(g.longitude as float) as double) as longitude from sales s
+        left join gazetteer g on nth = 1 and addr_key = lower(property_street_name || ', ' || property_locality)
+        where s.latitude is null and id % 10 = 3""",
+    "enrichment_counts": with_(INPUTS) + """ select count(*) as processed, count(g.latitude) as updated from sales s
+        left join gazetteer g on nth = 1 and addr_key = lower(property_street_name || ', ' || property_locality)
+        where s.latitude is null""",
+    "address_strings": with_(INPUTS) + """ select id,
+        property_house_number || ' ' || property_street_name || ', ' || property_locality as local,
+        property_house_number || ' ' || property_street_name || ', ' || property_locality || ' NSW'
+         || coalesce(' ' || cast(property_post_code as varchar), '') as postal,
+        property_house_number || ' ' || property_street_name as street from sales""",
     "nearest_station": with_(INPUTS, STATIONS.format(rows="sales")) + """ select id, nearest_station,
         round(distance_to_station, 6) as distance_to_station from sales left join closest using (id)""",
     "haversine": with_(INPUTS) + f""" select id, round({km('latitude', 'longitude', '-33.8688e0', '151.2093e0')}, 6)
@@ -406,11 +462,11 @@ ORACLE_SQL = {
 
     "pending_enrich": with_(INPUTS) + """ select id, 'geocoding' as kind from sales where latitude is null
         union all select id, 'listings' from sales where listings_last_checked is null""",
-    "geocode_join": with_(INPUTS) + """ select id, round(g.latitude + 1.3141592e-9, 8) as latitude, round(g.longitude + 1.3141592e-9, 8) as longitude
+    "geocode_join": with_(INPUTS) + """ select id, cast(cast(g.latitude as float) as double) as latitude, cast(cast(g.longitude as float) as double) as longitude
         from sales s left join gazetteer g on nth = 1 and addr_key = lower(property_street_name || ', ' || property_locality)
         where s.latitude is null""",
-    "coordinates_updated": with_(INPUTS) + """ select id, round(coalesce(s.latitude, g.latitude) + 1.3141592e-9, 8) as latitude,
-        round(coalesce(s.longitude, g.longitude) + 1.3141592e-9, 8) as longitude
+    "coordinates_updated": with_(INPUTS) + """ select id, cast(cast(coalesce(s.latitude, g.latitude) as float) as double) as latitude,
+        cast(cast(coalesce(s.longitude, g.longitude) as float) as double) as longitude
         from sales s left join gazetteer g on nth = 1 and addr_key = lower(property_street_name || ', ' || property_locality)""",
     "enrich_callback": with_(INPUTS) + """ select count(*) as processed,
         count(*) filter (property_house_number not in ('6', '7')) as updated,
@@ -435,6 +491,6 @@ ORACLE_SQL = {
          suburb as top_suburb, round(avg_cagr * 100, 2) as top_avg_cagr_pct, unique_properties as top_properties,
          total_sales as top_sales from best""",
     "coordinate_sample": with_(INPUTS) + """ select id, property_house_number, property_street_name, property_locality,
-        round(latitude + 1.3141592e-9, 8) as latitude, round(longitude + 1.3141592e-9, 8) as longitude from sales where latitude is not null
+        cast(cast(latitude as float) as double) as latitude, cast(cast(longitude as float) as double) as longitude from sales where latitude is not null
         order by id limit 5""",
 }

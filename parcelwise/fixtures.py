@@ -5,24 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-ROW_GROUP_BYTES = 128 << 20
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores: one with less than a row group per core is read by few
-    tasks. Larger inputs have row groups enough and are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * ROW_GROUP_BYTES else df
-
-
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sale per order line; a property is a part sold by a twentieth of the suppliers."""
-    lines = _spread(_table(spark, sf_dir, "lineitem"))
+    lines = _table(spark, sf_dir, "lineitem")
     part = _table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
     supplier = _table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
     day = "cast(cast(l_shipdate as date) + interval 20 years as date)"
@@ -67,6 +56,33 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "150.5e0 + ((n_nationkey * 7) % 25) * 0.021e0 + 0.0005e0 as longitude")
 
 
+def mirrored_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stations for each spot of `between_stations`, east and west of it and equally far; the western ones are listed later."""
+    return _table(spark, sf_dir, "nation").selectExpr(
+        "inline(array(named_struct('idx', 2 * n_nationkey, 'station', concat(n_name, ' E'), 'latitude', -34e0 + n_nationkey * 0.017e0,"
+        " 'longitude', 150.5e0 + n_nationkey * 0.021e0 + 0.003e0), named_struct('idx', 2 * n_nationkey + 1, 'station',"
+        " concat(n_name, ' W'), 'latitude', -34e0 + n_nationkey * 0.017e0, 'longitude', 150.5e0 + n_nationkey * 0.021e0 - 0.003e0)))")
+
+
+def between_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as id", "-34e0 + c_nationkey * 0.017e0 + (c_custkey % 7) * 0.0001e0 as latitude",
+        "150.5e0 + c_nationkey * 0.021e0 as longitude")
+
+
+def many_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as idx", "concat('S', o_orderkey) as station", "-34e0 + (o_orderkey * 7919 % 9973) * 0.0001e0 as latitude",
+        "150.5e0 + (o_orderkey * 3571 % 7907) * 0.0001e0 as longitude")
+
+
+def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions as many as customers; some lack a coordinate or have 0.0."""
+    return _table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as id", "case when c_custkey % 50 = 1 then null else -34e0 + (c_custkey * 2579 % 6899) * 0.00013e0 end as latitude",
+        "case when c_custkey % 50 = 2 then 0e0 else 150.5e0 + (c_custkey * 1999 % 5003) * 0.00017e0 end as longitude")
+
+
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of about three quarters of the streets, by street and suburb; keys repeat."""
     return _table(spark, sf_dir, "part").filter("length(p_name) % 5 <> 0").selectExpr(
@@ -105,7 +121,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records: 25 fields as sold, and, per line number, some that must be dropped."""
-    lines = _spread(_table(spark, sf_dir, "lineitem"))
+    lines = _table(spark, sf_dir, "lineitem")
     part = _table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
     return lines.join(part, "l_partkey").selectExpr(
         """concat_ws(';', case when l_suppkey % 17 = 0 then 'A' else 'B' end, 'D1', cast(l_partkey as string),

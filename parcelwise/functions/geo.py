@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,19 +18,19 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2.0 * EARTH_RADIUS_KM * F.atan2(F.sqrt(a), F.sqrt(1.0 - a))
 
 
+def haversine_km_numpy(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """The same for arrays, inside tasks."""
+    a = (np.sin(np.radians(lat2 - lat1) / 2) ** 2
+         + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lon2 - lon1) / 2) ** 2)
+    return 2 * EARTH_RADIUS_KM * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+
+
 def planar_sq(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Squared distance in degrees; used only to order neighbours."""
     dlat, dlon = lat1 - lat2, lon1 - lon2
     return dlat * dlat + dlon * dlon
 
 
-def nearness(dist: Column) -> Column:
-    """Order of squared distances between means: whole steps of 1e-12, so that the order in which a
-    mean was summed up does not decide between places equally far. The offset keeps round numbers
-    clear of the edge of a step."""
-    return F.floor(dist * 1e12 + 0.314)
-
-
 def located(lat: Column, lon: Column) -> Column:
     """Both coordinates present; 0.0 counts as missing."""
     return F.coalesce((lat != 0.0) & (lon != 0.0), F.lit(False))

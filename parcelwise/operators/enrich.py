@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from ..functions import text
 
 STALE_DAYS = 7
-ID_LIMIT = 20
 
 
 def apply_updates(sales: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,11 +34,12 @@ def pending_slice(pending: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return pending.orderBy("id").offset(offset).limit(limit)
 
 
-def by_ids(sales: DataFrame, ids: list[int]) -> DataFrame:
-    """Requested sales that lack a latitude (0.0 counts as lacking); at most 20 ids per request."""
-    if len(ids) > ID_LIMIT:
-        raise ValueError(f"at most {ID_LIMIT} ids per request")
-    return sales.filter(F.col("id").isin(ids) & (F.coalesce("latitude", F.lit(0.0)) == 0.0))
+def by_ids(sales: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
+    """Requested sales that lack a latitude (0.0 counts as lacking). Ids come as a list or, however many, as a table with
+    a column `id`; repeated ids count once."""
+    if not isinstance(ids, DataFrame):
+        ids = sales.sparkSession.createDataFrame([(i,) for i in ids], "id bigint")
+    return sales.filter(F.coalesce("latitude", F.lit(0.0)) == 0.0).join(ids, "id", "left_semi")
 
 
 def geocoded(pending: DataFrame, gazetteer: DataFrame, address: Column) -> DataFrame:
@@ -141,8 +141,9 @@ def listing_updates(pending: DataFrame, cards: DataFrame, checked_at: datetime)
 # --- user callbacks ------------------------------------------------------------------------------
 
 def enrich(sales: DataFrame, pending: Column, process: Callable[[dict], dict | None],
-           schema: str) -> DataFrame:
-    """Run a user function on every pending sale: id, the columns of `schema`, and _error.
+           schema: str, needs: list[str] | None = None) -> DataFrame:
+    """Run a user function on every pending sale: id, the columns of `schema`, and _error. Only id and the columns that
+    the function `needs` (all, if not told) are handed to it.
 
     A sale whose call fails gets its error text and no values; one for which the function returns
     nothing gets neither. The others are not affected.
@@ -162,4 +163,7 @@ def enrich(sales: DataFrame, pending: Column, process: Callable[[dict], dict | N
                 out.append(row)
             yield pd.DataFrame(out, columns=["id", *columns, "_error"], dtype=object)
 
-    return sales.filter(pending).mapInPandas(run, f"id BIGINT, {schema}, _error STRING")
+    given = sales.filter(pending)
+    if needs is not None:
+        given = given.select("id", *[c for c in needs if c != "id"])
+    return given.mapInPandas(run, f"id BIGINT, {schema}, _error STRING")

@@ -11,21 +11,40 @@ from ..functions import text
 from ..operators import enrich, growth
 from ..operators.numbering import latest_sales
 from ..sources import archive
-from ..sources.tables import read_table, write_table
+from ..sources.tables import has_table, read_table, write_table
 
+#: Within files; suburb, date and growth filters then skip most of them.
+SALES_ORDER = ["property_locality", "contract_date"]
 ENRICHED = ["latitude", "longitude", "realestate_url", "domain_url", "listings_last_checked"]
 
 
-def ingest(spark: SparkSession, archives: str, root: str, start_year: int = archive.FIRST_YEAR,
-           end_year: int = archive.LAST_YEAR, as_of: date | None = None,
-           enrichment: DataFrame | None = None) -> str:
-    """Replace `sales` by what the yearly archives hold. Repeated records stay repeated. Enrichment
-    columns start empty unless `enrichment` (id and those columns) is given to carry them over."""
-    files = archive.read_archives(spark, archives, start_year, end_year)
-    sales = archive.sales_from_lines(archive.archive_lines(files), as_of)
+def ingest(spark: SparkSession, archives: str, root: str, start_year: int | None = None,
+           end_year: int | None = None, as_of: date | None = None,
+           enrichment: DataFrame | None = None, keep_existing: bool = False) -> DataFrame:
+    """Replace `sales` by what the archives hold, all of them or those of a range of years; with `keep_existing` only archives
+    not read before are read, and their sales are added. Returns the counts of archives, sales and bad files.
+
+    Archives, inner archives and members that cannot be read are listed in the table `bad_files`; whoever needs the sales to be
+    complete looks there. Repeated records stay repeated. Enrichment columns start empty unless `enrichment` (id and those
+    columns) is given to carry them over. Archives keep their numbers, and so sales their ids, in the table `archives`."""
+    known = read_table(spark, root, "archives") if has_table(spark, root, "archives") else None
+    adding = keep_existing and known is not None and has_table(spark, root, "sales")
+    files = archive.read_archives(spark, archives, start_year, end_year, known if adding else None)
+    write_table(archive.numbered_archives(files, known), root, "archives")
+    numbers = read_table(spark, root, "archives")
+    write_table(archive.archive_lines(files), root, "archive_lines")
+    lines = read_table(spark, root, "archive_lines")
+    sales = archive.sales_from_lines(lines, as_of, numbers)
+    bad = archive.bad_files(lines)
+    if adding:
+        sales = read_table(spark, root, "sales").unionByName(sales)
+        bad = read_table(spark, root, "bad_files").unionByName(bad)
     if enrichment is not None:
         sales = enrich.apply_updates(sales, enrichment, ENRICHED)
-    return write_table(sales, root, "sales", sort_by=["property_locality", "contract_date"])
+    write_table(sales, root, "sales", sort_by=SALES_ORDER)
+    write_table(bad, root, "bad_files")
+    counts = {"archives": numbers, "sales": read_table(spark, root, "sales"), "bad_files": read_table(spark, root, "bad_files")}
+    return spark.range(1).select(*[df.agg(F.count("*")).scalar().alias(name) for name, df in counts.items()])
 
 
 def build_growth(spark: SparkSession, root: str, start_year: int = growth.START_YEAR,
@@ -78,18 +97,19 @@ def refresh_listings(spark: SparkSession, root: str, cards: DataFrame, checked_a
     sales = read_table(spark, root, "sales")
     chosen = sales if property_id is None else sales.filter(F.col("property_id") == property_id)
     due = enrich.listings_due(latest_sales(chosen), checked_at)
-    updates = enrich.listing_updates(due, cards, checked_at)
+    write_table(enrich.listing_updates(due, cards, checked_at), root, "sales_updates")
+    updates = read_table(spark, root, "sales_updates")
     columns = ["realestate_url", "domain_url", "listings_last_checked"]
     fresh = updates.select("id", *[F.col(c).alias(f"_new_{c}") for c in columns])
     checked = F.col("_new_listings_last_checked").isNotNull()
     merged = sales.join(fresh, "id", "left").withColumns(
         {c: F.when(checked, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}).select(*sales.columns)
-    write_table(merged, root, "sales")
+    write_table(merged, root, "sales", sort_by=SALES_ORDER)
     return enrich.enrichment_counts(updates, "listings_last_checked")
 
 
 def _update(spark: SparkSession, root: str, sales: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
     write_table(updates, root, "sales_updates")
     updates = read_table(spark, root, "sales_updates")
-    write_table(enrich.apply_updates(sales, updates, columns), root, "sales")
+    write_table(enrich.apply_updates(sales, updates, columns), root, "sales", sort_by=SALES_ORDER)
     return enrich.enrichment_counts(updates, columns[-1])

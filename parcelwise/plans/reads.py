@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import display, text
+from ..functions.mean import exact_mean
 from ..operators import spatial
 from ..operators.filters import between_dates, in_year, matching
-from ..operators.numbering import latest_sales, number_sales
+from ..operators.numbering import latest_sales
 
 DEFAULT_YEAR = 2024
 
@@ -53,7 +54,8 @@ def sales_list(sales: DataFrame, growth: DataFrame, stations: DataFrame, skip: i
 
 def property_history(sales: DataFrame, growth: DataFrame, stations: DataFrame, property_id: str) -> DataFrame:
     """All sales of one property, earliest first, numbered; empty for an unknown id."""
-    rows = number_sales(sales.filter(F.col("property_id") == property_id))
+    order = Window.partitionBy("property_id").orderBy(F.col("contract_date").asc_nulls_first(), "id")
+    rows = sales.filter(F.col("property_id") == property_id).withColumn("sale_number", F.row_number().over(order).cast("bigint"))
     figures = (growth.filter(F.col("property_id") == property_id)
                .agg(F.first(F.struct(*GROWTH_COLUMNS[1:]))).scalar())
     rows = rows.withColumn("_g", figures).select("*", *[f"_g.{c}" for c in GROWTH_COLUMNS[1:]])
@@ -71,19 +73,35 @@ def history_links(history: DataFrame) -> DataFrame:
 
 def monthly_price(sales: DataFrame, start_date: date | str | None = None,
                   end_date: date | str | None = None) -> DataFrame:
-    """Mean price and number of sales per month."""
+    """Mean price and number of sales per month. Prices that are no numbers count as missing."""
     return (between_dates(sales, start_date, end_date).filter("contract_date IS NOT NULL")
             .groupBy(F.date_format("contract_date", "yyyy-MM").alias("month"))
-            .agg(F.avg("purchase_price").alias("avg_price"), F.count("id").alias("count"))
+            .agg(exact_mean("purchase_price").alias("avg_price"), F.count("id").alias("count"))
             .orderBy("month"))
 
 
+def monthly_median_price(sales: DataFrame, start_date: date | str | None = None,
+                         end_date: date | str | None = None) -> DataFrame:
+    """Median price per month, exact. Equal prices of a month are counted first, so that what is ordered is the
+    different prices; a month's prices are then added up in one task."""
+    prices = (between_dates(sales, start_date, end_date).filter("contract_date IS NOT NULL AND NOT isnan(purchase_price)")
+              .groupBy(F.date_format("contract_date", "yyyy-MM").alias("month"), "purchase_price")
+              .agg(F.count("*").alias("n")).filter("purchase_price IS NOT NULL"))
+    month = Window.partitionBy("month")
+    upto, total = F.sum("n").over(month.orderBy("purchase_price")), F.sum("n").over(month)
+    ranked = prices.withColumns({"upto": upto, "total": total})
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("purchase_price")))
+    return (ranked.groupBy("month")
+            .agg(((at(F.floor((F.col("total") + 1) / 2)) + at(F.floor((F.col("total") + 2) / 2))) / 2).alias("median_price"),
+                 F.max("total").alias("count")).orderBy("month"))
+
+
 def top_suburbs(sales: DataFrame, limit: int = 10, start_date: date | str | None = None,
                 end_date: date | str | None = None) -> DataFrame:
     """Suburbs with the most sales; sales without a suburb form a group of their own."""
     return (between_dates(sales, start_date, end_date)
             .groupBy(F.col("property_locality").alias("suburb"))
-            .agg(F.count("id").alias("count"), F.avg("purchase_price").alias("avg_price"))
+            .agg(F.count("id").alias("count"), exact_mean("purchase_price").alias("avg_price"))
             .orderBy(F.desc("count"), "suburb").limit(limit))
 
 
@@ -171,28 +189,40 @@ def activity_streets(sales: DataFrame, year: int = DEFAULT_YEAR, property_type:
     return _activity(renamed, year, property_type, ["street_name", "suburb"], k)
 
 
-def _listed(df: DataFrame, order: str):
-    """A short, already limited list as one array value, best first."""
-    rest = [c for c in df.columns if c != order]
-    return df.agg(F.sort_array(F.collect_list(F.struct(order, *rest)), asc=False)).scalar()
+SUBURB_ORDER = ["-avg_cagr", "suburb"]
+STREET_ORDER = ["-avg_cagr", "street_name", "suburb", "post_code"]
+
 
+def _listed(best: DataFrame, order: list[str], columns: list[str]):
+    """A short, already limited list as one array value in `order` (- for descending), which may use further columns."""
+    by = [F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c) for c in order]
+    ranked = best.withColumn("_rank", F.row_number().over(Window.orderBy(*by)))
+    rows = ranked.agg(F.sort_array(F.collect_list(F.struct("_rank", *columns))).alias("rows"))
+    return rows.select(F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in columns])).alias("rows")).scalar()
 
-def global_summary(suburb_summary: DataFrame, street_summary: DataFrame) -> DataFrame:
-    """Both top-5 lists as one nested row."""
+
+def global_summary(suburb_summary: DataFrame, street_summary: DataFrame, k: int = 5) -> DataFrame:
+    """Both top-5 lists as one nested row, in the order of the flat lists."""
     return suburb_summary.sparkSession.range(1).select(
-        _listed(global_top_suburbs(suburb_summary), "avg_cagr").alias("top_suburbs"),
-        _listed(global_top_streets(street_summary), "avg_cagr").alias("top_streets"))
+        _listed(_best(suburb_summary, ["suburb"], k), SUBURB_ORDER,
+                ["suburb", "avg_cagr", "unique_properties", "total_sales"]).alias("top_suburbs"),
+        _listed(_best_streets(street_summary, k), STREET_ORDER,
+                ["street_name", "suburb", "avg_cagr", "total_sales"]).alias("top_streets"))
 
 
 def top_performers(sales: DataFrame, suburb_growth: DataFrame, street_growth: DataFrame,
-                   year: int = DEFAULT_YEAR, property_type: str | None = None) -> DataFrame:
+                   year: int = DEFAULT_YEAR, property_type: str | None = None, k: int = 10) -> DataFrame:
     """Growth and activity lists of a year as one nested row; the type filter is for activity only."""
+    of_year = F.col("year") == year
     return sales.sparkSession.range(1).select(
-        F.struct(_listed(top_growth_suburbs(suburb_growth, year), "avg_cagr").alias("suburbs"),
-                 _listed(top_growth_streets(street_growth, year), "avg_cagr").alias("streets")).alias("growth"),
-        F.struct(_listed(activity_suburbs(sales, year, property_type), "sales_count").alias("suburbs"),
-                 _listed(activity_streets(sales, year, property_type), "sales_count").alias("streets"),
-                 ).alias("activity"))
+        F.struct(_listed(_best(suburb_growth.filter(of_year), ["suburb"], k), SUBURB_ORDER,
+                         ["suburb", "avg_cagr", "property_count"]).alias("suburbs"),
+                 _listed(_best_streets(street_growth.filter(of_year), k), STREET_ORDER,
+                         ["street_name", "suburb", "avg_cagr", "property_count"]).alias("streets")).alias("growth"),
+        F.struct(_listed(activity_suburbs(sales, year, property_type, k), ["-sales_count", "suburb"],
+                         ["suburb", "sales_count"]).alias("suburbs"),
+                 _listed(activity_streets(sales, year, property_type, k), ["-sales_count", "suburb", "street_name"],
+                         ["street_name", "suburb", "sales_count"]).alias("streets")).alias("activity"))
 
 
 def growth_chart(leaders: DataFrame, name: str, k: int = 5) -> DataFrame:
@@ -310,6 +340,15 @@ def unified_map_streets(street_growth: DataFrame, centroids: DataFrame, street_s
                        "neighbor_lat", "neighbor_lon", "neighbor_cagr")
 
 
+def unified_map(level: str, growth: DataFrame, centroids: DataFrame, summary: DataFrame, year: int = DEFAULT_YEAR,
+                top: int = 10, k: int = 5) -> DataFrame:
+    """Map data of a level, `suburb` or `street`, from that level's tables; no rows for any other level."""
+    if level == "street":
+        return unified_map_streets(growth, centroids, summary, year, top, k)
+    rows = unified_map_suburbs(growth, centroids, summary, year, top, k)
+    return rows if level == "suburb" else rows.limit(0)
+
+
 def map_clusters(flat: DataFrame) -> DataFrame:
     """Map data with the neighbours nested in their cluster (at most five each)."""
     neighbor = F.when(F.col("neighbor_name").isNotNull(), F.struct(

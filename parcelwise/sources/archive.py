@@ -12,12 +12,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import records
 
-FIRST_YEAR, LAST_YEAR = 2001, 2024
 CHUNK_BYTES = 1 << 20
 BATCH_LINES = 20_000
 
@@ -25,20 +24,33 @@ INNER_SCHEMA = "path STRING, inner_no INT, inner STRING, body BINARY, error STRI
 LINE_SCHEMA = "path STRING, inner_no INT, inner STRING, member_no INT, member STRING, line_no INT, line STRING, error STRING"
 LINE_COLUMNS = ["path", "inner_no", "inner", "member_no", "member", "line_no", "line", "error"]
 
-# An id keeps reading order: year, inner ZIP, member, line, from the highest bits down.
-INNER_BITS, MEMBER_BITS, LINE_BITS = 12, 12, 27
+#: An id is an archive's number, from this bit up, and a line's number within the archive.
+LINE_BITS = 40
 
 
-def read_archives(spark: SparkSession, folder: str, start_year: int = FIRST_YEAR,
-                  end_year: int = LAST_YEAR, done: DataFrame | None = None) -> DataFrame:
-    """Yearly archives `<year>.zip` of a year range as (path, content); years without a file are
-    skipped, and so are paths already listed in `done`."""
-    years = ",".join(str(y) for y in range(start_year, end_year + 1))
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", f"{{{years}}}.zip")
-             .load(folder).select("path", "content"))
+def read_archives(spark: SparkSession, folder: str, start_year: int | None = None,
+                  end_year: int | None = None, done: DataFrame | None = None) -> DataFrame:
+    """Archives of a folder as (path, content): all `.zip` files, or with a bound those named `<year>.zip` within it. Paths
+    already listed in `done` are skipped."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(folder).select("path", "content")
+    if start_year is not None or end_year is not None:
+        year = F.try_to_number(F.regexp_extract("path", r"(?:^|/)(\d{4})\.zip$", 1), F.lit("9999"))
+        files = files.filter(year.between(start_year or 0, end_year or 9999))
     return files if done is None else files.join(done.select("path").distinct(), "path", "left_anti")
 
 
+def numbered_archives(paths: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(path, archive_no) of all `paths` and `known` ones: these keep their numbers, new ones follow in order of path. An
+    archive's number makes its sales' ids, so it must be kept for as long as they are."""
+    paths = paths.select("path").distinct()
+    if known is None:
+        return paths.select("path", F.row_number().over(Window.orderBy("path")).cast("bigint").alias("archive_no"))
+    last = known.agg(F.coalesce(F.max("archive_no"), F.lit(0))).scalar()
+    new = paths.join(known, "path", "left_anti").select(
+        "path", (F.row_number().over(Window.orderBy("path")) + last).cast("bigint").alias("archive_no"))
+    return known.select("path", "archive_no").unionByName(new)
+
+
 def archive_lines(files: DataFrame) -> DataFrame:
     """Every text line with its place in the archives; what could not be read has an error and no
     line. Only .dat members of inner ZIPs count, names in any case."""
@@ -52,15 +64,19 @@ def bad_files(lines: DataFrame) -> DataFrame:
     return lines.filter("error IS NOT NULL").select("path", "inner", "member", "error")
 
 
-def sales_from_lines(lines: DataFrame, as_of=None) -> DataFrame:
-    """Sales parsed from archive lines, with an id that keeps reading order across archives."""
-    year = F.regexp_extract("path", r"(\d{4})[^/]*$", 1).cast("bigint")
-    fits = ((F.col("inner_no") < 1 << INNER_BITS) & (F.col("member_no") < 1 << MEMBER_BITS)
-            & (F.col("line_no") < 1 << LINE_BITS))
-    place = F.shiftleft(F.shiftleft(F.shiftleft(year, INNER_BITS) + F.col("inner_no"), MEMBER_BITS)
-                        + F.col("member_no"), LINE_BITS) + F.col("line_no")
-    numbered = lines.filter("line IS NOT NULL").withColumn(
-        "id", F.when(fits, place).otherwise(F.raise_error(F.lit("archive too large for its id")).cast("bigint")))
+def sales_from_lines(lines: DataFrame, as_of=None, numbers: DataFrame | None = None) -> DataFrame:
+    """Sales parsed from archive lines, with an id that is unique and keeps the order of archives, members and lines.
+
+    `lines` are gone through twice, to count those of every member first; give a stored table where reading them is dear.
+    `numbers` (path, archive_no) are the archives' numbers; without them the archives at hand are numbered by path."""
+    lines = lines.filter("line IS NOT NULL")
+    numbers = numbered_archives(lines) if numbers is None else numbers
+    member = ["path", "inner_no", "member_no"]
+    before = Window.partitionBy("path").orderBy("inner_no", "member_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (lines.groupBy(*member).agg((F.max("line_no") + 1).alias("n"))
+              .join(numbers, "path")
+              .select(*member, (F.shiftleft("archive_no", LINE_BITS) + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("_start")))
+    numbered = lines.join(starts, member).withColumn("id", F.col("_start") + F.col("line_no"))
     blank = {
         "property_legal_description": "string", "latitude": "double", "longitude": "double",
         "realestate_url": "string", "domain_url": "string", "listings_last_checked": "timestamp_ntz",

@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-PAGE_CARDS_SCHEMA = "page_url STRING, portal STRING, position INT, card_address STRING, href STRING"
+PAGE_CARDS_SCHEMA = "page_url STRING, portal STRING, position INT, card_address STRING, href STRING, _error STRING"
 
 # Per portal, (tag, attribute, value) of a card, of its address and of its link.
 MARKUP = {
@@ -21,8 +21,9 @@ VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 
 def extract_cards(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Cards of pages (page_url, portal, html) in page order; address and link are those of the first
-    matching element inside the card, NULL where there is none. Columns of the page named in `keep`
-    come along."""
+    matching element inside the card, NULL where there is none. A page that cannot be read ends there:
+    the cards before stay, and a row without position has the error. Columns of the page named in
+    `keep` come along."""
     keep = keep or []
     schema = ", ".join([PAGE_CARDS_SCHEMA, *[f"{c} {t}" for c, t in pages.select(*keep).dtypes]])
 
@@ -30,25 +31,32 @@ def extract_cards(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
         for batch in batches:
             rows = []
             for url, portal, html, *kept in batch.itertuples(index=False):
-                rows += [(url, portal, i, c["address"], c["href"], *kept) for i, c in enumerate(_read(portal, html))]
-            yield pd.DataFrame(rows, columns=["page_url", "portal", "position", "card_address", "href", *keep])
+                found, error = _read(portal, html)
+                rows += [(url, portal, i, c["address"], c["href"], None, *kept) for i, c in enumerate(found)]
+                if error:
+                    rows.append((url, portal, None, None, None, error, *kept))
+            frame = pd.DataFrame(rows, columns=["page_url", "portal", "position", "card_address", "href", "_error", *keep])
+            yield frame.astype({"position": "Int32"})
 
     return pages.select("page_url", "portal", "html", *keep).mapInPandas(cards, schema)
 
 
 def search_cards(pages: DataFrame) -> DataFrame:
     """Cards of search pages that know their suburb and postcode, ready for the listing match."""
-    return extract_cards(pages, ["suburb_slug", "post_code"]).select(
+    return extract_cards(pages, ["suburb_slug", "post_code"]).filter("position IS NOT NULL").select(
         "portal", "suburb_slug", "post_code", "position", "card_address", "href")
 
 
-def _read(portal: str, html: str | None) -> list[dict]:
+def _read(portal: str, html: str | None) -> tuple[list[dict], str | None]:
     if portal not in MARKUP or not html:
-        return []
+        return [], None
     reader = _CardReader(*MARKUP[portal])
-    reader.feed(html)
-    reader.close()
-    return reader.cards
+    try:
+        reader.feed(html)
+        reader.close()
+    except Exception as error:  # the parser gives up on some malformed declarations
+        return reader.cards, f"{type(error).__name__}: {error}"
+    return reader.cards, None
 
 
 class _CardReader(HTMLParser):

@@ -37,6 +37,11 @@ def write_table(df: DataFrame, root: str, name: str, partition_by: list[str] | N
     return target
 
 
+def has_table(spark: SparkSession, root: str, name: str) -> bool:
+    """Whether there is a complete version."""
+    return bool(_versions(spark, root, name, complete=True))
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The last complete version of a table."""
     versions = _versions(spark, root, name, complete=True)

@@ -12,20 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..sources import archive
+from ..sources.tables import has_table, read_table, write_table
 
 BINARY_FILE_DDL = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def stream_sales(spark: SparkSession, folder: str, as_of: date | None = None) -> DataFrame:
-    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_DDL)
-             .option("pathGlobFilter", "*.zip").option("maxFilesPerTrigger", 8)
-             .load(folder).select("path", "content"))
-    return archive.sales_from_lines(archive.archive_lines(files), as_of)
+def stream_files(spark: SparkSession, folder: str) -> DataFrame:
+    return (spark.readStream.format("binaryFile").schema(BINARY_FILE_DDL)
+            .option("pathGlobFilter", "*.[zZ][iI][pP]").option("maxFilesPerTrigger", 8)
+            .load(folder).select("path", "content"))
 
 
-def ingest_drops(spark: SparkSession, folder: str, target: str, checkpoint: str,
+def ingest_drops(spark: SparkSession, folder: str, root: str, checkpoint: str,
                  as_of: date | None = None) -> StreamingQuery:
-    """Append every archive that is not in `target` yet, then stop."""
-    return (stream_sales(spark, folder, as_of).writeStream.format("parquet").outputMode("append")
-            .option("path", target).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    """Append every archive not read yet to `<root>/sales`, what cannot be read to `<root>/bad_files`, then stop.
+
+    Files of any name are taken. Each batch numbers its archives after those in `<root>/archives`, writes its lines aside and
+    then a folder of its own, `batch=<number>`; a batch that is run again replaces what it wrote, so no sale is added twice."""
+    def append(files: DataFrame, batch: int) -> None:
+        known = read_table(spark, root, "archives") if has_table(spark, root, "archives") else None
+        write_table(archive.numbered_archives(files, known), root, "archives")
+        numbers = read_table(spark, root, "archives")
+        write_table(archive.archive_lines(files), root, "archive_lines")
+        lines = read_table(spark, root, "archive_lines")
+        for name, df in (("sales", archive.sales_from_lines(lines, as_of, numbers)), ("bad_files", archive.bad_files(lines))):
+            df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
+
+    return (stream_files(spark, folder).writeStream.foreachBatch(append)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

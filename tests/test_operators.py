@@ -111,7 +111,7 @@ def test_nearest_station(spark):
     spots = [(-34 + float(a), 151 + float(b)) for a, b in rng.random((23, 2))]
     stations = stations_of(spark, spots + spots[:3])
     inline = spatial.with_nearest_station(sales, stations).select("id", "nearest_station", "distance_to_station")
-    blocks = spatial._nearest_station_blocks(sales, stations, 5).select("id", "nearest_station", "distance_to_station")
+    blocks = spatial.with_nearest_station(sales, stations, max_inline=5).select("id", "nearest_station", "distance_to_station")
     want = {}
     for i, (a, b) in enumerate(points):
         dist = []
@@ -126,6 +126,23 @@ def test_nearest_station(spark):
         assert got == want
 
 
+def test_equally_near_stations(spark):
+    """Mirrored east and west: the one listed first is the nearest, however stations reach the search."""
+    spots = [(-34 + i * 0.01, 151 + (i * 7 % 100) * 0.01) for i in range(200)]
+    sales = sales_of(spark, [sale(str(i), "2010-01-01", 1.0, latitude=a, longitude=b) for i, (a, b) in enumerate(spots)])
+    stations = stations_of(spark, [(a, b + side * 0.004) for a, b in spots for side in (1, -1)])
+    for most in (5_000, 7):
+        found = spatial.with_nearest_station(sales, stations, max_inline=most)
+        assert {r.id: r.nearest_station for r in found.collect()} == {i + 1: f"s{2 * i}" for i in range(200)}
+
+
+def test_stations_without_place_or_number(spark):
+    sales = sales_of(spark, [sale("a", "2010-01-01", 1.0, latitude=-34.0, longitude=151.0)])
+    stations = spark.createDataFrame([(None, "last", -34.0, 151.0), (5, "first", -34.0, 151.0), (1, "none", None, 151.0)], STATIONS_DDL)
+    for most in (5_000, 1):
+        assert spatial.with_nearest_station(sales, stations, max_inline=most).first().nearest_station == "first"
+
+
 def test_no_stations(spark):
     sales = sales_of(spark, [sale("a", "2010-01-01", 1.0, latitude=-34.0, longitude=151.0)])
     row = spatial.with_nearest_station(sales, spark.createDataFrame([], STATIONS_DDL)).first()
@@ -211,8 +228,8 @@ def test_geocoding(spark):
     merged = enrich.apply_updates(sales, updates, ["latitude", "longitude"])
     assert {r.id: r.latitude for r in merged.collect()} == {1: -33.0, 2: None, 3: -30.0, 4: 0.0}
     assert sorted(r.id for r in enrich.by_ids(sales, [1, 3, 4]).collect()) == [1, 4]
-    with pytest.raises(ValueError):
-        enrich.by_ids(sales, list(range(21)))
+    assert sorted(r.id for r in enrich.by_ids(sales, [*range(1, 40), 1, 4]).collect()) == [1, 2, 4]
+    assert [r.id for r in enrich.by_ids(sales, spark.createDataFrame([(2,), (2,)], "id long")).collect()] == [2]
 
 
 def test_listing_match_equals_containment(spark):

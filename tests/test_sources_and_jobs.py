@@ -62,13 +62,28 @@ def test_archives(spark, tmp_path):
     assert any(inner == "w3.zip" for _, inner, _ in bad)
     sales = archive.sales_from_lines(lines, AS_OF).orderBy("id").collect()
     assert [(r.property_id, r.purchase_price) for r in sales] == [
-        ("p1", 100.0), ("p1", 200.0), ("p2", 100.0), ("p3", 100.0), ("p1", 300.0)]
+        ("p1", 100.0), ("p1", 200.0), ("p2", 100.0), ("p3", 100.0), ("p1", 300.0), ("p3", 100.0), ("p1", 300.0)]
     assert sales[2].property_name == "Café"
-    assert len({r.id for r in sales}) == 5
+    assert len({r.id for r in sales}) == 7
     one = archive.read_archives(spark, str(tmp_path), 2002, 2003)
     assert [r.path[-8:] for r in one.collect()] == ["2003.zip"]
     rest = archive.read_archives(spark, str(tmp_path), done=one)
-    assert sorted(r.path[-8:] for r in rest.collect()) == ["2001.zip", "2004.zip"]
+    assert sorted(r.path[-8:] for r in rest.collect()) == ["2001.zip", "2004.zip", "2030.zip"]
+    assert [r.path[-8:] for r in archive.read_archives(spark, str(tmp_path), start_year=2005).collect()] == ["2030.zip"]
+
+
+def test_ids_of_any_names(spark, tmp_path):
+    """Weekly drops of one year, and names without a year."""
+    for name in ("20240101.zip", "20240108.zip", "drop.ZIP", "2024.zip"):
+        (tmp_path / name).write_bytes(zipped({"w.zip": zipped({"a.dat": record("p1") + "\n" + record("p2"), "b.dat": record("p3")})}))
+    lines = archive.archive_lines(archive.read_archives(spark, str(tmp_path))).cache()
+    sales = archive.sales_from_lines(lines, AS_OF)
+    assert sales.count() == 12 == sales.select("id").distinct().count()
+    assert [r.property_id for r in sales.orderBy("id").collect()] == ["p1", "p2", "p3"] * 4
+    known = spark.createDataFrame([("other", 7)], "path string, archive_no long")
+    numbers = archive.numbered_archives(lines, known)
+    assert sorted(r.archive_no for r in numbers.collect()) == [7, 8, 9, 10, 11]
+    assert archive.sales_from_lines(lines, AS_OF, numbers).agg(F.min("id")).first()[0] == 8 << archive.LINE_BITS
 
 
 def test_lines_across_chunks(monkeypatch):
@@ -106,7 +121,11 @@ def test_cards(spark):
     pages = spark.createDataFrame([("u", "rea", html), ("v", "other", html), ("w", "domain", None)],
                                   "page_url string, portal string, html string")
     assert sorted(map(tuple, extract_cards(pages).collect())) == [
-        ("u", "rea", 0, "1 A & B", "/yes"), ("u", "rea", 1, None, None)]
+        ("u", "rea", 0, "1 A & B", "/yes", None), ("u", "rea", 1, None, None, None)]
+    odd = spark.createDataFrame([("odd", "rea", html + "<![foo[bar]]>" + html), ("u", "rea", html)], pages.schema)
+    got = extract_cards(odd).collect()
+    assert sorted(r.position for r in got if r.page_url == "u") == [0, 1]
+    assert [r._error.split(":")[0] for r in got if r._error] == ["AssertionError"] and len([r for r in got if r.page_url == "odd"]) == 3
     known = pages.selectExpr("*", "'potts+point' as suburb_slug", "2000 as post_code")
     assert ("rea", "potts+point", 2000, 0, "1 A & B", "/yes") in set(map(tuple, search_cards(known).collect()))
 
@@ -115,7 +134,10 @@ def test_jobs(spark, tmp_path):
     drops, root = tmp_path / "in", str(tmp_path / "out")
     drops.mkdir()
     make_archives(drops)
-    jobs.ingest(spark, str(drops), root, as_of=AS_OF)
+    counts = jobs.ingest(spark, str(drops), root, end_year=2024, as_of=AS_OF).first()
+    assert (counts.archives, counts.sales) == (3, 5)
+    bad = {(r.path[-8:], r.inner) for r in tables.read_table(spark, root, "bad_files").collect()}
+    assert bad == {("2001.zip", "W2.ZIP"), ("2001.zip", "w3.zip"), ("2004.zip", None)} and counts.bad_files == 3
     jobs.build_growth(spark, root)
     growth = tables.read_table(spark, root, "property_growth").collect()
     assert [(r.property_id, r.first_sale_price, r.last_sale_price) for r in growth] == [("p1", 100.0, 300.0)]
@@ -136,9 +158,12 @@ def test_jobs(spark, tmp_path):
 
     before = {r.id for r in sales.collect()}
     kept = sales.select("id", *jobs.ENRICHED)
-    jobs.ingest(spark, str(drops), root, as_of=AS_OF, enrichment=kept)
+    jobs.ingest(spark, str(drops), root, end_year=2024, as_of=AS_OF, enrichment=kept)
     again = tables.read_table(spark, root, "sales")
     assert {r.id for r in again.collect()} == before and again.filter("latitude = -33.9").count() == 5
+    more = jobs.ingest(spark, str(drops), root, as_of=AS_OF, keep_existing=True).first()
+    assert (more.archives, more.sales, more.bad_files) == (4, 7, 3)
+    assert tables.read_table(spark, root, "sales").filter("latitude = -33.9").count() == 5
     jobs.ingest(spark, str(drops), root, as_of=AS_OF)
     assert tables.read_table(spark, root, "sales").filter("latitude IS NOT NULL").count() == 0
 
@@ -147,10 +172,12 @@ def test_stream_of_drops(spark, tmp_path):
     drops = tmp_path / "in"
     drops.mkdir()
     make_archives(drops)
-    target, checkpoint = str(tmp_path / "sales"), str(tmp_path / "cp")
-    ingest_drops(spark, str(drops), target, checkpoint, AS_OF).awaitTermination()
-    assert spark.read.parquet(target).count() == 7
+    (drops / "drop.zip").write_bytes(zipped({"w.zip": zipped({"n.dat": record("odd name")})}))
+    root, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    ingest_drops(spark, str(drops), root, checkpoint, AS_OF).awaitTermination()
+    assert spark.read.parquet(f"{root}/sales").count() == 8
+    assert spark.read.parquet(f"{root}/bad_files").count() == 3
     (drops / "2005.zip").write_bytes(zipped({"w.zip": zipped({"n.dat": record("new")})}))
-    ingest_drops(spark, str(drops), target, checkpoint, AS_OF).awaitTermination()
-    got = spark.read.parquet(target)
-    assert got.count() == 8 and got.filter("property_id = 'new'").count() == 1
+    ingest_drops(spark, str(drops), root, checkpoint, AS_OF).awaitTermination()
+    got = spark.read.parquet(f"{root}/sales")
+    assert got.count() == 9 == got.select("id").distinct().count() and got.filter("property_id = 'new'").count() == 1
