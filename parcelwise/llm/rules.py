@@ -47,36 +47,89 @@ def languages(batch: pa.RecordBatch, texts: pa.Array, other: bool = False) -> np
     return (code & np.uint64(0xFFFFFFFE) | half) << np.uint64(32)
 
 
+class Known:
+    """Numbers for keys in order of their first appearance, in sorted arrays."""
+
+    def __init__(self):
+        self.keys, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of different keys, and which of them are new."""
+        new = ~np.isin(keys, self.keys, assume_unique=True)
+        merged = np.concatenate([self.keys, keys[new]])
+        order = np.argsort(merged, kind="stable")
+        self.numbers = np.concatenate([self.numbers, np.arange(len(self.keys), len(merged))])[order]
+        self.keys = merged[order]
+        return self.numbers[np.searchsorted(self.keys, keys)], new
+
+
 class Words:
-    """The different words of a chunk by language, and the byte n-grams in them."""
+    """The words of a chunk, each different one (by language) once."""
 
     def __init__(self, chunk: Chunk, lang: np.ndarray):
-        starts, ends, text = bounds(chunk)
-        own = paired(hashes(chunk.data, starts, ends), lang[chunk.first + text])
-        _, first, self.place, self.times = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
-        self.text, starts, ends = text + chunk.first, starts[first], ends[first]
-        self.symbols = ends - starts + 1
-        self.word = np.repeat(np.arange(len(first)), self.symbols)
-        at = np.arange(len(self.word)) - np.repeat(np.cumsum(self.symbols) - self.symbols, self.symbols)
-        begin, size = starts[self.word], (ends - starts)[self.word]
-        padded = np.r_[chunk.data, np.uint8(EDGE)]
-        self.symbol = np.where(at < size, padded[begin + at], EDGE).astype(np.uint64)
-        self.context = lang[self.text[first]][self.word]
+        self.data, (self.starts, self.ends, text) = chunk.data, bounds(chunk)
+        self.text = text + chunk.first
+        self.lang = lang[self.text]
+        own = paired(hashes(chunk.data, self.starts, self.ends), self.lang)
+        self.keys, self.first, self.place, self.times = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+
+    def ngrams(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, context, symbol) of the bytes of `some` of the different words and of their ends."""
+        at = self.first[some]
+        starts, sizes = self.starts[at], self.ends[at] - self.starts[at]
+        word = np.repeat(np.arange(len(at)), sizes + 1)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1)
+        begin, size = starts[word], sizes[word]
+        padded = np.r_[self.data, np.uint8(EDGE)]
+        symbol = np.where(place < size, padded[begin + place], EDGE).astype(np.uint64)
+        context = self.lang[at][word]
         for back in range(1, ORDER):
-            byte = np.where(at >= back, padded[begin + at - back], EDGE).astype(np.uint64)
-            self.context |= byte << np.uint64(8 * (back - 1))
+            byte = np.where(place >= back, padded[begin + place - back], EDGE).astype(np.uint64)
+            context |= byte << np.uint64(8 * (back - 1))
+        return word, context, symbol
+
+
+#: N-grams of different words that a task holds before it passes their counts on, or forgets their probabilities.
+HELD = 3 << 20
+
+
+class Counter:
+    """Counts of byte n-grams: words are counted first, and the n-grams of each different word taken once."""
+
+    def __init__(self):
+        self.known, self.times, self.held, self.size = Known(), np.empty(0, np.int64), [], 0
+
+    def add(self, words: Words) -> None:
+        before = len(self.known)
+        numbers, new = self.known(words.keys)
+        self.times = np.concatenate([self.times, np.zeros(len(self.known) - before, np.int64)])
+        self.times[numbers] += words.times
+        word, context, symbol = words.ngrams(np.flatnonzero(new))
+        self.held.append((numbers[new][word], context, symbol))
+        self.size += len(word)
+
+    def entries(self) -> kn.Entries:
+        word, context, symbol = map(np.concatenate, zip(*self.held))
+        _, first, place = np.unique(paired(context, symbol), return_index=True, return_inverse=True)
+        return context[first], symbol[first], np.bincount(place, self.times[word], len(first)).astype(np.uint64)
 
 
 def _ngrams(route: kn.Route):
     def parts(batches):
+        counter = Counter()
         for batch in batches:
             texts = text_column(batch)
             lang = languages(batch, texts)
             for chunk in chunks(texts):
-                words = Words(chunk, lang)
-                _, first, place = np.unique(paired(words.context, words.symbol), return_index=True, return_inverse=True)
-                count = np.bincount(place, words.times[words.word], len(first)).astype(np.uint64)
-                yield words.context[first], words.symbol[first], count
+                counter.add(Words(chunk, lang))
+                if counter.size > HELD:
+                    yield counter.entries()
+                    counter = Counter()
+        if counter.size:
+            yield counter.entries()
 
     schema = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
 
@@ -95,17 +148,28 @@ def learn(df: DataFrame) -> kn.Model:
     return kn.build(rows, folder, ORDER, dict.fromkeys(range(1, ORDER + 1), route), shorten, 1 / 256)
 
 
-def log_perplexities(texts: pa.Array, lang: np.ndarray, model: kn.Model) -> np.ndarray:
-    """Mean negative log10 probability of the bytes of a text's words and of their ends; nan without words."""
-    total, symbols = np.zeros(len(texts)), np.zeros(len(texts))
-    for chunk in chunks(texts):
-        words = Words(chunk, lang)
-        if not len(words.word):
-            continue
-        each = np.bincount(words.word, np.log10(model.probability(words.context, words.symbol)))
-        total += np.bincount(words.text, each[words.place], len(texts))
-        symbols += np.bincount(words.text, words.symbols[words.place], len(texts))
-    return np.divide(-total, symbols, out=np.full(len(texts), np.nan), where=symbols > 0)
+class Perplexity:
+    """Mean negative log10 probability of the bytes of a text's words and of their ends; nan without words. What is found for a
+    word is kept for the texts that follow."""
+
+    def __init__(self, model: kn.Model):
+        self.model, self.known, self.logs, self.size = model, Known(), np.empty(0), 0
+
+    def __call__(self, texts: pa.Array, lang: np.ndarray) -> np.ndarray:
+        total, symbols = np.zeros(len(texts)), np.zeros(len(texts))
+        for chunk in chunks(texts):
+            words = Words(chunk, lang)
+            if not len(words.keys):
+                continue
+            if self.size > HELD:
+                self.known, self.logs, self.size = Known(), np.empty(0), 0
+            numbers, new = self.known(words.keys)
+            word, context, symbol = words.ngrams(np.flatnonzero(new))
+            logs = np.log10(self.model.probability(context, symbol))
+            self.logs, self.size = np.concatenate([self.logs, np.bincount(word, logs, int(new.sum()))]), self.size + len(word)
+            total += np.bincount(words.text, self.logs[numbers][words.place], len(texts))
+            symbols += np.bincount(words.text, words.ends - words.starts + 1, len(texts))
+        return np.divide(-total, symbols, out=np.full(len(texts), np.nan), where=symbols > 0)
 
 
 def _repeated(word: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
@@ -176,11 +240,12 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 def measured(df: DataFrame, model: kn.Model, keep: list[str]) -> DataFrame:
     """`keep` columns of `df` (which has text and lang), COUNTS, base_failed and log_perplexity (null without words)."""
     def run(batches):
+        perplexity = Perplexity(model)
         for batch in batches:
             texts = text_column(batch)
             columns = base_counts(texts)
             words, again = columns["n_words"], columns["n_repeat_words"]
-            logs = log_perplexities(texts, languages(batch, texts, other=True), model)
+            logs = perplexity(texts, languages(batch, texts, other=True))
             rest = {name: batch.column(batch.schema.get_field_index(name)) for name in keep}
             yield pa.RecordBatch.from_pydict(rest | columns | {
                 "base_failed": (words < 50) | (100 * again > 50 * words), "log_perplexity": pa.array(logs, from_pandas=True)})
