@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -15,9 +17,11 @@ from parcelwise.operators import enrich, growth, quantile, spatial
 from parcelwise.operators.filters import dashboard_filters
 from parcelwise.operators.neighbors import nearest_sales_of_all
 from parcelwise.operators.numbering import latest_sales, number_sales
-from parcelwise.plans import checks, reads
+from parcelwise.plans import checks, jobs, reads
+from parcelwise.sources import archive
 from parcelwise.sources.listings import extract_cards
 from parcelwise.sources.records import parse_records
+from parcelwise.sources.tables import read_table, write_table
 
 try:
     import corpus_pipeline
@@ -228,6 +232,29 @@ def _short_prices(m: Market) -> DataFrame:
         display.growth_bar(F.col("purchase_price") / 1e6).alias("bar"))
 
 
+def _ingested(m: Market) -> DataFrame:
+    lines = archive.archive_lines(fixtures.archives(m.spark, m.dir))
+    return archive.sales_from_lines(lines, AS_OF)
+
+
+def _bad_files(m: Market) -> DataFrame:
+    bad = archive.bad_files(archive.archive_lines(fixtures.archives(m.spark, m.dir)))
+    return bad.select(F.startswith("path", F.lit("damaged")).alias("damaged"), "inner").groupBy("damaged", "inner").agg(
+        F.count("*").alias("files"))
+
+
+def _stored(m: Market) -> DataFrame:
+    """The growth build as a job: what the stored tables hold, read back."""
+    context = m.spark.sparkContext
+    folder = m.spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or f"file://{tempfile.mkdtemp()}"
+    root = f"{folder}/growth-{uuid.uuid4().hex}"
+    write_table(m.sales, root, "sales")
+    jobs.build_growth(m.spark, root)
+    summary, places = (read_table(m.spark, root, f"suburb_{n}") for n in ("summary", "centroids"))
+    years = read_table(m.spark, root, "suburb_growth").groupBy("suburb").agg(F.count("*").alias("years"))
+    return rounded(summary.join(years, "suburb", "left").join(places, "suburb", "left"), *PLACE)
+
+
 QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     # growth build
     "property_growth": lambda m: rounded(m.growth),
@@ -297,6 +324,11 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "haversine": lambda m: rounded(m.sales.select("id", geo.haversine_km(
         F.col("latitude"), F.col("longitude"), F.lit(-33.8688), F.lit(151.2093)).alias("km"))),
     # ingest
+    "ingest_nested_zip": lambda m: _ingested(m).select("property_id", "sale_counter", "contract_date", "purchase_price", "area",
+                                                       "property_street_name"),
+    "ingest_ids": lambda m: _ingested(m).agg(F.count("*").alias("sales"), F.countDistinct("id").alias("ids")),
+    "ingest_bad_files": _bad_files,
+    "stored_growth": _stored,
     "parse_records": lambda m: parse_records(fixtures.dat_lines(m.spark, m.dir), AS_OF),
     "title_case": lambda m: fixtures.raw_names(m.spark, m.dir).select("id", text.title_case(F.col("raw")).alias("name")),
     "listing_cards": lambda m: extract_cards(fixtures.listing_pages(m.spark, m.dir)).drop("_error"),

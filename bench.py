@@ -47,17 +47,17 @@ def main() -> None:
                                              sort_by=["property_locality", "contract_date"]))
     timed("growth_build", lambda: jobs.build_growth(spark, root))
     t = {name: read_table(spark, root, name) for name in (
-        "sales", "property_growth", "street_growth", "suburb_growth", "street_summary", "suburb_summary")}
+        "sales", "property_growth", "street_growth", "suburb_growth", "street_summary", "suburb_summary",
+        "suburb_centroids", "street_centroids")}
     sales, growth = t["sales"], t["property_growth"]
-    timed("centroids", lambda: (write_table(reads.suburb_centroids(sales), root, "suburb_centroids"),
-                                write_table(reads.street_centroids(sales), root, "street_centroids")))
-    suburbs, streets = read_table(spark, root, "suburb_centroids"), read_table(spark, root, "street_centroids")
+    suburbs, streets = t["suburb_centroids"], t["street_centroids"]
 
     queries = {
         "sales_list": lambda: reads.sales_list(sales, growth, stations, start_date="2016-01-01", end_date="2019-12-31",
                                                property_type="Residence", min_price=1000, max_price=90000),
         "sales_list_min_growth": lambda: reads.sales_list(sales, growth, stations, min_growth=5),
         "monthly_price": lambda: reads.monthly_price(sales),
+        "monthly_median_price": lambda: reads.monthly_median_price(sales),
         "top_suburbs": lambda: reads.top_suburbs(sales),
         "property_history": lambda: reads.property_history(sales, growth, stations, PROPERTY),
         "suburb_cagr": lambda: reads.suburb_cagr(t["suburb_growth"], SUBURB, YEAR),

@@ -443,6 +443,16 @@ ORACLE_SQL = {
     "haversine": with_(INPUTS) + f""" select id, round({km('latitude', 'longitude', '-33.8688e0', '151.2093e0')}, 6)
         as km from sales""",
 
+    "ingest_nested_zip": """ select cast(l_partkey as varchar) as property_id, cast(l_linenumber as varchar) as sale_counter,
+        cast(l_shipdate as date) as contract_date, l_extendedprice as purchase_price, l_quantity as area,
+        'Kent St' as property_street_name from lineitem""",
+    "ingest_ids": " select count(*) as sales, count(*) as ids from lineitem",
+    "ingest_bad_files": """ select false as damaged, 'broken.zip' as inner, count(distinct (year(l_shipdate), l_orderkey // 20000)) as files
+        from lineitem union all select true, null, count(distinct l_orderkey // 20000) from lineitem where year(l_shipdate) = 1995""",
+    "stored_growth": with_(INPUTS, GROWTH, SPACE) + """ select s.suburb, unique_properties, total_sales, round(avg_cagr, 6) as avg_cagr,
+        is_top_performer, y.years, cast(cast(lat as float) as double) as lat, cast(cast(lon as float) as double) as lon
+        from suburb_summary s left join suburb_points p on s.suburb = p.suburb
+        left join (select suburb, count(*) as years from suburb_growth group by 1) y on s.suburb = y.suburb""",
     "parse_records": f""" select 'D1' as district_code, cast(l_partkey as varchar) as property_id,
         cast(l_linenumber as varchar) as sale_counter, '20240101 00:00' as download_datetime, '' as property_name,
         '' as property_unit_number, '12' as property_house_number, {TITLE_NAME} as property_street_name,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -133,6 +137,36 @@ def dat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         case when l_suppkey % 19 > 0 then '' end) as line""")
 
 
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of weekly archives, several with the same year, of monthly inner ones with a member per line number. Each
+    holds an inner archive that is none, and those of 1995 are each followed by a damaged archive."""
+    lines = _table(spark, sf_dir, "lineitem")
+    rows = lines.selectExpr(
+        "concat(year(l_shipdate), '-', floor(l_orderkey / 20000), '.zip') as path", "month(l_shipdate) as month", "l_linenumber as number",
+        """concat_ws(';', 'B', 'D1', cast(l_partkey as string), cast(l_linenumber as string), '20240101 00:00', '', '', '1', 'KENT ST',
+        'SYDNEY', '2000', cast(l_quantity as string), 'M', date_format(l_shipdate, 'yyyyMMdd'), '', cast(l_extendedprice as string),
+        'R2', 'R', 'RESIDENCE', '', '', '', '', 'AB1', '') as line""")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        path, outer = pdf["path"].iloc[0], {"broken.zip": b"none"}
+        for month, part in pdf.groupby("month"):
+            outer[f"{month}.zip"] = _zipped({f"{n}.DAT": "\r\n".join(sorted(some["line"])) for n, some in part.groupby("number")})
+        found = [(path, _zipped(outer))]
+        if path.startswith("1995"):
+            found.append((f"damaged-{path}", b"PK"))
+        return pd.DataFrame(found, columns=["path", "content"])
+
+    return rows.groupBy("path").applyInPandas(pack, "path string, content binary")
+
+
+def _zipped(members: dict) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, body in members.items():
+            archive.writestr(name, body)
+    return out.getvalue()
+
+
 def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with apostrophes, hyphens and digits, for title casing."""
     return _table(spark, sf_dir, "part").selectExpr(

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 EXACT = "decimal(27,9)"
 
 
+def exact_parts(column: str) -> dict[str, Column]:
+    """Sum (exact) and number of the values that are numbers."""
+    exact = F.col(column).try_cast(EXACT)
+    return {"sum": F.sum(exact), "n": F.count(exact)}
+
+
 def exact_mean(column: str) -> Column:
     """Mean of the values that are numbers, summed up exactly as decimals; NULL if there are none."""
-    exact = F.col(column).try_cast(EXACT)
-    return F.try_divide(F.sum(exact).cast("double"), F.count(exact))
+    parts = exact_parts(column)
+    return F.try_divide(parts["sum"].cast("double"), parts["n"])

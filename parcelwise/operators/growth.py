@@ -26,15 +26,27 @@ def valid_sales(sales: DataFrame) -> DataFrame:
                         & ~F.isnan("purchase_price"))
 
 
+PLACE = ["property_street_name", "property_locality", "property_post_code"]
+
+
+def property_spans(sales: DataFrame) -> DataFrame:
+    """The one pass over sales: per property and address the number of valid sales and the first and the last of them. Both the
+    growth figures and the summaries are read from it."""
+    place = F.struct("contract_date", "id", "purchase_price", *PLACE)
+    return valid_sales(sales).groupBy("property_id", *PLACE).agg(
+        F.count("*").alias("n"), F.count("id").alias("ids"), F.min(place).alias("f"),
+        F.max(F.struct("contract_date", "id", "purchase_price")).alias("l"))
+
+
 def repeat_sales(sales: DataFrame) -> DataFrame:
+    return repeat_sales_of(property_spans(sales))
+
+
+def repeat_sales_of(spans: DataFrame) -> DataFrame:
     """One row per property with two or more valid sales: growth figures, the address of its first
     sale and the year of its last. Same-day sales are ordered by id."""
-    first = F.struct("contract_date", "id", "purchase_price", "property_street_name",
-                     "property_locality", "property_post_code")
-    last = F.struct("contract_date", "id", "purchase_price")
-    ends = (valid_sales(sales).filter(F.col("property_id").isNotNull())
-            .groupBy("property_id")
-            .agg(F.count("*").alias("n"), F.min(first).alias("f"), F.max(last).alias("l"))
+    ends = (spans.filter(F.col("property_id").isNotNull()).groupBy("property_id")
+            .agg(F.sum("n").alias("n"), F.min("f").alias("f"), F.max("l").alias("l"))
             .filter(F.col("n") >= 2))
     first_price, last_price = F.col("f.purchase_price"), F.col("l.purchase_price")
     return (ends.withColumn("years_held", fn.years_held(F.col("f.contract_date"), F.col("l.contract_date")))
@@ -88,23 +100,21 @@ def suburb_growth(cube: DataFrame, start_year: int = START_YEAR) -> DataFrame:
     return _by_year(per_suburb, SUBURB, start_year)
 
 
-def _rated(sales: DataFrame, cube: DataFrame, keys: list[str]) -> DataFrame:
-    counts = (valid_sales(sales)
-              .withColumnsRenamed({"property_street_name": "street_name", "property_locality": "suburb",
-                                   "property_post_code": "post_code"})
-              .dropna(subset=keys).groupBy(*keys)
-              .agg(F.countDistinct("property_id").alias("unique_properties"),
-                   F.count("id").alias("total_sales")))
+def _rated(spans: DataFrame, cube: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct properties are counted by way of one row per key and property, so that a key with very many is no single task's."""
+    per_property = (spans.withColumnsRenamed(dict(zip(PLACE, STREET))).dropna(subset=keys)
+                    .groupBy(*keys, "property_id").agg(F.sum("ids").alias("ids")))
+    counts = per_property.groupBy(*keys).agg(F.count("property_id").alias("unique_properties"), F.sum("ids").alias("total_sales"))
     return counts.join(_totals(cube, keys).drop("property_count"), keys, "left")
 
 
-def rated_streets(sales: DataFrame, cube: DataFrame) -> DataFrame:
+def rated_streets(spans: DataFrame, cube: DataFrame) -> DataFrame:
     """All-time figures per street; streets without a postcode are left out."""
-    return _rated(sales, cube, STREET)
+    return _rated(spans, cube, STREET)
 
 
-def rated_suburbs(sales: DataFrame, cube: DataFrame) -> DataFrame:
-    return _rated(sales, cube, SUBURB)
+def rated_suburbs(spans: DataFrame, cube: DataFrame) -> DataFrame:
+    return _rated(spans, cube, SUBURB)
 
 
 def with_top_flag(rated: DataFrame) -> DataFrame:
@@ -115,8 +125,8 @@ def with_top_flag(rated: DataFrame) -> DataFrame:
 
 
 def street_summary(sales: DataFrame, cube: DataFrame) -> DataFrame:
-    return with_top_flag(rated_streets(sales, cube))
+    return with_top_flag(rated_streets(property_spans(sales), cube))
 
 
 def suburb_summary(sales: DataFrame, cube: DataFrame) -> DataFrame:
-    return with_top_flag(rated_suburbs(sales, cube))
+    return with_top_flag(rated_suburbs(property_spans(sales), cube))

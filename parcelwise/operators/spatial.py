@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.mean import exact_mean
+from ..functions.mean import exact_parts
 
 #: Stations that travel with the search function; a longer list is searched in blocks of this size.
 MAX_INLINE_STATIONS = 5_000
@@ -24,12 +24,23 @@ SUBURB = ["suburb"]
 STREET = ["street_name", "suburb"]
 
 
-def centroids(sales: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean position per suburb or per (street, suburb) over sales with a latitude."""
+def place_sums(sales: DataFrame) -> DataFrame:
+    """Exact sums and numbers of coordinates per (street, suburb), over sales with a latitude."""
     return (sales.filter("latitude IS NOT NULL")
             .withColumnsRenamed({"property_street_name": "street_name", "property_locality": "suburb"})
-            .groupBy(*keys)
-            .agg(exact_mean("latitude").alias("lat"), exact_mean("longitude").alias("lon")))
+            .groupBy(*STREET)
+            .agg(*[part.alias(f"{name}_{kind}") for name, column in (("lat", "latitude"), ("lon", "longitude"))
+                   for kind, part in exact_parts(column).items()]))
+
+
+def centroids_of(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean position per suburb or per (street, suburb)."""
+    return sums.groupBy(*keys).agg(*[
+        F.try_divide(F.sum(f"{name}_sum").cast("double"), F.sum(f"{name}_n")).alias(name) for name in ("lat", "lon")])
+
+
+def centroids(sales: DataFrame, keys: list[str]) -> DataFrame:
+    return centroids_of(place_sums(sales), keys)
 
 
 def differs(keys: list[str], values: list[Column]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import enrich, growth
+from ..operators import enrich, growth, spatial
 from ..operators.numbering import latest_sales
 from ..sources import archive
 from ..sources.tables import has_table, read_table, write_table
@@ -49,20 +49,25 @@ def ingest(spark: SparkSession, archives: str, root: str, start_year: int | None
 
 def build_growth(spark: SparkSession, root: str, start_year: int = growth.START_YEAR,
                  end_year: int = growth.END_YEAR) -> None:
-    """Rebuild the five derived tables from `sales`, which is left alone. What several of them are
+    """Rebuild the derived tables from `sales`, which is left alone: growth per property, per street and suburb and year, the
+    summaries, and the centroids. Sales are gone through twice, once for prices and once for places. What several tables are
     read from is written once and read back, so it is neither computed twice nor lost with an executor."""
     def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         write_table(df, root, name, partition_by)
         return read_table(spark, root, name)
 
     sales = read_table(spark, root, "sales")
-    repeats = stored(growth.repeat_sales(sales), "repeat_sales")
+    spans = stored(growth.property_spans(sales), "property_spans")
+    repeats = stored(growth.repeat_sales_of(spans), "repeat_sales")
     stored(growth.property_growth(repeats), "property_growth")
     cube = stored(growth.growth_cube(repeats, end_year), "growth_cube")
     stored(growth.street_growth(cube, start_year).hint("rebalance", "year"), "street_growth", ["year"])
     stored(growth.suburb_growth(cube, start_year).hint("rebalance", "year"), "suburb_growth", ["year"])
-    stored(growth.with_top_flag(stored(growth.rated_streets(sales, cube), "rated_streets")), "street_summary")
-    stored(growth.with_top_flag(stored(growth.rated_suburbs(sales, cube), "rated_suburbs")), "suburb_summary")
+    stored(growth.with_top_flag(stored(growth.rated_streets(spans, cube), "rated_streets")), "street_summary")
+    stored(growth.with_top_flag(stored(growth.rated_suburbs(spans, cube), "rated_suburbs")), "suburb_summary")
+    places = stored(spatial.place_sums(sales), "place_sums")
+    stored(spatial.centroids_of(places, spatial.STREET), "street_centroids")
+    stored(spatial.centroids_of(places, spatial.SUBURB), "suburb_centroids")
 
 
 def geocode_sales(spark: SparkSession, root: str, gazetteer: DataFrame, ids: list[int] | None = None,

@@ -312,3 +312,20 @@ def test_neighbors_of_all_equal_brute_force(spark, kind):
             near = sorted(((c[2] - lat) * (c[2] - lat) + (c[3] - lon) * (c[3] - lon), c[0]) for c in pts
                           if c[1] != pid and c[1] in rated)
             assert sorted(got[pid]) == [(n + 1, i) for n, (_, i) in enumerate(near[:k])], (kind, k, pid)
+
+
+def test_neighbors_in_thin_country_meet_few_leaves(spark):
+    """A dense square and positions far from it: each meets a bounded number of leaves, not the square."""
+    rng = np.random.default_rng(8)
+    city = [(-33.5 + float(a) * 0.05, 151 + float(b) * 0.05) for a, b in rng.random((3000, 2))]
+    country = [(-36 + float(a) * 6, 145 + float(b) * 12) for a, b in rng.random((40, 2))]
+    spots = spark.createDataFrame([(a, b, 1, [(i, str(i))]) for i, (a, b) in enumerate(city + country)],
+                                  "lat double, lon double, n long, rows array<struct<id:long,neighbor_property_id:string>>")
+    spots = spots.selectExpr("*", "(lat + 36.0) / 12.1 as u", "(lon - 145.0) / 12.1 as v", "12.1 as size")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(neighbors.FINEST_LEVEL), F.lit(neighbors.LEVEL_STEP))).alias("level")
+    cells = (neighbors._at_level(spots.select("u", "v", "n", levels)).groupBy(*neighbors.CELL).agg(F.sum("n").alias("n"))
+             .withColumn("inner", (F.col("n") > neighbors.LEAF_SALES) & (F.col("level") < neighbors.FINEST_LEVEL))).cache()
+    placed = neighbors._in_leaves(spots, cells)
+    assert placed.count() == len(city) + len(country)
+    met = neighbors._walk(spots.select("lat", "lon", "u", "v", "size"), cells, 10).join(placed, neighbors.CELL).groupBy("lat", "lon").count()
+    assert met.agg(F.max("count")).first()[0] < 1000 and met.agg(F.avg("count")).first()[0] < 300
