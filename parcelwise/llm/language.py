@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.shared import byte_view, text_column
+from parcelwise.llm.shared import byte_view, in_batches, text_column
 
 UNKNOWN = "und"
 #: Any letter of any alphabet.
@@ -184,7 +184,7 @@ def predict(df: DataFrame, network: Network | None, id_col: str = "doc_id", text
     windows' means by length, score is that of the language predicted. A text without a letter, also null or empty, is `und` with
     score 0, and so is every text if there was nothing to learn from. Texts of any length are worked off in rounds of a fixed number
     of windows. Repeated rows are rows of their own; an empty table gives an empty table; further columns are ignored."""
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("letters"),
+    docs = in_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("letters"),
                      F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import kneser_ney as kn
-from parcelwise.llm.shared import mapped_folder, settled, text_column
+from parcelwise.llm.shared import in_batches, mapped_folder, settled, text_column
 from parcelwise.llm.words import LOWER, Chunk, bounds, chunks, hashes, named
 
 END, BEGIN = named("end"), named("begin")
@@ -110,7 +110,7 @@ class Scorer:
 
 def learn(texts: DataFrame) -> Scorer:
     """Counts single tokens and pairs of all rows of `texts` (one column, `text`)."""
-    spark = texts.sparkSession
+    spark = in_batches(texts).sparkSession
     folder = mapped_folder(spark, "word-pairs")
     route = kn.Route(max(kn.LEAST_BUCKETS, texts.rdd.getNumPartitions()), np.zeros(1, np.uint64))
 

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parcelwise.llm.shared import byte_view, settled, slices, text_column
+from parcelwise.llm.shared import byte_view, in_batches, settled, slices, text_column
 from parcelwise.llm.words import CHUNK, SPACE, hashes
 
 PIECES = "row long, doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
 #: Different stretches of text whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Rows that are ranked in one task.
 RANKED = 10_000
 #: The marks that the vocabulary's own splitting always parts from a letter before them.
@@ -170,7 +170,7 @@ def tokenized(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                  *[pa.array([f[i + 1] for f in found], k) for i, k in enumerate(kinds)]],
                 names=["row", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = in_batches(df).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(cut, PIECES.format(id_type=docs.schema["doc_id"].dataType.simpleString()))
 
 

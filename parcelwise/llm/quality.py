@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.shared import byte_view, text_column
+from parcelwise.llm.shared import byte_view, in_batches, text_column
 
 
 @dataclass(frozen=True)
@@ -159,7 +159,7 @@ def learn(df: DataFrame, labels: DataFrame, train: Column, setup: Setup = Setup(
     ids, as many as fit the driver; a quarter of these sets the probabilities. Rows without label or text row are not learnt from.
     With no labels at all every score is 0.5."""
     named = labels.filter(train & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = in_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # Labels grow with the texts: both are dealt by id at every size, as no size at which labels are sent around would last.
     ratio = log_count_ratios(texts.join(named.hint("merge"), "id").select("label", "text"), setup)
 
@@ -208,6 +208,6 @@ def score(df: DataFrame, classifier: Classifier, threshold: float = 0.3, id_col:
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "score": found,
                                               "predicted": pa.array((found >= threshold).astype(np.int32))})
 
-    scored = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+    scored = in_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {kind}, score double, predicted int")
     return scored.withColumnRenamed("id", id_col)

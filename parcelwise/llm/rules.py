@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parcelwise.llm import kneser_ney as kn
-from parcelwise.llm.shared import byte_view, mapped_folder, settled, text_column
+from parcelwise.llm.shared import byte_view, in_batches, mapped_folder, settled, text_column
 from parcelwise.llm.words import SPACE, Chunk, bounds, chunks, hashes, paired
 
 #: Bytes of an n-gram.
@@ -93,7 +93,7 @@ class Words:
 
 
 #: N-grams of different words that a task holds before it passes their counts on, or forgets their probabilities.
-HELD = 3 << 20
+HELD = 1 << 20
 
 
 class Counter:
@@ -144,7 +144,7 @@ def learn(df: DataFrame) -> kn.Model:
     """The models of all rows of `df` (text, lang): modified Kneser-Ney over the bytes of words, one per language and half."""
     route = kn.Route(kn.LEAST_BUCKETS)
     folder = mapped_folder(df.sparkSession, "byte-ngrams")
-    rows = df.select("text", "lang").mapInArrow(_ngrams(route), kn.ROWS)
+    rows = in_batches(df).select("text", "lang").mapInArrow(_ngrams(route), kn.ROWS)
     return kn.build(rows, folder, ORDER, dict.fromkeys(range(1, ORDER + 1), route), shorten, 1 / 256)
 
 
@@ -251,7 +251,7 @@ def measured(df: DataFrame, model: kn.Model, keep: list[str]) -> DataFrame:
                 "base_failed": (words < 50) | (100 * again > 50 * words), "log_perplexity": pa.array(logs, from_pandas=True)})
 
     kinds = ", ".join(f"`{name}` {df.schema[name].dataType.simpleString()}" for name in keep)
-    return df.select(*dict.fromkeys([*keep, "text", "lang"])).mapInArrow(
+    return in_batches(df).select(*dict.fromkeys([*keep, "text", "lang"])).mapInArrow(
         run, f"{kinds}, {COUNTS}, base_failed boolean, log_perplexity double")
 
 

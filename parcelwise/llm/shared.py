@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,6 +31,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of an Arrow batch: documents are long, and a worker holds a batch and what is made of it.
+BATCH_ROWS = 1_000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """`df`, with the session's Arrow batches held to BATCH_ROWS rows from now on."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, so that lost executors cost no recomputation."""
     shared_folder(df.sparkSession)
@@ -44,6 +58,7 @@ def mapped_folder(spark: SparkSession, name: str) -> str:
         raise ValueError(f"files mapped by workers need a mounted spark.checkpoint.dir, not {place.scheme}:")
     folder = Path(unquote(place.path)) / f"{name}-{uuid.uuid4().hex}"
     folder.mkdir(parents=True)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # results may be read as long as the driver lives
     return str(folder)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm.components import components
-from parcelwise.llm.shared import settled
+from parcelwise.llm.shared import in_batches, settled
 
 BITS = 64
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
@@ -175,7 +175,7 @@ def near_duplicates(df: DataFrame, shingle: int = 3, max_bits: int = 2, id_col:
 
     Equal fingerprints are one class before anything is joined, so copies cost a row each however many they are.
     Repeated rows and ids give repeated rows. An empty table gives an empty table; further columns are ignored."""
-    docs = settled(df.select(F.col(id_col).alias("_id"), fingerprints(F.col(text_col), shingle).alias("fingerprint"),
+    docs = settled(in_batches(df).select(F.col(id_col).alias("_id"), fingerprints(F.col(text_col), shingle).alias("fingerprint"),
                              F.xxhash64(text_col).alias("text_hash")))
     classes = settled(docs.groupBy("fingerprint").agg(F.min("_id").alias("least")))
     roots = settled(components(links(classes, max_bits)))
