@@ -243,11 +243,24 @@ def _bad_files(m: Market) -> DataFrame:
         F.count("*").alias("files"))
 
 
-def _stored(m: Market) -> DataFrame:
-    """The growth build as a job: what the stored tables hold, read back."""
+def _root(m: Market) -> str:
+    """A new folder for tables, in the one that the cluster shares."""
     context = m.spark.sparkContext
     folder = m.spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or f"file://{tempfile.mkdtemp()}"
-    root = f"{folder}/growth-{uuid.uuid4().hex}"
+    return f"{folder}/tables-{uuid.uuid4().hex}"
+
+
+def _with_enrichment(m: Market) -> DataFrame:
+    """A geocoding job by ids with house numbers, and the sales as read afterwards."""
+    root = _root(m)
+    write_table(m.sales, root, "sales")
+    jobs.geocode_sales(m.spark, root, fixtures.house_gazetteer(m.spark, m.dir), m.sales.filter("id % 10 = 3").select("id"))
+    return rounded(jobs.read_sales(m.spark, root).select("id", "latitude", "longitude"), *PLACE)
+
+
+def _stored(m: Market) -> DataFrame:
+    """The growth build as a job: what the stored tables hold, read back."""
+    root = _root(m)
     write_table(m.sales, root, "sales")
     jobs.build_growth(m.spark, root)
     summary, places = (read_table(m.spark, root, f"suburb_{n}") for n in ("summary", "centroids"))
@@ -329,6 +342,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "ingest_ids": lambda m: _ingested(m).agg(F.count("*").alias("sales"), F.countDistinct("id").alias("ids")),
     "ingest_bad_files": _bad_files,
     "stored_growth": _stored,
+    "sales_with_enrichment": _with_enrichment,
     "parse_records": lambda m: parse_records(fixtures.dat_lines(m.spark, m.dir), AS_OF),
     "title_case": lambda m: fixtures.raw_names(m.spark, m.dir).select("id", text.title_case(F.col("raw")).alias("name")),
     "listing_cards": lambda m: extract_cards(fixtures.listing_pages(m.spark, m.dir)).drop("_error"),

@@ -449,6 +449,14 @@ ORACLE_SQL = {
     "ingest_ids": " select count(*) as sales, count(*) as ids from lineitem",
     "ingest_bad_files": """ select false as damaged, 'broken.zip' as inner, count(distinct (year(l_shipdate), l_orderkey // 20000)) as files
         from lineitem union all select true, null, count(distinct l_orderkey // 20000) from lineitem where year(l_shipdate) = 1995""",
+    "sales_with_enrichment": with_(INPUTS, """
+        houses as (select lower(cast(1 + p_partkey % 7 as varchar) || ' ' || p_name || ', ' || p_brand) as addr_key,
+          arg_min(-34e0 + (p_partkey % 100)*0.01e0, (p_partkey % 100, p_partkey % 70)) as latitude,
+          arg_min(150.5e0 + (p_partkey % 70)*0.01e0, (p_partkey % 100, p_partkey % 70)) as longitude from part group by 1)""") + """
+        select s.id, cast(cast(coalesce(s.latitude, h.latitude) as float) as double) as latitude,
+         cast(cast(case when s.latitude is null and h.latitude is not null then h.longitude else s.longitude end as float) as double) as longitude
+        from sales s left join houses h on s.latitude is null and s.id % 10 = 3
+         and h.addr_key = lower(property_house_number || ' ' || property_street_name || ', ' || property_locality)""",
     "stored_growth": with_(INPUTS, GROWTH, SPACE) + """ select s.suburb, unique_properties, total_sales, round(avg_cagr, 6) as avg_cagr,
         is_top_performer, y.years, cast(cast(lat as float) as double) as lat, cast(cast(lon as float) as double) as lon
         from suburb_summary s left join suburb_points p on s.suburb = p.suburb

@@ -94,6 +94,13 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
         "-34e0 + (p_partkey % 100) * 0.01e0 as latitude", "150.5e0 + (p_partkey % 70) * 0.01e0 as longitude")
 
 
+def house_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of houses: one of seven numbers in each street."""
+    return _table(spark, sf_dir, "part").selectExpr(
+        "lower(concat(1 + p_partkey % 7, ' ', p_name, ', ', p_brand)) as addr_key",
+        "-34e0 + (p_partkey % 100) * 0.01e0 as latitude", "150.5e0 + (p_partkey % 70) * 0.01e0 as longitude")
+
+
 def listing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").selectExpr(
         "case when p_partkey % 2 = 0 then 'rea' else 'domain' end as portal",

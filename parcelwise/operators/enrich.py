@@ -23,6 +23,22 @@ def apply_updates(sales: DataFrame, updates: DataFrame, columns: list[str]) -> D
     return merged.select(*sales.columns)
 
 
+LISTING = ["realestate_url", "domain_url", "listings_last_checked"]
+SIDE_DDL = ("id BIGINT, seq BIGINT, latitude DOUBLE, longitude DOUBLE, realestate_url STRING, domain_url STRING, "
+            "listings_last_checked TIMESTAMP_NTZ")
+
+
+def with_enrichment(sales: DataFrame, side: DataFrame) -> DataFrame:
+    """Sales with the latest entries of a side table (SIDE_DDL): of coordinates, and of a listing check with the links it left."""
+    latest = side.groupBy("id").agg(
+        F.max(F.when(F.col("latitude").isNotNull(), F.struct("seq", "latitude", "longitude"))).alias("_place"),
+        F.max(F.when(F.col("listings_last_checked").isNotNull(), F.struct("seq", *LISTING))).alias("_check"))
+    placed, checked = F.col("_place").isNotNull(), F.col("_check").isNotNull()
+    return sales.join(latest, "id", "left").withColumns(
+        {c: F.when(placed, F.col(f"_place.{c}")).otherwise(F.col(c)) for c in ("latitude", "longitude")}
+        | {c: F.when(checked, F.col(f"_check.{c}")).otherwise(F.col(c)) for c in LISTING}).select(*sales.columns)
+
+
 # --- coordinates ---------------------------------------------------------------------------------
 
 def coordinates_pending(sales: DataFrame) -> DataFrame:

@@ -11,13 +11,26 @@ from ..functions import text
 from ..operators import enrich, growth, spatial
 from ..operators.numbering import latest_sales
 from ..sources import archive
-from ..sources.tables import has_table, read_table, write_table
+from ..sources.tables import current_version, has_folder, has_table, read_table, write_table
 
 #: Within files; suburb, date and growth filters then skip most of them.
 SALES_ORDER = ["property_locality", "contract_date"]
 ENRICHED = ["latitude", "longitude", "realestate_url", "domain_url", "listings_last_checked"]
 
 
+def read_sales(spark: SparkSession, root: str) -> DataFrame:
+    """Sales with what enrichment jobs have found since they were ingested."""
+    sales, side = read_table(spark, root, "sales"), _side(spark, root)
+    if not has_folder(spark, side):
+        return sales
+    return enrich.with_enrichment(sales, spark.read.schema(enrich.SIDE_DDL).parquet(side))
+
+
+def _side(spark: SparkSession, root: str) -> str:
+    """The side table of the present version of sales: a new ingest starts an empty one."""
+    return f"{root}/enrichment/{current_version(spark, root, 'sales')}"
+
+
 def ingest(spark: SparkSession, archives: str, root: str, start_year: int | None = None,
            end_year: int | None = None, as_of: date | None = None,
            enrichment: DataFrame | None = None, keep_existing: bool = False) -> DataFrame:
@@ -37,7 +50,7 @@ def ingest(spark: SparkSession, archives: str, root: str, start_year: int | None
     sales = archive.sales_from_lines(lines, as_of, numbers)
     bad = archive.bad_files(lines)
     if adding:
-        sales = read_table(spark, root, "sales").unionByName(sales)
+        sales = read_sales(spark, root).unionByName(sales)
         bad = read_table(spark, root, "bad_files").unionByName(bad)
     if enrichment is not None:
         sales = enrich.apply_updates(sales, enrichment, ENRICHED)
@@ -56,7 +69,7 @@ def build_growth(spark: SparkSession, root: str, start_year: int = growth.START_
         write_table(df, root, name, partition_by)
         return read_table(spark, root, name)
 
-    sales = read_table(spark, root, "sales")
+    sales = read_sales(spark, root)
     spans = stored(growth.property_spans(sales), "property_spans")
     repeats = stored(growth.repeat_sales_of(spans), "repeat_sales")
     stored(growth.property_growth(repeats), "property_growth")
@@ -70,10 +83,10 @@ def build_growth(spark: SparkSession, root: str, start_year: int = growth.START_
     stored(spatial.centroids_of(places, spatial.SUBURB), "suburb_centroids")
 
 
-def geocode_sales(spark: SparkSession, root: str, gazetteer: DataFrame, ids: list[int] | None = None,
+def geocode_sales(spark: SparkSession, root: str, gazetteer: DataFrame, ids: list[int] | DataFrame | None = None,
                   limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Fill coordinates of all sales that lack them, of the requested ones, or of a slice; returns the counts."""
-    sales = read_table(spark, root, "sales")
+    """Find coordinates of all sales that lack them, of the requested ones, or of a slice; returns the counts."""
+    sales = read_sales(spark, root)
     place = [F.col("property_house_number"), F.col("property_street_name"), F.col("property_locality")]
     if ids is None:
         pending, address = enrich.coordinates_pending(sales), text.postal_address(*place, F.col("property_post_code"))
@@ -81,40 +94,40 @@ def geocode_sales(spark: SparkSession, root: str, gazetteer: DataFrame, ids: lis
         pending, address = enrich.by_ids(sales, ids), text.local_address(*place)
     if limit is not None:
         pending = enrich.pending_slice(pending, limit, offset)
-    return _update(spark, root, sales, enrich.geocoded(pending, gazetteer, address), ["latitude", "longitude"])
+    return _note(spark, root, enrich.geocoded(pending, gazetteer, address), "longitude")
 
 
 def check_listings(spark: SparkSession, root: str, cards: DataFrame, checked_at: datetime,
                    limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Look up listings of all sales never checked, or of a slice of them; returns the counts."""
-    sales = read_table(spark, root, "sales")
-    pending = enrich.listings_unchecked(sales)
+    """Look up listings of all sales never checked, or of a slice of them; links not found stay as they are. Returns the counts."""
+    pending = enrich.listings_unchecked(read_sales(spark, root))
     if limit is not None:
         pending = enrich.pending_slice(pending, limit, offset)
-    updates = enrich.listing_updates(pending, cards, checked_at)
-    return _update(spark, root, sales, updates, ["realestate_url", "domain_url", "listings_last_checked"])
+    links = ["realestate_url", "domain_url"]
+    found = enrich.listing_updates(pending, cards, checked_at).withColumnsRenamed({c: f"_new_{c}" for c in links})
+    updates = found.join(pending.select("id", *links), "id").select(
+        "id", *[F.coalesce(f"_new_{c}", c).alias(c) for c in links], "listings_last_checked")
+    return _note(spark, root, updates, "listings_last_checked")
 
 
 def refresh_listings(spark: SparkSession, root: str, cards: DataFrame, checked_at: datetime,
                      property_id: str | None = None) -> DataFrame:
     """Look up listings again for the latest sale of a property (or of every property) where the last
     check is missing or older than a week; links no longer found are cleared."""
-    sales = read_table(spark, root, "sales")
+    sales = read_sales(spark, root)
     chosen = sales if property_id is None else sales.filter(F.col("property_id") == property_id)
     due = enrich.listings_due(latest_sales(chosen), checked_at)
-    write_table(enrich.listing_updates(due, cards, checked_at), root, "sales_updates")
-    updates = read_table(spark, root, "sales_updates")
-    columns = ["realestate_url", "domain_url", "listings_last_checked"]
-    fresh = updates.select("id", *[F.col(c).alias(f"_new_{c}") for c in columns])
-    checked = F.col("_new_listings_last_checked").isNotNull()
-    merged = sales.join(fresh, "id", "left").withColumns(
-        {c: F.when(checked, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}).select(*sales.columns)
-    write_table(merged, root, "sales", sort_by=SALES_ORDER)
-    return enrich.enrichment_counts(updates, "listings_last_checked")
-
-
-def _update(spark: SparkSession, root: str, sales: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
+    return _note(spark, root, enrich.listing_updates(due, cards, checked_at), "listings_last_checked")
+
+
+def _note(spark: SparkSession, root: str, updates: DataFrame, found: str) -> DataFrame:
+    """Append updates to the side table, and so write as many rows as were looked at; sales themselves stay. Returns the counts."""
     write_table(updates, root, "sales_updates")
-    updates = read_table(spark, root, "sales_updates")
-    write_table(enrich.apply_updates(sales, updates, columns), root, "sales", sort_by=SALES_ORDER)
-    return enrich.enrichment_counts(updates, columns[-1])
+    updates, side = read_table(spark, root, "sales_updates"), _side(spark, root)
+    last = spark.read.schema(enrich.SIDE_DDL).parquet(side).agg(F.max("seq")).first()[0] if has_folder(spark, side) else None
+    names = [c.split()[0] for c in enrich.SIDE_DDL.split(", ")]
+    rows = updates.filter(F.col(found).isNotNull()).withColumn("seq", F.lit((last or 0) + 1).cast("bigint"))
+    kinds = dict(zip(names, (c.split()[1] for c in enrich.SIDE_DDL.split(", "))))
+    rows = rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names])
+    rows.write.mode("append").parquet(side)
+    return enrich.enrichment_counts(updates, found)

@@ -42,9 +42,31 @@ def has_table(spark: SparkSession, root: str, name: str) -> bool:
     return bool(_versions(spark, root, name, complete=True))
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The last complete version of a table."""
+def current_version(spark: SparkSession, root: str, name: str) -> str:
+    """Name of the last complete version."""
     versions = _versions(spark, root, name, complete=True)
     if not versions:
         raise FileNotFoundError(f"no complete version of {root}/{name}")
-    return spark.read.parquet(f"{root}/{name}/v{max(versions):06d}")
+    return f"v{max(versions):06d}"
+
+
+def vacuum(spark: SparkSession, root: str, name: str, keep: int = 2) -> list[str]:
+    """Delete all but the last `keep` complete versions (and what was left unfinished before them); for when nothing reads them."""
+    complete = sorted(_versions(spark, root, name, complete=True))
+    if len(complete) <= keep:
+        return []
+    old = [f"{root}/{name}/v{v:06d}" for v in sorted(_versions(spark, root, name, complete=False)) if v < complete[-keep]]
+    for folder in old:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return old
+
+
+def has_folder(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The last complete version of a table."""
+    return spark.read.parquet(f"{root}/{name}/{current_version(spark, root, name)}")

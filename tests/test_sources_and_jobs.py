@@ -151,7 +151,9 @@ def test_jobs(spark, tmp_path):
     assert jobs.check_listings(spark, root, cards, datetime(2024, 1, 1)).first() == (5, 5)
     assert jobs.refresh_listings(spark, root, cards.limit(0), datetime(2024, 1, 5)).first() == (0, 0)
     assert jobs.refresh_listings(spark, root, cards.limit(0), datetime(2024, 2, 1), "p1").first() == (1, 1)
-    sales = tables.read_table(spark, root, "sales")
+    sales = jobs.read_sales(spark, root)
+    assert tables.current_version(spark, root, "sales") == "v000001"  # enrichment rewrites no sales
+    assert spark.read.parquet(f"{root}/enrichment/v000001").groupBy("seq").count().count() == 4
     assert sales.filter("latitude = -33.9").count() == 5
     assert sales.filter("realestate_url IS NULL AND listings_last_checked = timestamp_ntz'2024-02-01'").count() == 1
     assert sales.filter(F.col("realestate_url") == "https://www.realestate.com.au/a").count() == 4
@@ -159,13 +161,16 @@ def test_jobs(spark, tmp_path):
     before = {r.id for r in sales.collect()}
     kept = sales.select("id", *jobs.ENRICHED)
     jobs.ingest(spark, str(drops), root, end_year=2024, as_of=AS_OF, enrichment=kept)
-    again = tables.read_table(spark, root, "sales")
+    again = jobs.read_sales(spark, root)
     assert {r.id for r in again.collect()} == before and again.filter("latitude = -33.9").count() == 5
     more = jobs.ingest(spark, str(drops), root, as_of=AS_OF, keep_existing=True).first()
     assert (more.archives, more.sales, more.bad_files) == (4, 7, 3)
     assert tables.read_table(spark, root, "sales").filter("latitude = -33.9").count() == 5
+    gazetteer = spark.createDataFrame([("1 kent st, sydney nsw 2000", -33.8, 151.1)], GAZETTEER_DDL)
+    assert jobs.geocode_sales(spark, root, gazetteer).first() == (2, 2)
     jobs.ingest(spark, str(drops), root, as_of=AS_OF)
-    assert tables.read_table(spark, root, "sales").filter("latitude IS NOT NULL").count() == 0
+    assert jobs.read_sales(spark, root).filter("latitude IS NOT NULL").count() == 0
+    assert len(tables.vacuum(spark, root, "sales")) == 2 and jobs.read_sales(spark, root).count() == 7
 
 
 def test_stream_of_drops(spark, tmp_path):
