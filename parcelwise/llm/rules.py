@@ -26,7 +26,7 @@ COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 #: Log-perplexities are told apart to this step when a language's bands are drawn.
 STEP = 0.0005
 #: A band reaches so many quartile distances from the median, each way; the distance is at least LEAST_SPREAD.
-REACH, LEAST_SPREAD = 10.0, 0.01
+REACH, LEAST_SPREAD = 30.0, 0.01
 
 
 def shorten(context: np.ndarray, level: int) -> np.ndarray:
