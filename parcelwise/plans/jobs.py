@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,18 +70,27 @@ def build_growth(spark: SparkSession, root: str, start_year: int = growth.START_
         write_table(df, root, name, partition_by)
         return read_table(spark, root, name)
 
+    def summary(rated: DataFrame, level: str) -> None:
+        stored(growth.with_top_flag(stored(rated, f"rated_{level}s")), f"{level}_summary")
+
+    def centroids(sales: DataFrame) -> None:
+        places = stored(spatial.place_sums(sales), "place_sums")
+        stored(spatial.centroids_of(places, spatial.STREET), "street_centroids")
+        stored(spatial.centroids_of(places, spatial.SUBURB), "suburb_centroids")
+
     sales = read_sales(spark, root)
-    spans = stored(growth.property_spans(sales), "property_spans")
-    repeats = stored(growth.repeat_sales_of(spans), "repeat_sales")
-    stored(growth.property_growth(repeats), "property_growth")
-    cube = stored(growth.growth_cube(repeats, end_year), "growth_cube")
-    stored(growth.street_growth(cube, start_year).hint("rebalance", "year"), "street_growth", ["year"])
-    stored(growth.suburb_growth(cube, start_year).hint("rebalance", "year"), "suburb_growth", ["year"])
-    stored(growth.with_top_flag(stored(growth.rated_streets(spans, cube), "rated_streets")), "street_summary")
-    stored(growth.with_top_flag(stored(growth.rated_suburbs(spans, cube), "rated_suburbs")), "suburb_summary")
-    places = stored(spatial.place_sums(sales), "place_sums")
-    stored(spatial.centroids_of(places, spatial.STREET), "street_centroids")
-    stored(spatial.centroids_of(places, spatial.SUBURB), "suburb_centroids")
+    with ThreadPoolExecutor(4) as pool:  # small tables keep few executors busy; those that do not need each other go together
+        steps = [pool.submit(centroids, sales)]
+        spans = stored(growth.property_spans(sales), "property_spans")
+        repeats = stored(growth.repeat_sales_of(spans), "repeat_sales")
+        steps.append(pool.submit(stored, growth.property_growth(repeats), "property_growth"))
+        cube = stored(growth.growth_cube(repeats, end_year), "growth_cube")
+        steps += [pool.submit(stored, growth.street_growth(cube, start_year).hint("rebalance", "year"), "street_growth", ["year"]),
+                  pool.submit(stored, growth.suburb_growth(cube, start_year).hint("rebalance", "year"), "suburb_growth", ["year"]),
+                  pool.submit(summary, growth.rated_streets(spans, cube), "street"),
+                  pool.submit(summary, growth.rated_suburbs(spans, cube), "suburb")]
+        for step in steps:
+            step.result()
 
 
 def geocode_sales(spark: SparkSession, root: str, gazetteer: DataFrame, ids: list[int] | DataFrame | None = None,
