@@ -10,7 +10,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from parcelwise.llm import kneser_ney as kn
 from parcelwise.llm.shared import byte_view, in_batches, mapped_folder, settled, text_column
@@ -25,8 +24,14 @@ SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 #: Log-perplexities are told apart to this step when a language's bands are drawn.
 STEP = 0.0005
-#: A band reaches so many quartile distances from the median, each way; the distance is at least LEAST_SPREAD.
-REACH, LEAST_SPREAD = 30.0, 0.01
+#: A band reaches so many spreads up from the middle, and so many down; a spread is at least LEAST_SPREAD.
+REACH, REACH_DOWN, LEAST_SPREAD = 30.0, 7.0, 0.01
+#: Whatever the spread, a band reaches no farther than FARTHEST, and down at least LEAST_DOWN.
+FARTHEST, LEAST_DOWN = 0.45, 0.1
+#: The share of a text's symbols, in the words that fit worst, that its score leaves out: keys, addresses, short quotes.
+SPARED = 0.1
+#: Scores of words are added up per text in so many steps of such a width.
+SCORES, SCORE_STEP = 128, 1 / 32
 
 
 def shorten(context: np.ndarray, level: int) -> np.ndarray:
@@ -148,15 +153,25 @@ def learn(df: DataFrame) -> kn.Model:
     return kn.build(rows, folder, ORDER, dict.fromkeys(range(1, ORDER + 1), route), shorten, 1 / 256)
 
 
+def _core(logs: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Mean score per symbol without the SPARED share of the symbols whose words score highest, from sums per text and step."""
+    upto = np.cumsum(symbols, 1)
+    used = np.clip((1 - SPARED) * upto[:, -1:] - (upto - symbols), 0, symbols)
+    mean = np.divide(logs, symbols, out=np.zeros_like(logs), where=symbols > 0)
+    total = used.sum(1)
+    return np.divide((used * mean).sum(1), total, out=np.full(len(total), np.nan), where=total > 0)
+
+
 class Perplexity:
-    """Mean negative log10 probability of the bytes of a text's words and of their ends; nan without words. What is found for a
-    word is kept for the texts that follow."""
+    """Mean negative log10 probability of the bytes of a text's words and of their ends, and the same without the words that
+    score highest (_core); nan without words. What is found for a word is kept for the texts that follow."""
 
     def __init__(self, model: kn.Model):
         self.model, self.known, self.logs, self.size = model, Known(), np.empty(0), 0
 
-    def __call__(self, texts: pa.Array, lang: np.ndarray) -> np.ndarray:
+    def __call__(self, texts: pa.Array, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total, symbols = np.zeros(len(texts)), np.zeros(len(texts))
+        steps = np.zeros((2, len(texts), SCORES))
         for chunk in chunks(texts):
             words = Words(chunk, lang)
             if not len(words.keys):
@@ -167,9 +182,14 @@ class Perplexity:
             word, context, symbol = words.ngrams(np.flatnonzero(new))
             logs = np.log10(self.model.probability(context, symbol))
             self.logs, self.size = np.concatenate([self.logs, np.bincount(word, logs, int(new.sum()))]), self.size + len(word)
-            total += np.bincount(words.text, self.logs[numbers][words.place], len(texts))
-            symbols += np.bincount(words.text, words.ends - words.starts + 1, len(texts))
-        return np.divide(-total, symbols, out=np.full(len(texts), np.nan), where=symbols > 0)
+            own, sizes = self.logs[numbers][words.place], words.ends - words.starts + 1
+            total += np.bincount(words.text, own, len(texts))
+            symbols += np.bincount(words.text, sizes, len(texts))
+            first, here = chunk.first, len(chunk.offsets) - 1
+            step = (words.text - first) * SCORES + np.clip(-own / sizes / SCORE_STEP, 0, SCORES - 1).astype(np.int64)
+            for sums, value in zip(steps, (-own, sizes)):
+                sums[first:first + here] += np.bincount(step, value, here * SCORES).reshape(here, SCORES)
+        return np.divide(-total, symbols, out=np.full(len(texts), np.nan), where=symbols > 0), _core(*steps)
 
 
 def _repeated(word: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
@@ -238,40 +258,54 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def measured(df: DataFrame, model: kn.Model, keep: list[str]) -> DataFrame:
-    """`keep` columns of `df` (which has text and lang), COUNTS, base_failed and log_perplexity (null without words)."""
+    """`keep` columns of `df` (which has text and lang), COUNTS, base_failed, log_perplexity and core (null without words), and
+    digest, a hash of the text."""
     def run(batches):
         perplexity = Perplexity(model)
         for batch in batches:
             texts = text_column(batch)
             columns = base_counts(texts)
             words, again = columns["n_words"], columns["n_repeat_words"]
-            logs = perplexity(texts, languages(batch, texts, other=True))
-            rest = {name: batch.column(batch.schema.get_field_index(name)) for name in keep}
+            logs, core = perplexity(texts, languages(batch, texts, other=True))
+            rest = {name: batch.column(batch.schema.get_field_index(name)) for name in [*keep, "digest"]}
             yield pa.RecordBatch.from_pydict(rest | columns | {
-                "base_failed": (words < 50) | (100 * again > 50 * words), "log_perplexity": pa.array(logs, from_pandas=True)})
+                "base_failed": (words < 50) | (100 * again > 50 * words), "log_perplexity": pa.array(logs, from_pandas=True),
+                "core": pa.array(core, from_pandas=True)})
 
     kinds = ", ".join(f"`{name}` {df.schema[name].dataType.simpleString()}" for name in keep)
-    return in_batches(df).select(*dict.fromkeys([*keep, "text", "lang"])).mapInArrow(
-        run, f"{kinds}, {COUNTS}, base_failed boolean, log_perplexity double")
+    return in_batches(df).select(*dict.fromkeys([*keep, "text", "lang"]), F.xxhash64("text").alias("digest")).mapInArrow(
+        run, f"{kinds}, digest long, {COUNTS}, base_failed boolean, log_perplexity double, core double")
+
+
+def _band(seen: pd.DataFrame) -> pd.DataFrame:
+    """One language's band, from the number of texts per step."""
+    seen = seen.sort_values("step")
+    step, n = seen["step"].to_numpy(), seen["n"].to_numpy()
+    upto = np.cumsum(n)
+    last = np.searchsorted(upto, upto - n + upto[-1] / 2)  # from each step on, where half of the texts are reached
+    first = np.flatnonzero(last < len(step))
+    last = last[first]
+    best = np.lexsort((step[first], upto[first] - n[first] - upto[last], step[last] - step[first]))[0]
+    low, high = step[first[best]] * STEP, (step[last[best]] + 1) * STEP
+    middle, spread = (low + high) / 2, max(high - low, LEAST_SPREAD)
+    down = min(max(REACH_DOWN * spread, LEAST_DOWN), FARTHEST)
+    return pd.DataFrame({"lang": seen["lang"].iloc[:1].array, "low": [middle - down], "high": [middle + min(REACH * spread, FARTHEST)]})
 
 
 def bands(measures: DataFrame) -> DataFrame:
-    """(lang, low, high): the log-perplexities between which texts of a language pass, from all texts that pass the counts.
+    """(lang, low, high): the cores between which texts of a language pass, from all different texts that pass the counts.
 
-    The quartiles are read off a histogram, which adds up in any order and has as many rows per language as there are steps."""
-    seen = measures.filter("NOT base_failed").groupBy("lang", F.floor(F.col("log_perplexity") / STEP).alias("step")).agg(
-        F.count("*").alias("n"))
-    language = Window.partitionBy("lang")
-    seen = seen.withColumn("upto", F.sum("n").over(language.orderBy("step"))).withColumn("all", F.sum("n").over(language))
-    quartile = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("step"))) + 0.5) * STEP
-    marks = seen.groupBy("lang").agg(quartile(0.25).alias("lower"), quartile(0.5).alias("middle"), quartile(0.75).alias("upper"))
-    reach = REACH * F.greatest(F.col("upper") - F.col("lower"), F.lit(LEAST_SPREAD))
-    return marks.select("lang", (F.col("middle") - reach).alias("low"), (F.col("middle") + reach).alias("high"))
+    Middle and spread are those of the shortest range that holds half of the texts: as long as the others are fewer than half, it
+    lies where the language's own texts are, however far off the others. It is read off a histogram, which adds up in any order
+    and has as many rows per language as there are steps."""
+    texts = measures.filter("NOT base_failed").groupBy("lang", "digest").agg(F.min("core").alias("core"))
+    seen = texts.groupBy("lang", F.floor(F.col("core") / STEP).alias("step")).agg(F.count("*").alias("n"))
+    return seen.groupBy("lang").applyInPandas(_band, f"lang {seen.schema['lang'].dataType.simpleString()}, low double, high double")
 
 
 def _with_verdict(measures: DataFrame, limits: DataFrame) -> DataFrame:
     both = measures.alias("m").join(limits.alias("b"), F.col("m.lang").eqNullSafe(F.col("b.lang")), "left")
-    within = F.col("log_perplexity").between(F.col("low"), F.col("high"))
+    within = F.col("core").between(F.col("low"), F.col("high"))
     return both.select("m.*", (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept"))
 
 
@@ -281,12 +315,13 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     A text fails by count with fewer than 50 words, or if over half its words are in a window of three that it repeats. Of the
     others, those are kept whose perplexity lies within the bands of their language: too high is not that language, too low is
     the same over and over. The perplexity is that of the words' bytes under a modified Kneser-Ney model of the language's texts in
-    the half of the table (by checksum) that the text is not in.
+    the half of the table (by checksum) that the text is not in; what is held against the bands leaves out the tenth of the
+    text that fits worst, so that a key or a short quote does not count.
     Null and empty texts have no words and fail; null is a language of its own. Repeated rows are rows of their own; further
     columns are ignored."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     measures = settled(measured(docs, learn(docs), ["doc_id", "lang"]))
-    return _with_verdict(measures, bands(measures)).withColumnRenamed("doc_id", id_col)
+    return _with_verdict(measures, bands(measures)).drop("digest", "core").withColumnRenamed("doc_id", id_col)
 
 
 def passing(docs: DataFrame) -> DataFrame:
