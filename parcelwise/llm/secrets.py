@@ -29,8 +29,11 @@ MOST_PER_TOKEN = 1.9
 #: Known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) in hexadecimal.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
-#: Between the parts of an identifier. Its parts are words or numbers; keys mix letters with digits within a part.
+#: Between the parts of an identifier. Its parts are words or numbers; keys mix letters with digits within a part, or letters at random.
 JOINTS = re.compile(r"[+/_=-]+")
+#: Words in lower case, each by itself, have as many letters per token; random letters hardly ever.
+LEAST_PER_WORD = 2.3
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
 @lru_cache(maxsize=1)
@@ -54,10 +57,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _is_known(run: str) -> bool:
-    """Whether the run is an identifier or a digest."""
-    if all(part.isalpha() or part.isdigit() for part in JOINTS.split(run) if part):
-        return True
+def _is_known(run: str, encoding) -> bool:
+    """Whether the run is a number, a digest, or an identifier: numbers and words that the vocabulary has long tokens for."""
+    parts = [part for part in JOINTS.split(run.lower()) if part]
+    if all(part.isalpha() or part.isdigit() for part in parts):
+        words = [part for part in parts if part.isalpha()]
+        tokens = sum(min(len(encoding.encode_ordinary(before + word)) for before in ("", " ")) for word in words)
+        return sum(map(len, words)) >= LEAST_PER_WORD * tokens or "".join(words) in ALPHABET
     return bool(DIGEST.fullmatch(run) or UUID.fullmatch(run))
 
 
@@ -67,9 +73,9 @@ def random_spans(text: str, taken: list[tuple[int, int, str]], encoding) -> list
     for m in CANDIDATE.finditer(text):
         while at < len(taken) and taken[at][0] < m.end():
             reach, at = max(reach, taken[at][1]), at + 1
-        if reach > m.start() or m[0].isalpha() or _is_known(m[0]):
+        if reach > m.start():
             continue
-        if len(m[0]) < MOST_PER_TOKEN * len(encoding.encode_ordinary(m[0])):
+        if len(m[0]) < MOST_PER_TOKEN * len(encoding.encode_ordinary(m[0])) and not _is_known(m[0], encoding):
             found.append((m.start(), m.end(), "random"))
     return found
 
