@@ -68,12 +68,18 @@ def _is_known(run: str, encoding) -> bool:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, str]], encoding) -> list[tuple[int, int, str]]:
-    """Runs with few characters per token that are no known digest or identifier and touch no span of `taken`."""
-    found, taken, at, reach = [], sorted(taken), 0, 0
+    """Runs with few characters per token that are no known digest or identifier; of `taken` they may hold some, but not consist."""
+    found, taken, at, near = [], sorted(taken), 0, []
     for m in CANDIDATE.finditer(text):
+        near = [span for span in near if span[1] > m.start()]
         while at < len(taken) and taken[at][0] < m.end():
-            reach, at = max(reach, taken[at][1]), at + 1
-        if reach > m.start():
+            near, at = near + [taken[at]] * (taken[at][1] > m.start()), at + 1
+        covered = m.start()
+        for start, end, _ in near:
+            if start > covered:
+                break
+            covered = max(covered, end)
+        if covered >= m.end():
             continue
         if len(m[0]) < MOST_PER_TOKEN * len(encoding.encode_ordinary(m[0])) and not _is_known(m[0], encoding):
             found.append((m.start(), m.end(), "random"))
