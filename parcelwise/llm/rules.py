@@ -182,13 +182,15 @@ class Perplexity:
             word, context, symbol = words.ngrams(np.flatnonzero(new))
             logs = np.log10(self.model.probability(context, symbol))
             self.logs, self.size = np.concatenate([self.logs, np.bincount(word, logs, int(new.sum()))]), self.size + len(word)
-            own, sizes = self.logs[numbers][words.place], words.ends - words.starts + 1
+            own, sizes = self.logs[numbers], words.ends - words.starts + 1
+            step = np.clip(-own / sizes[words.first] / SCORE_STEP, 0, SCORES - 1).astype(np.int64)[words.place]
+            own = own[words.place]
             total += np.bincount(words.text, own, len(texts))
             symbols += np.bincount(words.text, sizes, len(texts))
             first, here = chunk.first, len(chunk.offsets) - 1
-            step = (words.text - first) * SCORES + np.clip(-own / sizes / SCORE_STEP, 0, SCORES - 1).astype(np.int64)
-            for sums, value in zip(steps, (-own, sizes)):
-                sums[first:first + here] += np.bincount(step, value, here * SCORES).reshape(here, SCORES)
+            step += (words.text - first) * SCORES
+            steps[0, first:first + here] -= np.bincount(step, own, here * SCORES).reshape(here, SCORES)
+            steps[1, first:first + here] += np.bincount(step, sizes, here * SCORES).reshape(here, SCORES)
         return np.divide(-total, symbols, out=np.full(len(texts), np.nan), where=symbols > 0), _core(*steps)
 
 
