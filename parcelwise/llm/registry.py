@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import chat, language, lm, mixing, packing, quality, rules, sampling, secrets, simhash
+from parcelwise.llm import chat, language, lexical, lm, mixing, packing, quality, rules, sampling, secrets, simhash
 from parcelwise.llm.shared import fold, settled
 
 #: Weights of sources in code-point order, in turn.
@@ -116,6 +116,11 @@ def op10_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
         sampling.likeness(F.col("fingerprint"), F.coalesce("next_fingerprint", F.lit(""))).alias("near_next"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every item; ties, nulls and repeated rows as in `lexical.search`."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
@@ -127,9 +132,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_mixing": op9_mixing,
     "op10_sampling": op10_sampling,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_lexical": lexical.SEARCH_SQL,
     "op2_chat": chat.CHAT_SQL,
     "op9_mixing": mixing.MIX_SQL.format(documents="documents")
     + "SELECT doc_id, size, source_size, target, copies, part, CAST(copies * size + part AS BIGINT) AS taken FROM copied",
