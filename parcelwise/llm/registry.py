@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import chat, language, lexical, lm, mixing, packing, quality, rules, sampling, secrets, simhash
+from parcelwise.llm import chat, dialogue, language, lexical, lm, mixing, packing, pii, quality, rules, sampling, secrets, simhash
 from parcelwise.llm.shared import fold, settled
 
 #: Weights of sources in code-point order, in turn.
@@ -116,6 +116,28 @@ def op10_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
         sampling.likeness(F.col("fingerprint"), F.coalesce("next_fingerprint", F.lit(""))).alias("near_next"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; nulls, empty texts, ties and repeated rows as in `pii.personal_data`."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("pii", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, pii.KINDS), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("pii")).alias("spans"))
+
+
+def op12_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages all conversations and repairs them; nulls, ties and repeated rows as in `dialogue.repair`. A conversation of which
+    nothing is left after the damage has zeros, an empty audit and the digest of an empty text."""
+    rows = table(spark, sf_dir, "conversations")
+    report, turns = dialogue.repair(dialogue.damaged(rows))
+    report, hashed = (df.withColumnRenamed("conv_id", name) for df, name in ((report, "r"), (dialogue.digests(turns), "h")))
+    every = rows.select("conv_id").distinct()
+    found = every.join(report, every["conv_id"].eqNullSafe(report["r"]), "left").join(hashed, every["conv_id"].eqNullSafe(hashed["h"]), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents of every item; ties, nulls and repeated rows as in `lexical.search`."""
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
@@ -132,6 +154,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_mixing": op9_mixing,
     "op10_sampling": op10_sampling,
+    "op11_pii": op11_pii,
+    "op12_dialogue": op12_dialogue,
     "op13_lexical": op13_lexical,
 }
 
