@@ -21,7 +21,9 @@ from parcelwise.plans import checks, jobs, reads
 from parcelwise.sources import archive
 from parcelwise.sources.listings import extract_cards
 from parcelwise.sources.records import parse_records
-from parcelwise.sources.tables import read_table, write_table
+from parcelwise.sources.stations import load_stations
+from parcelwise.sources.tables import add_part, read_table, write_table
+from parcelwise.streaming.drops import ingest_drops
 
 try:
     import corpus_pipeline
@@ -263,11 +265,78 @@ def _stored(m: Market) -> DataFrame:
     root = _root(m)
     write_table(m.sales, root, "sales")
     jobs.build_growth(m.spark, root)
+    return _growth_tables(m, root)
+
+
+def _extended(m: Market) -> str:
+    """Growth built from a part of the sales and extended by the others."""
+    root = _root(m)
+    write_table(m.sales.filter("id % 3 = 0"), root, "sales")
+    jobs.build_growth(m.spark, root)
+    add_part(m.sales.filter("id % 3 <> 0"), root, "sales", "others")
+    jobs.extend_growth(m.spark, root)
+    return root
+
+
+def _growth_tables(m: Market, root: str) -> DataFrame:
     summary, places = (read_table(m.spark, root, f"suburb_{n}") for n in ("summary", "centroids"))
     years = read_table(m.spark, root, "suburb_growth").groupBy("suburb").agg(F.count("*").alias("years"))
     return rounded(summary.join(years, "suburb", "left").join(places, "suburb", "left"), *PLACE)
 
 
+def _archive_columns(sales: DataFrame) -> DataFrame:
+    return sales.select("property_id", "sale_counter", "contract_date", "purchase_price", "area", "property_street_name")
+
+
+def _ingest_job(m: Market) -> DataFrame:
+    """The job from archives in a folder, read by seeking, to the stored sales."""
+    root = _root(m)
+    jobs.ingest(m.spark, fixtures.put_archives(fixtures.archives(m.spark, m.dir), f"{root}/in"), root, as_of=AS_OF)
+    return _archive_columns(jobs.read_sales(m.spark, root))
+
+
+def _ingest_years(m: Market) -> DataFrame:
+    """Archives of some years, then those of later ones that are not there yet."""
+    root = _root(m)
+    folder = fixtures.put_archives(fixtures.archives(m.spark, m.dir, yearly=True), f"{root}/in")
+    jobs.ingest(m.spark, folder, root, 1993, 1995, AS_OF)
+    jobs.ingest(m.spark, folder, root, 1995, 1997, AS_OF, keep_existing=True)
+    return _archive_columns(jobs.read_sales(m.spark, root))
+
+
+def _streamed(m: Market) -> DataFrame:
+    """A job reads the first years and builds growth, a stream adds what is dropped later, and growth is extended."""
+    root = _root(m)
+    folder = fixtures.put_archives(fixtures.archives(m.spark, m.dir, yearly=True), f"{root}/in")
+    jobs.ingest(m.spark, folder, root, 1992, 1994, AS_OF)
+    jobs.build_growth(m.spark, root)
+    ingest_drops(m.spark, folder, root, f"{root}/stream", AS_OF).awaitTermination()
+    jobs.extend_growth(m.spark, root)
+    return read_table(m.spark, root, "suburb_summary").select("suburb", "unique_properties", "total_sales")
+
+
+def _sales_after_build(m: Market) -> DataFrame:
+    return jobs.read_sales(m.spark, _extended(m)).agg(F.count("*").alias("sales"), F.bit_xor("id").alias("ids"), F.sum("purchase_price").cast("decimal(38,2)").alias("paid"))
+
+
+def _stations_file(m: Market) -> DataFrame:
+    return load_stations(m.spark, fixtures.station_file(m.spark, m.dir, f"{_root(m)}/stations"))
+
+
+def _incomplete_addresses(m: Market) -> DataFrame:
+    blank = {name: F.when(F.pmod("id", F.lit(4)) == n, F.lit(value)).otherwise(F.col(name))
+             for n, (name, value) in enumerate((("property_house_number", ""), ("property_street_name", None)))}
+    return enrich.listing_urls(m.sales.withColumns(blank), fixtures.listing_cards(m.spark, m.dir), _park())
+
+
+def _listing_job(m: Market) -> DataFrame:
+    """The job that looks up listings of sales never checked, and the sales as read afterwards."""
+    root = _root(m)
+    write_table(m.sales, root, "sales")
+    jobs.check_listings(m.spark, root, fixtures.local_cards(m.spark, m.dir), CHECKED_AT)
+    return jobs.read_sales(m.spark, root).select("id", "realestate_url", "domain_url", "listings_last_checked")
+
+
 QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     # growth build
     "property_growth": lambda m: rounded(m.growth),
@@ -281,6 +350,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "sales_list": lambda m: _sales_list(m, start_date="2016-01-01", end_date="2019-12-31", property_type="Residence",
                                         min_price=1000, max_price=90000, min_area=20, max_area=450),
     "sales_list_page": lambda m: _sales_list(m, skip=40, limit=60),
+    "sales_list_deep": lambda m: _sales_list(m, skip=40_000, limit=80),
     "sales_list_min_growth": lambda m: _sales_list(m, min_growth=5, max_price=0),
     "sales_list_suburb_ilike": lambda m: _sales_list(m, suburb="bRAND#1_"),
     "sales_list_street": lambda m: _sales_list(m, **dashboard_filters(YEAR, suburb=SUBURB, street=STREET)),
@@ -341,7 +411,14 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
                                                        "property_street_name"),
     "ingest_ids": lambda m: _ingested(m).agg(F.count("*").alias("sales"), F.countDistinct("id").alias("ids")),
     "ingest_bad_files": _bad_files,
+    "ingest_job": _ingest_job,
+    "ingest_years": _ingest_years,
+    "streamed_growth": _streamed,
+    "stations_file": _stations_file,
     "stored_growth": _stored,
+    "extended_growth": lambda m: _growth_tables(m, _extended(m)),
+    "extended_property_growth": lambda m: rounded(jobs.read_growth(m.spark, _extended(m))),
+    "sales_after_build": _sales_after_build,
     "sales_with_enrichment": _with_enrichment,
     "parse_records": lambda m: parse_records(fixtures.dat_lines(m.spark, m.dir), AS_OF),
     "title_case": lambda m: fixtures.raw_names(m.spark, m.dir).select("id", text.title_case(F.col("raw")).alias("name")),
@@ -356,6 +433,8 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "coordinates_updated": _updated,
     "enrich_callback": _enrich_callback,
     "listing_match": _listing_match,
+    "incomplete_addresses": _incomplete_addresses,
+    "listing_job": _listing_job,
     "listing_refresh_due": lambda m: enrich.listings_due(latest_sales(m.sales), CHECKED_AT).select("id", "property_id"),
     "listing_refresh": _listing_refresh,
     # checks

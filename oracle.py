@@ -191,6 +191,9 @@ growth_streets as (
   order by avg_cagr desc nulls last, street_name, suburb, post_code limit 10),
 active_suburbs as (
   select property_locality as suburb, count(id) as sales_count from sales where year(contract_date) = 2018 {and_}
+ORACLE_SQL["ingest_job"] = ORACLE_SQL["ingest_nested_zip"]
+ORACLE_SQL["extended_growth"] = ORACLE_SQL["stored_growth"]
+ORACLE_SQL["extended_property_growth"] = ORACLE_SQL["property_growth"]
   group by 1 order by 2 desc, 1 limit 10),
 active_streets as (
   select property_street_name as street_name, property_locality as suburb, count(id) as sales_count from sales
@@ -275,6 +278,7 @@ ORACLE_SQL = {
         and primary_purpose = 'Residence' and purchase_price >= 1000 and purchase_price <= 90000
         and area >= 20 and area <= 450"""),
     "sales_list_page": sales_list("true", 40, 60),
+    "sales_list_deep": sales_list("true", 40000, 80),
     "sales_list_min_growth": sales_list("g.cagr >= 0.05e0"),
     "sales_list_suburb_ilike": sales_list("property_locality ilike '%bRAND#1_%'"),
     "sales_list_street": sales_list("""year(contract_date) = 2018 and property_locality ilike '%Brand#12%'
@@ -446,6 +450,19 @@ ORACLE_SQL = {
     "ingest_nested_zip": """ select cast(l_partkey as varchar) as property_id, cast(l_linenumber as varchar) as sale_counter,
         cast(l_shipdate as date) as contract_date, l_extendedprice as purchase_price, l_quantity as area,
         'Kent St' as property_street_name from lineitem""",
+    "ingest_years": """ select cast(l_partkey as varchar) as property_id, cast(l_linenumber as varchar) as sale_counter,
+        cast(l_shipdate as date) as contract_date, l_extendedprice as purchase_price, l_quantity as area,
+        'Kent St' as property_street_name from lineitem where year(l_shipdate) between 1993 and 1997""",
+    "streamed_growth": """ select 'Sydney' as suburb, count(distinct l_partkey) as unique_properties, count(*) as total_sales from lineitem""",
+    "stations_file": with_(INPUTS) + " select cast(idx as int) as idx, station, latitude, longitude from stations",
+    "sales_after_build": with_(INPUTS) + """ select count(*) as sales, bit_xor(id) as ids,
+        cast(sum(cast(purchase_price as decimal(18,2))) as decimal(38,2)) as paid from sales""",
+    "incomplete_addresses": with_(INPUTS, MATCHES.format(rows="(select * from sales where id % 4 > 1)")) + """
+        select s.id, k.realestate_url, k.domain_url from sales s left join links k using (id)""",
+    "listing_job": with_(INPUTS, MATCHES.replace(" || ' Park'", "").replace("c.slug =", "regexp_replace(c.slug, '.park$', '') =").format(
+        rows="(select * from sales where listings_last_checked is null)")) + """
+        select s.id, coalesce(k.realestate_url, s.realestate_url) as realestate_url, coalesce(k.domain_url, s.domain_url) as domain_url,
+         coalesce(listings_last_checked, timestamp '2019-01-08') as listings_last_checked from sales s left join links k using (id)""",
     "ingest_ids": " select count(*) as sales, count(*) as ids from lineitem",
     "ingest_bad_files": """ select false as damaged, 'broken.zip' as inner, count(distinct (year(l_shipdate), l_orderkey // 20000)) as files
         from lineitem union all select true, null, count(distinct l_orderkey // 20000) from lineitem where year(l_shipdate) = 1995""",
@@ -512,3 +529,6 @@ ORACLE_SQL = {
         cast(cast(latitude as float) as double) as latitude, cast(cast(longitude as float) as double) as longitude from sales where latitude is not null
         order by id limit 5""",
 }
+ORACLE_SQL["ingest_job"] = ORACLE_SQL["ingest_nested_zip"]
+ORACLE_SQL["extended_growth"] = ORACLE_SQL["stored_growth"]
+ORACLE_SQL["extended_property_growth"] = ORACLE_SQL["property_growth"]

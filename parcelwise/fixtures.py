@@ -8,6 +8,8 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.archive import store_of
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -144,12 +146,13 @@ def dat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         case when l_suppkey % 19 > 0 then '' end) as line""")
 
 
-def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content) of weekly archives, several with the same year, of monthly inner ones with a member per line number. Each
-    holds an inner archive that is none, and those of 1995 are each followed by a damaged archive."""
+def archives(spark: SparkSession, sf_dir: str, yearly: bool = False) -> DataFrame:
+    """(path, content) of weekly archives, several with the same year, or of `yearly` ones, of monthly inner ones with a member per
+    line number. Each holds an inner archive that is none, and those of 1995 are each followed by a damaged archive."""
     lines = _table(spark, sf_dir, "lineitem")
+    number = "" if yearly else "'-', floor(l_orderkey / 20000), "
     rows = lines.selectExpr(
-        "concat(year(l_shipdate), '-', floor(l_orderkey / 20000), '.zip') as path", "month(l_shipdate) as month", "l_linenumber as number",
+        f"concat(year(l_shipdate), {number}'.zip') as path", "month(l_shipdate) as month", "l_linenumber as number",
         """concat_ws(';', 'B', 'D1', cast(l_partkey as string), cast(l_linenumber as string), '20240101 00:00', '', '', '1', 'KENT ST',
         'SYDNEY', '2000', cast(l_quantity as string), 'M', date_format(l_shipdate, 'yyyyMMdd'), '', cast(l_extendedprice as string),
         'R2', 'R', 'RESIDENCE', '', '', '', '', 'AB1', '') as line""")
@@ -166,6 +169,36 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("path").applyInPandas(pack, "path string, content binary")
 
 
+def put_archives(files: DataFrame, folder: str) -> str:
+    """Archives (path, content) written into a folder by the tasks that hold them."""
+    store, place = store_of(folder)
+    store.create_dir(place, recursive=True)
+
+    def put(batches):
+        store, place = store_of(folder)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                with store.open_output_stream(f"{place}/{path}") as file:
+                    file.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    files.mapInPandas(put, "n long").agg({"n": "sum"}).first()
+    return folder
+
+
+def station_file(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """The stations as a file with a header and an index."""
+    stations(spark, sf_dir).withColumnsRenamed({"station": "Station", "latitude": "Latitude", "longitude": "Longitude"}).coalesce(1).write.option(
+        "header", True).csv(folder)
+    return folder
+
+
+def local_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards, on search pages of the localities as they are."""
+    return listing_cards(spark, sf_dir).selectExpr("*", "regexp_replace(suburb_slug, '.park$', '') as slug").drop("suburb_slug").withColumnRenamed(
+        "slug", "suburb_slug")
+
+
 def _zipped(members: dict) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:

@@ -17,12 +17,11 @@ walks again with four times as many.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.tables import stored
 
 FINEST_LEVEL = 28
 LEVEL_STEP = 4
@@ -40,27 +39,27 @@ def nearest_sales_of_all(sales: DataFrame, growth: DataFrame, k: int = 20) -> Da
         F.min("lat").alias("lat"), F.min("lon").alias("lon"),
         (F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon")) * 1.000001 + 1e-9).alias("size"))).scalar()
 
-    targets = _stored(located.filter("property_id IS NOT NULL").groupBy("property_id")
+    targets = stored(located.filter("property_id IS NOT NULL").groupBy("property_id")
                       .agg(F.min_by(F.struct("lat", "lon"), "id").alias("at")).select("property_id", "at.*"))
-    spots = _stored(_spots(located.join(growth.select("property_id"), "property_id"), k)
+    spots = stored(_spots(located.join(growth.select("property_id"), "property_id"), k)
                     .withColumn("e", extent).select("*", *_unit()).drop("e"))
-    positions = _stored(targets.select("lat", "lon").distinct().withColumn("e", extent).select("*", *_unit()).drop("e"))
+    positions = stored(targets.select("lat", "lon").distinct().withColumn("e", extent).select("*", *_unit()).drop("e"))
 
     levels = F.explode(F.sequence(F.lit(0), F.lit(FINEST_LEVEL), F.lit(LEVEL_STEP))).alias("level")
-    cells = _stored(_at_level(spots.select("u", "v", "n", levels)).groupBy(*CELL).agg(F.sum("n").alias("n"))
+    cells = stored(_at_level(spots.select("u", "v", "n", levels)).groupBy(*CELL).agg(F.sum("n").alias("n"))
                     .withColumn("inner", (F.col("n") > LEAF_SALES) & (F.col("level") < FINEST_LEVEL)))
-    placed = _stored(_in_leaves(spots, cells))
+    placed = stored(_in_leaves(spots, cells))
     total = cells.filter("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     found, pending, wanted = None, positions, 2 * k
     while total:
-        looked_up = _stored(_look_up(_walk(pending, cells, wanted), placed, k, wanted >= total))
+        looked_up = stored(_look_up(_walk(pending, cells, wanted), placed, k, wanted >= total))
         done = looked_up.filter("complete").select("lat", "lon", "id", "neighbor_property_id", "dist")
         found = done if found is None else found.unionByName(done)
         if wanted >= total:
             break
         settled = looked_up.filter("complete").select("lat", "lon").distinct()
-        pending, wanted = _stored(pending.join(settled, ["lat", "lon"], "left_anti")), 4 * wanted
+        pending, wanted = stored(pending.join(settled, ["lat", "lon"], "left_anti")), 4 * wanted
         if pending.isEmpty():
             break
     if found is None:
@@ -143,7 +142,7 @@ def _walk(positions: DataFrame, cells: DataFrame, wanted: int) -> DataFrame:
     top = {c: F.lit(0).cast(kind) for c, kind in cells.select(*CELL).dtypes}
     listed = cut(positions.withColumns(top).join(cells.filter("level = 0"), CELL))
     for _ in range(0, FINEST_LEVEL, LEVEL_STEP):
-        listed = _stored(listed.drop("near", "far", "bound"))
+        listed = stored(listed.drop("near", "far", "bound"))
         if listed.filter("inner").isEmpty():
             break
         wide = 1 << LEVEL_STEP
@@ -166,13 +165,3 @@ def _look_up(listed: DataFrame, placed: DataFrame, k: int, everything: bool) ->
     whole = Window.partitionBy(*at)
     enough = (F.count("*").over(whole) >= 2 * k) & (F.max("dist").over(whole) < F.col("bound") * (1.0 - 1e-5))
     return first.withColumn("complete", F.lit(everything) | enough)
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder, so that rounds neither pile up in one plan nor
-    depend on an executor's disk. Without a configured folder (tests), a temporary one is used."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None)
-                                 or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()

@@ -8,16 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.mean import exact_parts
+from ..functions.mean import exact_parts, mean_of
+from . import station_tree
 
-#: Stations that travel with the search function; a longer list is searched in blocks of this size.
+#: Stations that may travel with the search function.
 MAX_INLINE_STATIONS = 5_000
-CELLS_AT_ONCE = 2_000_000
-POSITIONS_AT_ONCE = 50_000
-#: Distances (km) closer than this are equal: a micrometre, far above rounding.
-SAME_KM = 1e-9
-#: Squared chords of the unit sphere may be off by this much.
-CHORD_MARGIN = 1e-14
 LAST = (1 << 63) - 1
 
 SUBURB = ["suburb"]
@@ -36,7 +31,7 @@ def place_sums(sales: DataFrame) -> DataFrame:
 def centroids_of(sums: DataFrame, keys: list[str]) -> DataFrame:
     """Mean position per suburb or per (street, suburb)."""
     return sums.groupBy(*keys).agg(*[
-        F.try_divide(F.sum(f"{name}_sum").cast("double"), F.sum(f"{name}_n")).alias(name) for name in ("lat", "lon")])
+        mean_of(F.sum(f"{name}_sum"), F.sum(f"{name}_n")).alias(name) for name in ("lat", "lon")])
 
 
 def centroids(sales: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,28 +104,34 @@ def nearest_sales(sales: DataFrame, growth: DataFrame, property_id: str, k: int,
 def with_nearest_station(df: DataFrame, stations: DataFrame, max_inline: int = MAX_INLINE_STATIONS) -> DataFrame:
     """Add nearest_station and distance_to_station; NULL without coordinates or stations.
 
-    Equal distances (to a micrometre) go to the station listed first, by idx; stations without position do not count.
-    The search is the same at every size; only how stations reach it differs. Up to `max_inline` travel with an Arrow
-    function, so that no row is shuffled. Longer lists are dealt into blocks, and each distinct position, in bounded
-    batches, meets the blocks one at a time.
-    """
-    usable = (stations.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+    Equal distances (to a micrometre) go to the station listed first, by idx; stations without position do not count. The answer
+    is the same at every size. Up to `max_inline` stations, which are counted first, travel with an Arrow function that returns a
+    place in the list, so that no row is shuffled; more are put in a tree that the distinct positions walk (see station_tree)."""
+    usable = (stations.filter(_known(F.col("latitude"), F.col("longitude")))
               .select(F.coalesce("idx", F.lit(LAST)).cast("bigint").alias("idx"), "station",
                       F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon")))
+    lat, lon = F.col("latitude"), F.col("longitude")
+    there = geo.located(lat, lon) & _known(lat, lon)
     listed = usable.limit(max_inline + 1).collect()
     if len(listed) > max_inline:
-        return _from_blocks(df, usable, max_inline)
-    lat, lon = F.col("latitude"), F.col("longitude")
+        found = station_tree.nearest_of_many(df.filter(there).select("latitude", "longitude").distinct(), usable)
+        return _measured(df.join(found, ["latitude", "longitude"], "left").select(*df.columns, F.col("found").alias("_found")))
     found = F.lit(None).cast(FOUND)
     if listed:
-        table = pd.DataFrame([s.asDict() for s in listed])
-        found = F.when(geo.located(lat, lon), _finder(table)(lat, lon))
+        order = sorted(listed, key=lambda s: (s["idx"], s["station"] is not None, s["station"] or "", s["lat"], s["lon"]))
+        table = usable.agg(F.sort_array(F.collect_list(F.struct("idx", "station", "lat", "lon")))).scalar()  # in the same order
+        find = _finder(np.array([s["lat"] for s in order]), np.array([s["lon"] for s in order]))
+        found = F.when(there, F.get(table, find(lat, lon)))
     return _measured(df.withColumn("_found", found))
 
 
 FOUND = "struct<idx: bigint, station: string, lat: double, lon: double>"
 
 
+def _known(lat: Column, lon: Column) -> Column:
+    return lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat.cast("double")) & ~F.isnan(lon.cast("double"))
+
+
 def _measured(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "nearest_station": F.col("_found.station"),
@@ -138,65 +139,15 @@ def _measured(df: DataFrame) -> DataFrame:
     }).drop("_found")
 
 
-def _finder(table: pd.DataFrame):
-    @F.pandas_udf(FOUND)
-    def find(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
-        return nearest_stations(table, lat.to_numpy(dtype=float), lon.to_numpy(dtype=float))
+def _finder(lats: np.ndarray, lons: np.ndarray):
+    """The place in the list of the first of the stations nearest to a position. Sales of one building are looked up once a batch."""
+    @F.pandas_udf("int")
+    def find(lat: pd.Series, lon: pd.Series) -> pd.Series:
+        at = np.column_stack([lat.to_numpy(dtype=float, na_value=np.nan), lon.to_numpy(dtype=float, na_value=np.nan)])
+        at, place = np.unique(np.where(np.isnan(at).any(axis=1, keepdims=True), 0.0, at), axis=0, return_inverse=True)
+        position, station, _ = station_tree.near_pairs(at[:, 0], at[:, 1], lats, lons)
+        nearest = np.zeros(len(at), dtype=np.int32)
+        nearest[position[::-1]] = station[::-1]  # of several writes the last, the first listed, stays
+        return pd.Series(nearest[place.reshape(-1)])
 
     return find
-
-
-def nearest_stations(table: pd.DataFrame, lat: np.ndarray, lon: np.ndarray) -> pd.DataFrame:
-    """The row of `table` (idx, station, lat, lon) nearest to each position.
-
-    Squared chords between points of the unit sphere narrow the stations down to those that may be nearest, at the cost
-    of a few multiplications; among these the distance decides, and then the order of the list."""
-    table = table.sort_values(["idx", "station", "lat", "lon"], ignore_index=True)
-    lats, lons = table["lat"].to_numpy(dtype=float), table["lon"].to_numpy(dtype=float)
-    here, points = _on_sphere(lat, lon), _on_sphere(lats, lons)
-    step = max(1, CELLS_AT_ONCE // len(table))
-    nearest = np.zeros(len(lat), dtype=int)
-    for start in range(0, len(lat), step):
-        rows = slice(start, start + step)
-        chords = sum((p[rows, None] - q) ** 2 for p, q in zip(here, points))
-        row, station = np.nonzero(chords <= chords.min(axis=1, keepdims=True) + CHORD_MARGIN)
-        km = geo.haversine_km_numpy(lat[rows][row], lon[rows][row], lats[station], lons[station])
-        least = np.full(len(chords), np.inf)
-        np.minimum.at(least, row, km)
-        near = km <= least[row] + SAME_KM
-        row, station = row[near][::-1], station[near][::-1]  # of several writes the last, the first listed, stays
-        nearest[start + row] = station
-    return table.iloc[nearest].reset_index(drop=True)
-
-
-def _on_sphere(lat: np.ndarray, lon: np.ndarray) -> list[np.ndarray]:
-    lat, lon = np.radians(lat), np.radians(lon)
-    return [np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)]
-
-
-def _from_blocks(df: DataFrame, stations: DataFrame, block_size: int) -> DataFrame:
-    """Stations and distinct positions are dealt by hash; a task holds one block and one batch of positions."""
-    positions = df.filter(geo.located(F.col("latitude"), F.col("longitude"))).select("latitude", "longitude").distinct()
-    blocks, batches = -(-stations.count() // block_size), max(1, -(-positions.count() // POSITIONS_AT_ONCE))
-    pairs = ["batch", "block"]
-    each = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-    left = positions.select("*", F.pmod(F.xxhash64("latitude", "longitude"), F.lit(batches)).alias("batch"),
-                            F.explode(each(blocks)).alias("block"))
-    right = stations.select("*", F.pmod(F.xxhash64("idx", "station", "lat", "lon"), F.lit(blocks)).alias("block"),
-                            F.explode(each(batches)).alias("batch"))
-
-    def meet(spots: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        if spots.empty or table.empty:
-            return pd.DataFrame(columns=["latitude", "longitude", "idx", "station", "lat", "lon"])
-        found = nearest_stations(table[["idx", "station", "lat", "lon"]], spots["latitude"].to_numpy(), spots["longitude"].to_numpy())
-        return pd.concat([spots[["latitude", "longitude"]].reset_index(drop=True), found], axis=1)
-
-    best = left.groupBy(*pairs).cogroup(right.groupBy(*pairs)).applyInPandas(
-        meet, "latitude double, longitude double, idx bigint, station string, lat double, lon double")
-    km = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
-    # One row per position and block: the nearest of these, and the first listed of equally near ones.
-    listed = F.collect_list(F.struct("idx", "station", "lat", "lon", km.alias("km")))
-    near = F.filter("_all", lambda s: s["km"] <= F.array_min(F.transform("_all", lambda t: t["km"])) + SAME_KM)
-    first = F.transform(near, lambda s: F.struct(s["idx"].alias("idx"), s["station"].alias("station"), s["lat"].alias("lat"), s["lon"].alias("lon")))
-    best = best.groupBy("latitude", "longitude").agg(listed.alias("_all")).select("latitude", "longitude", F.array_min(first).alias("_found"))
-    return _measured(df.join(best, ["latitude", "longitude"], "left").select(*df.columns, "_found"))

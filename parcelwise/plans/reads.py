@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display, text
 from ..functions.mean import exact_mean
-from ..operators import spatial
+from ..operators import quantile, spatial
 from ..operators.filters import between_dates, in_year, matching
 from ..operators.numbering import latest_sales
 
@@ -24,6 +24,11 @@ RESPONSE_COLUMNS = [
 ]
 GROWTH_COLUMNS = ["property_id", "cagr", "total_growth", "years_held"]
 
+#: A page of up to so many sales is held by the driver while growth and stations are looked up.
+HELD_ROWS = 1_000
+#: Rows that may be skipped by sorting them.
+SHALLOW_SKIP = 10_000
+
 
 # --- sales ---------------------------------------------------------------------------------------
 
@@ -31,27 +36,62 @@ def sales_list(sales: DataFrame, growth: DataFrame, stations: DataFrame, skip: i
                min_growth: float | None = None, **filters) -> DataFrame:
     """A page of sales, latest contract first, with growth and the nearest station.
 
-    `min_growth` is in percent and, unlike the other bounds, applies at 0 too. The page is cut as
-    early as the filters allow; growth is then looked up, and stations measured, for the page only.
-    A negative limit means no limit, a negative skip none skipped.
+    `min_growth` is in percent and, unlike the other bounds, applies at 0 too. The page is cut as early as the filters allow:
+    a page of up to HELD_ROWS rows is fetched once, and growth is then read for its properties alone. A deep page is found by
+    way of the numbers of sales per day (see `_from_rank`). A negative limit means no limit, a negative skip none skipped.
     """
     growth = growth.select(*GROWTH_COLUMNS)
     rows = matching(sales, **filters)
     if min_growth is not None:
         rows = rows.join(growth.filter(F.col("cagr") >= min_growth / 100.0), "property_id")
     order = [F.col("contract_date").desc_nulls_last(), F.col("id")]
+    if skip > SHALLOW_SKIP:
+        rows, skip = _from_rank(rows, skip, limit)
     rows = rows.orderBy(*order)
     if skip > 0:
         rows = rows.offset(skip)
     if limit >= 0:
         rows = rows.limit(limit)
+    if 0 <= limit <= HELD_ROWS:
+        rows = rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
     if min_growth is None:
-        if limit >= 0:
-            growth = growth.join(rows.select("property_id").distinct(), "property_id", "left_semi")
+        if 0 <= limit <= HELD_ROWS:
+            growth = growth.filter(F.col("property_id").isin([r[0] for r in rows.select("property_id").distinct().collect()]))
         rows = rows.join(growth, "property_id", "left").orderBy(*order)
     return spatial.with_nearest_station(rows, stations).select(*RESPONSE_COLUMNS)
 
 
+def _from_rank(rows: DataFrame, skip: int, limit: int) -> tuple[DataFrame, int]:
+    """Rows from shortly before the rank `skip` on (latest contract first, then by id) to the page's end, and how many are left to skip.
+
+    Sales are counted per day, which gives the days of the page: a date range that files are pruned by. Of the first day, ids
+    before the rank are left out by way of a sketch. So what is sorted is the page's days, less what is skipped."""
+    days = rows.groupBy("contract_date").agg(F.count("*").alias("n"))  # a row per day
+    upto = F.sum("n").over(Window.orderBy(F.col("contract_date").desc_nulls_last()))
+    last = skip + limit if limit >= 0 else None
+    ends = days.withColumn("upto", upto).filter(F.col("upto") > skip)
+    if last is not None:
+        ends = ends.filter(F.col("upto") - F.col("n") < last)
+    page = ends.orderBy("upto").agg(
+        F.min(F.struct("upto", "n", "contract_date")).alias("first"), F.max(F.struct("upto", "contract_date")).alias("last")).first()
+    if page["first"] is None:
+        return rows.limit(0), 0
+    day, end = page["first"]["contract_date"], page["last"]["contract_date"]
+    skip -= page["first"]["upto"] - page["first"]["n"]
+    date_of = F.col("contract_date")
+    if day is None:
+        rows = rows.filter(date_of.isNull())
+    else:
+        until = date_of >= F.lit(end) if end is not None else F.lit(True)
+        rows = rows.filter(((date_of <= F.lit(day)) & until) | (date_of.isNull() if end is None else F.lit(False)))
+    if skip > SHALLOW_SKIP:
+        of_day = date_of.eqNullSafe(F.lit(day))
+        below, value = quantile.nth_bound(rows.filter(of_day).select("id"), "id", skip)
+        if below:
+            rows, skip = rows.filter(~of_day | (F.col("id") >= value)), skip - below
+    return rows, skip
+
+
 def property_history(sales: DataFrame, growth: DataFrame, stations: DataFrame, property_id: str) -> DataFrame:
     """All sales of one property, earliest first, numbered; empty for an unknown id."""
     order = Window.partitionBy("property_id").orderBy(F.col("contract_date").asc_nulls_first(), "id")
@@ -82,18 +122,12 @@ def monthly_price(sales: DataFrame, start_date: date | str | None = None,
 
 def monthly_median_price(sales: DataFrame, start_date: date | str | None = None,
                          end_date: date | str | None = None) -> DataFrame:
-    """Median price per month, exact. Equal prices of a month are counted first, so that what is ordered is the
-    different prices; a month's prices are then added up in one task."""
+    """Median price per month, exact: the middle price, or the mean of the two in the middle. No task orders a month's prices, only
+    those close to its middle (see quantile.exact_quantiles)."""
     prices = (between_dates(sales, start_date, end_date).filter("contract_date IS NOT NULL AND NOT isnan(purchase_price)")
-              .groupBy(F.date_format("contract_date", "yyyy-MM").alias("month"), "purchase_price")
-              .agg(F.count("*").alias("n")).filter("purchase_price IS NOT NULL"))
-    month = Window.partitionBy("month")
-    upto, total = F.sum("n").over(month.orderBy("purchase_price")), F.sum("n").over(month)
-    ranked = prices.withColumns({"upto": upto, "total": total})
-    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("purchase_price")))
-    return (ranked.groupBy("month")
-            .agg(((at(F.floor((F.col("total") + 1) / 2)) + at(F.floor((F.col("total") + 2) / 2))) / 2).alias("median_price"),
-                 F.max("total").alias("count")).orderBy("month"))
+              .select(F.date_format("contract_date", "yyyy-MM").alias("month"), "purchase_price"))
+    found = quantile.exact_quantiles(prices, ["month"], "purchase_price", 0.5)
+    return found.select("month", ((F.col("lower") + F.col("upper")) / 2).alias("median_price"), F.col("n").alias("count")).orderBy("month")
 
 
 def top_suburbs(sales: DataFrame, limit: int = 10, start_date: date | str | None = None,

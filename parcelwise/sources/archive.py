@@ -1,7 +1,8 @@
 """Nested sale archives: yearly ZIP, inner ZIPs, .dat members, text lines.
 
 Archives are opened in two steps with a shuffle between them, so that the inner ZIPs of one large
-yearly file are unpacked by many tasks. Members are streamed, never held whole.
+yearly file are unpacked by many tasks. The first step reads only the directory at an archive's end, the second seeks
+to the inner ZIPs that are its own, so that no task holds an outer archive, however large. Members are streamed.
 """
 
 from __future__ import annotations
@@ -10,8 +11,12 @@ import codecs
 import io
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +25,10 @@ from . import records
 CHUNK_BYTES = 1 << 20
 BATCH_LINES = 20_000
 
+#: A compressed inner ZIP up to this size is unpacked once and held; a larger one is read through again for each member.
+HELD_BYTES = 256 << 20
+
+DIRECTORY_SCHEMA = "path STRING, inner_no INT, inner STRING, error STRING"
 INNER_SCHEMA = "path STRING, inner_no INT, inner STRING, body BINARY, error STRING"
 LINE_SCHEMA = "path STRING, inner_no INT, inner STRING, member_no INT, member STRING, line_no INT, line STRING, error STRING"
 LINE_COLUMNS = ["path", "inner_no", "inner", "member_no", "member", "line_no", "line", "error"]
@@ -28,15 +37,50 @@ LINE_COLUMNS = ["path", "inner_no", "inner", "member_no", "member", "line_no", "
 LINE_BITS = 40
 
 
-def read_archives(spark: SparkSession, folder: str, start_year: int | None = None,
-                  end_year: int | None = None, done: DataFrame | None = None) -> DataFrame:
-    """Archives of a folder as (path, content): all `.zip` files, or with a bound those named `<year>.zip` within it. Paths
-    already listed in `done` are skipped."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(folder).select("path", "content")
-    if start_year is not None or end_year is not None:
-        year = F.try_to_number(F.regexp_extract("path", r"(?:^|/)(\d{4})\.zip$", 1), F.lit("9999"))
-        files = files.filter(year.between(start_year or 0, end_year or 9999))
-    return files if done is None else files.join(done.select("path").distinct(), "path", "left_anti")
+def read_archives(spark: SparkSession, folder: str, start_year: int | None = None, end_year: int | None = None,
+                  done: DataFrame | None = None, content: bool | None = None) -> DataFrame:
+    """Archives of a folder, as (path) to be read by seeking: all `.zip` files, or with a bound those named `<year>.zip` within it.
+    Paths already listed in `done` are skipped. With `content` (the choice where tasks cannot open the store by
+    themselves) as (path, content), a row holding a whole file of at most 2 GiB."""
+    columns = ["path", "content"] if (not seekable(folder) if content is None else content) else ["path"]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(folder).select(*columns)
+    return files_of_years(files, start_year, end_year) if done is None else (
+        files_of_years(files, start_year, end_year).join(done.select("path").distinct(), "path", "left_anti"))
+
+
+def files_of_years(files: DataFrame, start_year: int | None, end_year: int | None) -> DataFrame:
+    if start_year is None and end_year is None:
+        return files
+    year = F.try_to_number(F.regexp_extract("path", r"(?:^|/)(\d{4})\.zip$", 1), F.lit("9999"))
+    return files.filter(year.between(start_year or 0, end_year or 9999))
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path in it."""
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@%"))
+
+
+def seekable(folder: str) -> bool:
+    """Whether tasks can open files of this store by themselves."""
+    try:
+        store_of(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+@contextmanager
+def _outer(path: str) -> Iterator[zipfile.ZipFile]:
+    store, place = store_of(path)
+    with store.open_input_file(place) as file:
+        try:
+            outer = zipfile.ZipFile(file)
+        except pa.ArrowInvalid as error:  # sought before its begin
+            raise zipfile.BadZipFile("File is not a zip file") from error
+        with outer:
+            yield outer
 
 
 def numbered_archives(paths: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -53,11 +97,13 @@ def numbered_archives(paths: DataFrame, known: DataFrame | None = None) -> DataF
 
 def archive_lines(files: DataFrame) -> DataFrame:
     """Every text line with its place in the archives; what could not be read has an error and no
-    line. Only .dat members of inner ZIPs count, names in any case."""
-    inner = files.mapInPandas(_inner_zips, INNER_SCHEMA)
+    line. Only .dat members of inner ZIPs count, names in any case. `files` are paths, or paths with their content."""
     # A given number of partitions is not merged again at run time: packed bytes are few, work is not.
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return inner.repartition(tasks, "path", "inner_no").mapInPandas(_member_lines, LINE_SCHEMA)
+    if "content" in files.columns:
+        return files.mapInPandas(_inner_zips, INNER_SCHEMA).repartition(tasks, "path", "inner_no").mapInPandas(_member_lines, LINE_SCHEMA)
+    inner = files.select("path").repartition(tasks, "path").mapInPandas(_directories, DIRECTORY_SCHEMA)
+    return inner.repartition(tasks, "path", "inner_no").mapInPandas(_sought_lines, LINE_SCHEMA)
 
 
 def bad_files(lines: DataFrame) -> DataFrame:
@@ -85,14 +131,17 @@ def sales_from_lines(lines: DataFrame, as_of=None, numbers: DataFrame | None = N
         {name: F.lit(None).cast(kind) for name, kind in blank.items()})
 
 
+def _inner_names(outer: zipfile.ZipFile) -> list[str]:
+    return [n for n in outer.namelist() if n.lower().endswith(".zip")]
+
+
 def _inner_zips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["path", "inner_no", "inner", "body", "error"]
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as outer:
-                    names = [n for n in outer.namelist() if n.lower().endswith(".zip")]
-                    for number, name in enumerate(names):
+                    for number, name in enumerate(_inner_names(outer)):
                         try:
                             row = (path, number, name, outer.read(name), None)
                         except Exception as error:
@@ -102,24 +151,65 @@ def _inner_zips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame([(path, 0, None, None, repr(error))], columns=columns)
 
 
+def _directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The inner ZIPs that the directory of each archive lists; of the file nothing else is read."""
+    for batch in batches:
+        for path in batch["path"]:
+            try:
+                with _outer(path) as outer:
+                    rows = [(path, number, name, None) for number, name in enumerate(_inner_names(outer))]
+            except Exception as error:
+                rows = [(path, 0, None, repr(error))]
+            yield pd.DataFrame(rows, columns=["path", "inner_no", "inner", "error"])
+
+
+def _sought_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, entries in batch.sort_values(["path", "inner_no"]).groupby("path", sort=False):
+            failed = entries[entries["inner"].isna()]
+            if len(failed):
+                yield _rows([(path, 0, None, 0, None, 0, None, failed["error"].iloc[0])])
+                continue
+            with _outer(path) as outer:
+                listed = [info for info in outer.infolist() if info.filename.lower().endswith(".zip")]
+                for number, name in zip(entries["inner_no"], entries["inner"]):
+                    place = (path, number, name)
+                    try:
+                        body = _opened(outer, listed[number])
+                    except Exception as error:
+                        yield _rows([(*place, 0, None, 0, None, repr(error))])
+                        continue
+                    with body:
+                        yield from _lines_of(body, place)
+
+
+def _opened(outer: zipfile.ZipFile, info: zipfile.ZipInfo):
+    """An inner ZIP as a file that can be sought in: where it lies if it is stored as it is, else unpacked."""
+    held = info.compress_type != zipfile.ZIP_STORED and info.file_size <= HELD_BYTES
+    return io.BytesIO(outer.read(info)) if held else outer.open(info)
+
+
 def _member_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, inner_no, inner, body, error in batch.itertuples(index=False):
-            place = (path, inner_no, inner)
             if body is None:
-                yield _rows([(*place, 0, None, 0, None, error)])
-                continue
-            try:
-                with zipfile.ZipFile(io.BytesIO(body)) as archive:
-                    names = [n for n in archive.namelist() if n.lower().endswith(".dat")]
-                    for member_no, member in enumerate(names):
-                        try:
-                            encoding = _encoding(archive, member)
-                            yield from _numbered(archive, member, encoding, (*place, member_no, member))
-                        except Exception as error:
-                            yield _rows([(*place, member_no, member, 0, None, repr(error))])
-            except Exception as error:
-                yield _rows([(*place, 0, None, 0, None, repr(error))])
+                yield _rows([(path, inner_no, inner, 0, None, 0, None, error)])
+            else:
+                yield from _lines_of(io.BytesIO(body), (path, inner_no, inner))
+
+
+def _lines_of(body, place: tuple) -> Iterator[pd.DataFrame]:
+    try:
+        with zipfile.ZipFile(body) as archive:
+            names = [n for n in archive.namelist() if n.lower().endswith(".dat")]
+            for member_no, member in enumerate(names):
+                try:
+                    encoding = _encoding(archive, member)
+                    yield from _numbered(archive, member, encoding, (*place, member_no, member))
+                except Exception as error:
+                    yield _rows([(*place, member_no, member, 0, None, repr(error))])
+    except Exception as error:
+        yield _rows([(*place, 0, None, 0, None, repr(error))])
 
 
 def _rows(rows: list[tuple]) -> pd.DataFrame:

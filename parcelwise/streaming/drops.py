@@ -1,7 +1,7 @@
 """Archives dropped into a folder, each read once.
 
 The batch reader skips files that are already there; as a stream, the checkpoint remembers which
-files were read, and every new archive is appended to `sales` exactly once.
+files were read, and every new archive's sales are added to `sales` exactly once.
 """
 
 from __future__ import annotations
@@ -11,32 +11,28 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..plans import jobs
 from ..sources import archive
-from ..sources.tables import has_table, read_table, write_table
 
 BINARY_FILE_DDL = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
 def stream_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives as (path), to be read by seeking, or where tasks cannot open the store as (path, content)."""
+    columns = ["path"] if archive.seekable(folder) else ["path", "content"]
     return (spark.readStream.format("binaryFile").schema(BINARY_FILE_DDL)
             .option("pathGlobFilter", "*.[zZ][iI][pP]").option("maxFilesPerTrigger", 8)
-            .load(folder).select("path", "content"))
+            .load(folder).select(*columns))
 
 
 def ingest_drops(spark: SparkSession, folder: str, root: str, checkpoint: str,
                  as_of: date | None = None) -> StreamingQuery:
-    """Append every archive not read yet to `<root>/sales`, what cannot be read to `<root>/bad_files`, then stop.
+    """Add every archive not read yet to the stored sales, what cannot be read to `bad_files`, then stop.
 
-    Files of any name are taken. Each batch numbers its archives after those in `<root>/archives`, writes its lines aside and
-    then a folder of its own, `batch=<number>`; a batch that is run again replaces what it wrote, so no sale is added twice."""
+    Files of any name are taken. Sales are the table that the jobs write and read: a batch is a part of its present version,
+    `batch-<number>`, which is replaced if the batch is run again, and archives that a job has read are skipped."""
     def append(files: DataFrame, batch: int) -> None:
-        known = read_table(spark, root, "archives") if has_table(spark, root, "archives") else None
-        write_table(archive.numbered_archives(files, known), root, "archives")
-        numbers = read_table(spark, root, "archives")
-        write_table(archive.archive_lines(files), root, "archive_lines")
-        lines = read_table(spark, root, "archive_lines")
-        for name, df in (("sales", archive.sales_from_lines(lines, as_of, numbers)), ("bad_files", archive.bad_files(lines))):
-            df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
+        jobs.add_archives(spark, root, files, f"batch-{batch}", as_of)
 
     return (stream_files(spark, folder).writeStream.foreachBatch(append)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -51,9 +51,11 @@ def test_growth_by_year_and_summaries(spark):
     repeats = growth.repeat_sales(sales)
     cube = growth.growth_cube(repeats)
     per_suburb = {r.year: r.property_count for r in growth.suburb_growth(cube).collect()}
-    assert per_suburb == {y: 2 if y <= 2003 else 1 for y in range(2001, 2026)}
+    assert per_suburb == {y: 2 if y <= 2003 else 1 for y in range(2001, 2031)}  # up to the last year with a sale
+    until = {r.year: r.property_count for r in growth.suburb_growth(growth.growth_cube(repeats, 2025)).collect()}
+    assert until == {y: 2 if y <= 2003 else 1 for y in range(2001, 2026)}
     per_street = {(r.post_code, r.year) for r in growth.street_growth(cube).collect()}
-    assert per_street == {(2000, y) for y in range(2001, 2004)} | {(0, y) for y in range(2001, 2026)}
+    assert per_street == {(2000, y) for y in range(2001, 2004)} | {(0, y) for y in range(2001, 2031)}
     streets = growth.street_summary(sales, cube).collect()
     assert [(r.post_code, r.unique_properties, r.total_sales) for r in streets] == [(2000, 2, 4)]
     suburb = growth.suburb_summary(sales, cube).first()

@@ -112,6 +112,14 @@ def test_table_versions(spark, tmp_path):
     (tmp_path / "t" / "v000003").mkdir()  # a write that did not finish
     assert tables.read_table(spark, root, "t").count() == 2 and old.count() == 3
     assert tables.write_table(spark.range(1), root, "t").endswith("v000004")
+    tables.write_table(spark.range(3).selectExpr("id", "id AS year").filter("id > 5"), root, "by_year", ["year"])
+    assert tables.read_table(spark, root, "by_year").columns == ["id", "year"]
+    tables.add_part(spark.range(7, 9), root, "t", "more")
+    tables.add_part(spark.range(7, 10), root, "t", "more")
+    assert tables.parts(spark, root, "t") == ["more"] and tables.read_table(spark, root, "t").count() == 4
+    assert tables.read_table(spark, root, "t", added=[]).count() == 1 and tables.read_table(spark, root, "t", base=False).count() == 3
+    tables.write_table(spark.range(2), root, "t")
+    assert tables.read_table(spark, root, "t").count() == 2
 
 
 def test_cards(spark):
@@ -170,7 +178,7 @@ def test_jobs(spark, tmp_path):
     assert jobs.geocode_sales(spark, root, gazetteer).first() == (2, 2)
     jobs.ingest(spark, str(drops), root, as_of=AS_OF)
     assert jobs.read_sales(spark, root).filter("latitude IS NOT NULL").count() == 0
-    assert len(tables.vacuum(spark, root, "sales")) == 2 and jobs.read_sales(spark, root).count() == 7
+    assert len(tables.vacuum(spark, root, "sales")) == 1 and jobs.read_sales(spark, root).count() == 7
 
 
 def test_stream_of_drops(spark, tmp_path):
@@ -180,9 +188,65 @@ def test_stream_of_drops(spark, tmp_path):
     (drops / "drop.zip").write_bytes(zipped({"w.zip": zipped({"n.dat": record("odd name")})}))
     root, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
     ingest_drops(spark, str(drops), root, checkpoint, AS_OF).awaitTermination()
-    assert spark.read.parquet(f"{root}/sales").count() == 8
-    assert spark.read.parquet(f"{root}/bad_files").count() == 3
+    assert jobs.read_sales(spark, root).count() == 8
+    assert tables.read_table(spark, root, "bad_files").count() == 3
     (drops / "2005.zip").write_bytes(zipped({"w.zip": zipped({"n.dat": record("new")})}))
     ingest_drops(spark, str(drops), root, checkpoint, AS_OF).awaitTermination()
-    got = spark.read.parquet(f"{root}/sales")
+    got = jobs.read_sales(spark, root)
     assert got.count() == 9 == got.select("id").distinct().count() and got.filter("property_id = 'new'").count() == 1
+
+
+def test_streams_and_jobs_share_sales(spark, tmp_path):
+    """Whichever reads an archive first adds it to the one table; the other skips it, and growth sees all."""
+    drops, root, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    drops.mkdir()
+
+    def drop(year, *records):
+        (drops / f"{year}.zip").write_bytes(zipped({"w.zip": zipped({"n.dat": "\n".join(records)})}))
+
+    drop(2001, record("p1", "20010131", "100"))
+    assert jobs.ingest(spark, str(drops), root, as_of=AS_OF).first() == (1, 1, 0)
+    drop(2002, record("p1", "20020131", "200"))
+    ingest_drops(spark, str(drops), root, checkpoint, AS_OF).awaitTermination()
+    assert tables.parts(spark, root, "sales") == ["batch-0"] and jobs.read_sales(spark, root).count() == 2
+    drop(2003, record("p1", "20030131", "300"), record("p2", "20030131"))
+    assert jobs.ingest(spark, str(drops), root, as_of=AS_OF, keep_existing=True).first() == (3, 4, 0)
+    assert jobs.ingest(spark, str(drops), root, as_of=AS_OF, keep_existing=True).first() == (3, 4, 0)
+    ingest_drops(spark, str(drops), root, checkpoint, AS_OF).awaitTermination()
+    assert tables.parts(spark, root, "sales") == ["archives-3", "batch-0", "batch-1"]
+    sales = jobs.read_sales(spark, root)
+    assert sorted(r.purchase_price for r in sales.collect()) == [100.0, 100.0, 200.0, 300.0] and sales.select("id").distinct().count() == 4
+    jobs.build_growth(spark, root)
+    assert [r.last_sale_price for r in jobs.read_growth(spark, root).collect()] == [300.0]
+    drop(2004, record("p1", "20040131", "50"), record("p3"))
+    ingest_drops(spark, str(drops), root, checkpoint, AS_OF).awaitTermination()
+    jobs.extend_growth(spark, root)
+    assert [(r.first_sale_price, r.last_sale_price) for r in jobs.read_growth(spark, root).collect()] == [(100.0, 50.0)]
+    assert tables.read_table(spark, root, "suburb_summary").first().total_sales == 6
+    (drops / "2004.zip").unlink()
+    # A range of years replaces all; what it left out is read again when asked for.
+    assert jobs.ingest(spark, str(drops), root, 2003, 2003, as_of=AS_OF).first().sales == 2
+    assert jobs.ingest(spark, str(drops), root, as_of=AS_OF, keep_existing=True).first().sales == 4
+
+
+def test_archive_beyond_two_gigabytes(spark, tmp_path):
+    """A sparse file whose archive begins after 2.5 GB, stored and packed inner archives: nothing but its ends is read."""
+    inner = zipped({"a.dat": record("p1") + "\n" + record("p2")})
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as outer:
+        outer.writestr("stored.zip", inner, zipfile.ZIP_STORED)
+        outer.writestr("packed.zip", inner, zipfile.ZIP_DEFLATED)
+    with open(tmp_path / "2024.zip", "wb") as file:
+        file.seek(2_500_000_000)
+        file.write(body.getvalue())
+    lines = archive.archive_lines(archive.read_archives(spark, str(tmp_path)))
+    assert sorted((r.inner, r.line_no, r.error) for r in lines.collect()) == [(n, i, None) for n in ("packed.zip", "stored.zip") for i in (0, 1)]
+
+
+def test_content_and_seeking_agree(spark, tmp_path, monkeypatch):
+    make_archives(tmp_path)
+    monkeypatch.setattr(archive, "HELD_BYTES", 0)
+    by_path, by_content = (archive.archive_lines(archive.read_archives(spark, str(tmp_path), content=c)) for c in (False, True))
+    told = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert told(by_path) == told(by_content)
+    assert not archive.seekable("viewfs://store/in") and archive.seekable(str(tmp_path))
