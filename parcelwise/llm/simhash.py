@@ -189,9 +189,10 @@ def near_duplicates(df: DataFrame, shingle: int = 3, max_bits: int = 2, id_col:
 def deduplicated(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of `docs` of each group of near-duplicates, with all columns: that with the least id (null last, ties by a hash
     of the text, and of equal rows one)."""
-    found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
-    chosen = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("_id"), "text_hash")).alias("least"))
-    chosen = chosen.select(F.col("least._id").alias("_id"), F.col("least.text_hash").alias("_hash"))
-    rows = docs.withColumn("_text_hash", F.xxhash64(text_col)).join(
-        chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return rows.groupBy(id_col, "_text_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    found = near_duplicates(rows, shingle, max_bits)
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"))
+    chosen = chosen.select(F.col("least.doc_id").alias("least_id"), F.col("least.text_hash").alias("least_hash"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "row").join(
+        chosen, F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("text_hash") == F.col("least_hash")), "left_semi")
+    return rows.groupBy("doc_id", "text_hash").agg(F.min("row").alias("row")).select("row.*")

@@ -15,7 +15,8 @@ def odd_docs(spark):
         (10, " ".join(f"w{i}" for i in range(60_000)), "en", "a", 408_889),
     ]
     df = spark.createDataFrame(rows, DOCS)
-    for name in ("fingerprint", "row", "size", "key", "label", "id", "piece", "length", "score", "lang_pred", "part", "rank", "kept", "spans"):
+    for name in ("fingerprint", "row", "size", "key", "label", "id", "piece", "length", "score", "lang_pred", "part", "rank", "kept", "spans",
+                 "_id", "_hash", "_text_hash", "_fingerprint", "_row", "_text", "_held"):
         df = df.selectExpr("*", f"'clash' AS {name}")
     return df
 
