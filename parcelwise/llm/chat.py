@@ -29,6 +29,7 @@ class Layout:
     also: tuple[str, ...] = ()
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
     optional: tuple[str, ...] = ()
+    renames: bool = True  # whether its roles go by other names than the canonical ones (ROLES)
 
     def required(self) -> frozenset[str]:
         if self.items:
@@ -43,7 +44,7 @@ class Layout:
 
 
 LAYOUTS = (
-    Layout("turns", items="turns", role="role", text="text", also=("turn",)),
+    Layout("turns", items="turns", role="role", text="text", also=("turn",), renames=False),
     Layout("messages", items="messages", role="role", text="content"),
     Layout("conversations", items="conversations", role="from", text="value"),
     Layout("instruction", fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))),
@@ -88,9 +89,9 @@ def _turns(record: Column, layout: Layout) -> Column:
         kind = f"struct<`{layout.items}`:array<struct<`{layout.role}`:string,`{layout.text}`:string>>>"
         items = F.from_json(record, kind, JSON)[layout.items]
         named = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+        role = lambda x: F.coalesce(F.try_element_at(named, F.coalesce(x, F.lit(""))), x) if layout.renames else x
         return F.transform(F.coalesce(items, F.array().cast(f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")),
-                           lambda x: turn(F.coalesce(F.try_element_at(named, F.coalesce(x[layout.role], F.lit(""))), x[layout.role]),
-                                          x[layout.text]))
+                           lambda x: turn(role(x[layout.role]), x[layout.text]))
     names = dict.fromkeys(p for _, paths in layout.fields for p in paths)
     values = F.from_json(record, ",".join(f"`{p}` string" for p in names), JSON)
     told = [turn(F.lit(role), F.array_join(F.filter(F.array(*[values[p] for p in paths]), lambda x: x != ""), "\n\n"))
@@ -109,12 +110,13 @@ def canonical(df: DataFrame, record_col: str = "record", layouts: tuple[Layout,
     containers = sorted({layout.items for layout in layouts if layout.items})
     record = F.col(record_col)
     paths = F.array_intersect(field_paths(record, containers), F.array(*map(F.lit, known)))
+    own = "_fingerprint" + "_" * max(map(len, df.columns))  # a name that no column has
     chosen, name = F.lit(None).cast("array<struct<role:string,text:string>>"), F.lit(None).cast("string")
     for layout in reversed(layouts):
         prints = [fingerprint(F.array(*map(F.lit, sorted(paths)))) for paths in layout.path_sets()]
-        match = F.col("_fingerprint").isin(*prints)
+        match = F.col(own).isin(*prints)
         chosen, name = F.when(match, _turns(record, layout)).otherwise(chosen), F.when(match, layout.name).otherwise(name)
-    return df.withColumn("_fingerprint", fingerprint(paths)).withColumns({"layout": name, "turns": chosen}).drop("_fingerprint")
+    return df.withColumn(own, fingerprint(paths)).withColumns({"layout": name, "turns": chosen}).drop(own)
 
 
 def templated(df: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -150,7 +152,30 @@ def records_of(rows: DataFrame) -> DataFrame:
     nulls first; repeated rows are turns of their own; rows without id are one conversation). Conversations are
     training examples: one must fit a row."""
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(turns.alias("turns")), {"ignoreNullFields": "false"}).alias("record"))
+    return rows.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", _as_json(F.struct("turns")).alias("record"))
+
+
+def _as_json(record: Column) -> Column:
+    return F.to_json(record, {"ignoreNullFields": "false"})
+
+
+def mixed_records_of(rows: DataFrame) -> DataFrame:
+    """Like `records_of`, but in several layouts: a hash of the id chooses one, where the conversation can be told in it (its roles
+    are the canonical ones; for a prompt and a response, there is one of each and no empty text). Others have `turns`."""
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    plain = F.forall("turns", lambda t: F.coalesce(t["role"].isin("system", "user", "assistant"), F.lit(False)))
+    roles = F.array_join(F.transform("turns", lambda t: t["role"]), " ")
+    short = plain & roles.isin("user assistant", "system user assistant") & F.forall("turns", lambda t: F.coalesce(t["text"], F.lit("")) != "")
+    messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    foreign = F.create_map(*[F.lit(x) for pair in (("user", "human"), ("assistant", "gpt"), ("system", "system")) for x in pair])
+    said = F.transform("turns", lambda t: F.struct(F.try_element_at(foreign, t["role"]).alias("from"), t["text"].alias("value")))
+    of = lambda role: F.get(F.filter("turns", lambda t: t["role"] == role), F.lit(0))["text"]
+    choice = F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    record = (F.when(plain & (choice == 1), _as_json(F.struct(messages.alias("messages"))))
+              .when(plain & (choice == 2), _as_json(F.struct(said.alias("conversations"))))
+              .when(short & (choice == 3), _as_json(F.struct(of("system").alias("system"), of("user").alias("prompt"), of("assistant").alias("response"))))
+              .otherwise(_as_json(F.struct("turns"))))
+    return whole.select("conv_id", record.alias("record"))
 
 
 #: The digests of `op2` as SQL, from the definition of the template.

@@ -40,7 +40,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(
         F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
-    formatted = chat.templated(chat.canonical(chat.records_of(rows.unionByName(hostile))))
+    formatted = chat.templated(chat.canonical(chat.mixed_records_of(rows.unionByName(hostile))))
     read = formatted.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("said"),
                             chat.read_loss(F.col("segments")).alias("loss"))
     told = F.array_join(F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -77,3 +77,19 @@ def test_digest(spark):
     row = op2_chat(spark, "/root/testdata/sf0.001").filter("conv_id = -1").first()
     assert row["turns_sha256"] == hashlib.sha256(f"user\n{HOSTILE}\nassistant\n{HOSTILE}\n".encode()).hexdigest()
     assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (2, len(HOSTILE), hashlib.sha256(HOSTILE.encode()).hexdigest())
+
+
+def test_roles_of_turns_stay(spark):
+    """Foreign names of roles are those of other layouts only."""
+    rows = spark.createDataFrame([(c, t, role, f"{c} {t}") for c in range(40) for t, role in enumerate(["human", "bot"] if c % 2 else ["system", "user", "assistant"])]
+                                 + [(100, 0, None, None), (101, 0, "user", ""), (101, 1, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    plain, mixed = (chat.canonical(f(rows)).collect() for f in (chat.records_of, chat.mixed_records_of))
+    assert {r["conv_id"]: r["turns"] for r in plain} == {r["conv_id"]: r["turns"] for r in mixed}
+    assert {r["layout"] for r in plain} == {"turns"} and {r["layout"] for r in mixed} == {"turns", "messages", "conversations", "response"}
+    assert [t["role"] for t in next(r for r in mixed if r["conv_id"] == 1)["turns"]] == ["human", "bot"]
+
+
+def test_clashing_column_stays(spark):
+    df = spark.createDataFrame([('{"prompt": "a", "completion": "b"}', "mine")], "record string, _fingerprint string")
+    row = chat.canonical(df).first()
+    assert row["_fingerprint"] == "mine" and row["layout"] == "completion"
