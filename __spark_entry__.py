@@ -252,11 +252,13 @@ def _root(m: Market) -> str:
     return f"{folder}/tables-{uuid.uuid4().hex}"
 
 
-def _with_enrichment(m: Market) -> DataFrame:
+def _with_enrichment(m: Market, compact: bool = False) -> DataFrame:
     """A geocoding job by ids with house numbers, and the sales as read afterwards."""
     root = _root(m)
     write_table(m.sales, root, "sales")
     jobs.geocode_sales(m.spark, root, fixtures.house_gazetteer(m.spark, m.dir), m.sales.filter("id % 10 = 3").select("id"))
+    if compact:
+        jobs.compact_sales(m.spark, root)
     return rounded(jobs.read_sales(m.spark, root).select("id", "latitude", "longitude"), *PLACE)
 
 
@@ -420,6 +422,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "extended_property_growth": lambda m: rounded(jobs.read_growth(m.spark, _extended(m))),
     "sales_after_build": _sales_after_build,
     "sales_with_enrichment": _with_enrichment,
+    "compacted_sales": lambda m: _with_enrichment(m, compact=True),
     "parse_records": lambda m: parse_records(fixtures.dat_lines(m.spark, m.dir), AS_OF),
     "title_case": lambda m: fixtures.raw_names(m.spark, m.dir).select("id", text.title_case(F.col("raw")).alias("name")),
     "listing_cards": lambda m: extract_cards(fixtures.listing_pages(m.spark, m.dir)).drop("_error"),

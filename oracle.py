@@ -532,3 +532,4 @@ ORACLE_SQL = {
 ORACLE_SQL["ingest_job"] = ORACLE_SQL["ingest_nested_zip"]
 ORACLE_SQL["extended_growth"] = ORACLE_SQL["stored_growth"]
 ORACLE_SQL["extended_property_growth"] = ORACLE_SQL["property_growth"]
+ORACLE_SQL["compacted_sales"] = ORACLE_SQL["sales_with_enrichment"]

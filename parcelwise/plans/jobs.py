@@ -12,7 +12,7 @@ from ..functions import text
 from ..operators import enrich, growth, spatial
 from ..operators.numbering import latest_sales
 from ..sources import archive
-from ..sources.tables import add_part, current_version, has_folder, has_table, parts, read_table, write_table
+from ..sources.tables import add_part, current_version, has_folder, has_table, next_version, parts, read_table, write_table
 
 #: Within files; suburb, date and growth filters then skip most of them.
 SALES_ORDER = ["property_locality", "contract_date"]
@@ -32,13 +32,13 @@ def _side(spark: SparkSession, root: str) -> str:
     return f"{root}/enrichment/{current_version(spark, root, 'sales')}"
 
 
-def _listed(spark: SparkSession, root: str) -> str:
-    """Where the archives whose sales the present version of sales holds are listed, by the part that has them."""
-    return f"{root}/sales_archives/{current_version(spark, root, 'sales')}"
+def _listed(spark: SparkSession, root: str, version: str | None = None) -> str:
+    """Where the archives whose sales a version of sales, the present one if not told, holds are listed, by the part that has them."""
+    return f"{root}/sales_archives/{version or current_version(spark, root, 'sales')}"
 
 
-def _list_archives(paths: DataFrame, root: str, part: str) -> None:
-    paths.select("path").distinct().write.mode("overwrite").parquet(f"{_listed(paths.sparkSession, root)}/part={part}")
+def _list_archives(paths: DataFrame, root: str, part: str, version: str | None = None) -> None:
+    paths.select("path").distinct().write.mode("overwrite").parquet(f"{_listed(paths.sparkSession, root, version)}/part={part}")
 
 
 def archives_read(spark: SparkSession, root: str) -> DataFrame | None:
@@ -108,6 +108,23 @@ def ingest(spark: SparkSession, archives: str, root: str, start_year: int | None
     return spark.range(1).select(*[df.agg(F.count("*")).scalar().alias(name) for name, df in counts.items()])
 
 
+def compact_sales(spark: SparkSession, root: str) -> None:
+    """Write the sales with their parts and with all that enrichment has found as a new version, in order within its files. What is
+    read stays the same; parts and side table, which reads have to merge, are empty again, and growth that was up to date
+    stays so. `tables.vacuum` then removes the old files."""
+    version, added, archives = current_version(spark, root, "sales"), parts(spark, root, "sales"), archives_read(spark, root)
+    new = next_version(spark, root, "sales")
+    if archives is not None:  # before the sales are there: without it they would count as incomplete
+        _list_archives(archives, root, "all", new)
+    write_table(read_sales(spark, root, added), root, "sales", sort_by=SALES_ORDER)
+    if has_table(spark, root, "growth_state"):
+        state = read_table(spark, root, "growth_state")
+        sales = state.filter("name = 'sales'").first()
+        if sales["version"] == version and sorted(sales["parts"]) == added:
+            fresh = spark.createDataFrame([("sales", new, [])], state.schema)
+            write_table(state.filter("name <> 'sales'").unionByName(fresh).coalesce(1), root, "growth_state")
+
+
 def read_growth(spark: SparkSession, root: str) -> DataFrame:
     """Growth per property: as built, and for properties sold since then as last extended."""
     rows = read_table(spark, root, "property_growth")

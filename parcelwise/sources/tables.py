@@ -35,11 +35,14 @@ def _versions(spark: SparkSession, root: str, name: str, complete: bool) -> list
     return found
 
 
+def next_version(spark: SparkSession, root: str, name: str) -> str:
+    return f"v{max(_versions(spark, root, name, complete=False), default=0) + 1:06d}"
+
+
 def write_table(df: DataFrame, root: str, name: str, partition_by: list[str] | None = None,
                 sort_by: list[str] | None = None) -> str:
     """Write the next version of a table and return its path."""
-    number = max(_versions(df.sparkSession, root, name, complete=False), default=0) + 1
-    target = f"{root}/{name}/v{number:06d}"
+    target = f"{root}/{name}/{next_version(df.sparkSession, root, name)}"
     if sort_by:
         df = df.sortWithinPartitions(*sort_by)
     writer = df.write

@@ -223,6 +223,16 @@ def test_streams_and_jobs_share_sales(spark, tmp_path):
     jobs.extend_growth(spark, root)
     assert [(r.first_sale_price, r.last_sale_price) for r in jobs.read_growth(spark, root).collect()] == [(100.0, 50.0)]
     assert tables.read_table(spark, root, "suburb_summary").first().total_sales == 6
+    gazetteer = spark.createDataFrame([("1 kent st, sydney nsw 2000", -33.8, 151.1)], GAZETTEER_DDL)
+    assert jobs.geocode_sales(spark, root, gazetteer).first() == (6, 6)
+    before = {tuple(r) for r in jobs.read_sales(spark, root).collect()}
+    jobs.compact_sales(spark, root)
+    assert {tuple(r) for r in jobs.read_sales(spark, root).collect()} == before and len(before) == 6
+    assert tables.current_version(spark, root, "sales") == "v000002" and not tables.parts(spark, root, "sales")
+    assert jobs.ingest(spark, str(drops), root, as_of=AS_OF, keep_existing=True).first().sales == 6
+    built = tables.current_version(spark, root, "property_spans")
+    jobs.extend_growth(spark, root)  # nothing new
+    assert tables.current_version(spark, root, "property_spans") == built
     (drops / "2004.zip").unlink()
     # A range of years replaces all; what it left out is read again when asked for.
     assert jobs.ingest(spark, str(drops), root, 2003, 2003, as_of=AS_OF).first().sales == 2
