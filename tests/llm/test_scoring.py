@@ -1,6 +1,8 @@
 import random
 import zlib
 from collections import Counter
+from functools import lru_cache
+from math import floor
 
 import pyarrow as pa
 import pytest
@@ -117,14 +119,42 @@ def test_rules_perplexity(spark, small_docs):
     for r in rows[:60]:
         logs = [log10(model.p((r["lang"], 1 - half(r["text"]), *c), s)) for word in WORD.findall(r["text"]) for c, s in grams(word)]
         assert judged[r["doc_id"]]["log_perplexity"] == pytest.approx(-sum(logs) / len(logs))
-    passed = [r for r in judged.values() if not r["base_failed"]]
+    # The verdict, from the definitions: scores without the tenth that fits worst, and the shortest range with half of the texts.
+    @lru_cache(maxsize=None)
+    def scored(word, lang, other):
+        return [log10(model.p((lang, other, *c), s)) for c, s in grams(word)]
+
+    cores, bands = {}, {}
+    for r in rows:
+        words = [scored(w, r["lang"], 1 - half(r["text"])) for w in WORD.findall(r["text"])]
+        by_step = {}
+        for logs in words:
+            step = min(max(int(-sum(logs) / len(logs) / rules.SCORE_STEP), 0), rules.SCORES - 1)
+            own = by_step.setdefault(step, [0.0, 0])
+            own[0], own[1] = own[0] - sum(logs), own[1] + len(logs)
+        left = (1 - rules.SPARED) * sum(n for _, n in by_step.values())
+        whole = total = 0.0
+        for step in sorted(by_step):
+            logs, n = by_step[step]
+            used = min(left, n)
+            whole, total, left = whole + used * logs / n, total + used, left - used
+        cores[r["doc_id"]] = whole / total if total else None
+    passed = [r for r in rows if not judged[r["doc_id"]]["base_failed"]]
     for lang in {r["lang"] for r in passed}:
-        steps = sorted(int(r["log_perplexity"] // rules.STEP) for r in passed if r["lang"] == lang)
-        quartile = [(steps[max(0, -(-len(steps) * q // 4) - 1)] + 0.5) * rules.STEP for q in (1, 2, 3)]
-        reach = rules.REACH * max(quartile[2] - quartile[0], rules.LEAST_SPREAD)
-        for r in passed:
-            if r["lang"] == lang:
-                assert r["kept"] == (abs(r["log_perplexity"] - quartile[1]) <= reach)
+        steps = sorted(floor(c / rules.STEP) for c in {r["text"]: cores[r["doc_id"]] for r in passed if r["lang"] == lang}.values())
+        found = []
+        for a in sorted(set(steps)):
+            ends = [z for z in sorted(set(steps)) if sum(a <= s <= z for s in steps) >= len(steps) / 2]
+            if ends:
+                found.append((ends[0] - a, -sum(a <= s <= ends[0] for s in steps), a, ends[0]))
+        _, _, first, last = min(found)
+        low, high = first * rules.STEP, (last + 1) * rules.STEP
+        spread = max(high - low, rules.LEAST_SPREAD)
+        down = min(max(rules.REACH_DOWN * spread, rules.LEAST_DOWN), rules.FARTHEST)
+        bands[lang] = (low + high) / 2 - down, (low + high) / 2 + min(rules.REACH * spread, rules.FARTHEST)
+    for r in passed:
+        low, high = bands[r["lang"]]
+        assert judged[r["doc_id"]]["kept"] == (low <= cores[r["doc_id"]] <= high)
     kept = rules.passing(small_docs)
     assert kept.columns == small_docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in judged.items() if r["kept"])
