@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney models: counted in Spark, kept as sorted hash arrays, mapped by workers.
 
-A model has levels m = 1..n. An entry of level m is a context (the m - 1 symbols before, as one 64-bit number) and a symbol;
+A model has levels m = 1..n. An entry of level m is a context (the m - 1 symbols before, told by a 64-bit number) and a symbol;
 its count is how often it occurs at level n, and below how many different symbols precede it. Entries live in buckets: a
 bucket's entries are three files of sorted arrays in the shared folder, written by the task that sums the bucket, and looked
 up by bisection in memory-mapped files. No task and no worker holds more than a bucket's arrays in memory of its own."""
@@ -28,38 +28,71 @@ HEAVY_SHARE = 2000
 #: A bucket is meant to hold about so many entries; there are at least so many buckets.
 BUCKET_ENTRIES, LEAST_BUCKETS = 1_000_000, 64
 
-Entries = tuple[np.ndarray, np.ndarray, np.ndarray]  # context, symbol, count
+#: Context, symbol, count. A context is one number, or a row of numbers: its own, and those of the shorter contexts below it.
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def own(context: np.ndarray) -> np.ndarray:
+    """The numbers that tell contexts apart."""
+    return context if context.ndim == 1 else context[:, 0]
 
 
 def merged(context: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> Entries:
     """Entries in order of context and symbol, equal ones added up."""
-    order = np.lexsort((symbol, context))
+    order = np.lexsort((symbol, own(context)))
     context, symbol, count = context[order], symbol[order], count[order]
     if not len(context):
         return context, symbol, count
-    new = np.empty(len(context), bool)
-    new[0], new[1:] = True, (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])
+    key = own(context)
+    new = np.empty(len(key), bool)
+    new[0], new[1:] = True, (key[1:] != key[:-1]) | (symbol[1:] != symbol[:-1])
     at = np.flatnonzero(new)
     return context[at], symbol[at], np.add.reduceat(count, at)
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the greatest needs, after their number and width."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return np.array([len(numbers), kind.itemsize], np.uint64).tobytes() + numbers.astype(kind).tobytes()
+
+
+def _coded(numbers: np.ndarray) -> bytes:
+    """Numbers of which many are equal: the different ones, and the place of each."""
+    different, place = np.unique(numbers, return_inverse=True)
+    return _narrow(different) + _narrow(place)
+
+
 def packed(context: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> bytes:
     """Merged entries as bytes: each context once, with the number of its entries."""
-    new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-    runs = np.diff(np.r_[new, len(context)])
-    wide = np.uint64 if count.max() >= 1 << 32 else np.uint32
-    head = np.array([len(new), len(context), np.dtype(wide).itemsize], np.uint64)
-    return b"".join(x.tobytes() for x in (head, context[new].astype(np.uint64), symbol.astype(np.uint64),
-                                          runs.astype(np.uint64), count.astype(wide)))
+    key = own(context)
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    shorter = [] if context.ndim == 1 else [_coded(column) for column in context[new, 1:].T]
+    width = 0 if context.ndim == 1 else context.shape[1]
+    return b"".join([np.array([width], np.uint64).tobytes(), _narrow(key[new]), *shorter, _coded(symbol),
+                     _narrow(np.diff(np.r_[new, len(key)])), _narrow(count)])
 
 
 def unpacked(data: bytes) -> Entries:
-    groups, n, width = (int(x) for x in np.frombuffer(data, np.uint64, 3))
-    context = np.frombuffer(data, np.uint64, groups, 24)
-    symbol = np.frombuffer(data, np.uint64, n, 24 + 8 * groups)
-    runs = np.frombuffer(data, np.uint64, groups, 24 + 8 * (groups + n))
-    count = np.frombuffer(data, np.uint64 if width == 8 else np.uint32, n, 24 + 8 * (2 * groups + n))
-    return np.repeat(context, runs.astype(np.int64)), symbol, count.astype(np.uint64)
+    at = 8
+
+    def numbers() -> np.ndarray:
+        nonlocal at
+        n, width = (int(x) for x in np.frombuffer(data, np.uint64, 2, at))
+        found = np.frombuffer(data, f"u{width}", n, at + 16)
+        at += 16 + n * width
+        return found
+
+    def coded() -> np.ndarray:
+        different = numbers().astype(np.uint64)
+        return different[numbers()]
+
+    width = int(np.frombuffer(data, np.uint64, 1)[0])
+    context = numbers().astype(np.uint64)
+    if width:
+        context = np.column_stack([context, *(coded() for _ in range(width - 1))])
+    symbol = coded()
+    runs, count = numbers(), numbers()
+    return np.repeat(context, runs.astype(np.int64), axis=0), symbol, count.astype(np.uint64)
 
 
 @dataclass(frozen=True)
@@ -86,7 +119,7 @@ class Route:
 def rows_of(entries: Entries, route: Route) -> pd.DataFrame:
     """Merged entries as one row per bucket."""
     context, symbol, count = entries
-    bucket = route(context, symbol)
+    bucket = route(own(context), symbol)
     order = np.argsort(bucket, kind="stable")
     bucket, context, symbol, count = bucket[order], context[order], symbol[order], count[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
@@ -130,7 +163,7 @@ def _stats(context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def write_bucket(folder: str, level: int, bucket: int, entries: Entries, route: Route) -> None:
-    context, symbol, count = entries
+    context, symbol, count = own(entries[0]), *entries[1:]
     key = paired(context, symbol)
     order = np.argsort(key)
     wide = np.uint64 if len(count) and count.max() >= 1 << 32 else np.uint32
@@ -167,7 +200,7 @@ def build(rows: DataFrame, folder: str, order: int, routes: dict[int, Route],
           shorten: Callable[[np.ndarray, int], np.ndarray], floor: float) -> "Model":
     """The model of level-`order` entries given as ROWS by `routes[order]`, in `folder`.
 
-    `shorten(context, level)` gives the context of level - 1; `floor` is the probability of every symbol before anything
+    `shorten(context, level)` gives the context of level - 1 (one number at level 1); `floor` is the probability of every symbol before anything
     is counted. Each level is one shuffle of packed entries; the next level's are made where the entries are summed."""
     for level in range(order, 0, -1):
         rows = rows.groupBy("bucket").applyInPandas(_reducer(folder, level, routes[level], routes.get(level - 1), shorten), ROWS)
@@ -240,14 +273,14 @@ class Model:
         return self._search(level, self.routes[level](context, symbol), paired(context, symbol), ("keys", "counts"), 1)[:, 0]
 
     def stats(self, level: int, context: np.ndarray) -> np.ndarray:
-        own, place = np.unique(context, return_inverse=True)
+        different, place = np.unique(context, return_inverse=True)
         route = self.routes[level]
-        out = self._search(level, route.of_context(own), own, ("contexts", "stats"), 4)
+        out = self._search(level, route.of_context(different), different, ("contexts", "stats"), 4)
         spread = self.heavy[level]
         if len(spread):
             keys = spread[:, 0].copy().view(np.uint64)
-            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            hit = keys[at] == own
+            at = np.minimum(np.searchsorted(keys, different), len(keys) - 1)
+            hit = keys[at] == different
             out[hit] = spread[at[hit], 1:]
         return out[place]
 
@@ -256,11 +289,11 @@ class Model:
         level = self.order if level is None else level
         if not level:
             return np.full(len(symbol), self.floor)
-        key = paired(context, symbol)
+        key = paired(own(context), symbol)
         _, first, place = np.unique(key, return_index=True, return_inverse=True)
         context, symbol = context[first], symbol[first]
         lower = self.probability(self.shorten(context, level), symbol, level - 1)
-        count, stats, taken = self.counts(level, context, symbol), self.stats(level, context), self.taken[level]
+        count, stats, taken = self.counts(level, own(context), symbol), self.stats(level, own(context)), self.taken[level]
         total = stats[:, 0]
         kept = np.maximum(count - taken[np.minimum(count, 3)], 0)
         with np.errstate(divide="ignore", invalid="ignore"):

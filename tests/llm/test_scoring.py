@@ -4,6 +4,7 @@ from collections import Counter
 from functools import lru_cache
 from math import floor
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -60,7 +61,8 @@ def test_base_counts(most, monkeypatch):
     assert list(zip(*(c.tolist() for c in found.values()))) == [brute_counts(t) for t in texts]
 
 
-def test_lm_is_kneser_ney(spark, small_docs, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_is_kneser_ney(spark, small_docs, monkeypatch, order):
     monkeypatch.setattr(words.chunks, "__defaults__", (5000,))
     monkeypatch.setattr(kneser_ney, "SUMMED", 2000)
     monkeypatch.setattr(kneser_ney, "HEAVY_SHARE", 50)
@@ -69,22 +71,40 @@ def test_lm_is_kneser_ney(spark, small_docs, monkeypatch):
     rows = docs.collect()
     tokens = {r["doc_id"]: t for r, t in zip(rows, word_pairs(r["text"] for r in rows))}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
-    single, pairs = Counter(), Counter()
+
+    def runs(own):
+        line = ["\n"] * (order - 1) + own
+        return [(tuple(line[k:k + order - 1]), t) for k, t in enumerate(own)]
+
+    single, counts = Counter(), Counter()
     for i in train:
         single.update(tokens[i])
-        pairs.update(((before,), t) for before, t in zip(["\n", *tokens[i]], tokens[i]))
+        counts.update(runs(tokens[i]))
     total, types = sum(single.values()), len(single)
-    model = KneserNey(pairs, 2, 1 / (types + 1))
-    scored = lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1).collect()
+    model = KneserNey(counts, order, 1 / (types + 1))
+    scored = lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, order=order).collect()
     assert len(scored) == len(rows)
     for r in scored:
         own = tokens[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(single[t] > 0 for t in own), total)
         assert r["base_score"] == pytest.approx(sum(log10((single[t] + 0.5) / (total + 0.5 * (types + 1))) for t in own))
-        assert r["score"] == pytest.approx(sum(log10(model.p((b,), t)) for b, t in zip(["\n", *own], own)))
+        assert r["score"] == pytest.approx(sum(log10(model.p(c, t)) for c, t in runs(own)))
         assert r["perplexity"] == pytest.approx(10 ** (-r["score"] / len(own)))
 
 
+@pytest.mark.parametrize("columns", [0, 1, 3])
+def test_entries_come_back(columns):
+    rnd = random.Random(columns)
+    context = np.array([rnd.choice([0, 1, 300, 1 << 40, (1 << 64) - 1]) for _ in range(500)], np.uint64)
+    if columns:
+        context = np.column_stack([context] + [words.mixed(context + np.uint64(k)) for k in range(1, columns)])
+    symbol = np.array([rnd.randrange(1 << 64) >> rnd.choice([0, 60]) for _ in range(500)], np.uint64)
+    for most in (1, 300, 1 << 33):
+        entries = kneser_ney.merged(context, symbol, np.array([rnd.randint(1, most) for _ in range(500)], np.uint64))
+        found = kneser_ney.unpacked(kneser_ney.packed(*entries))
+        assert all(a.dtype == b.dtype and a.shape == b.shape and (a == b).all() for a, b in zip(entries, found))
+
+
 def test_probabilities_add_up():
     counts = Counter({(("a",), "b"): 3, (("a",), "c"): 1, (("b",), "c"): 1, (("c",), "a"): 7})
     model = KneserNey(counts, 2, 1 / 4)
