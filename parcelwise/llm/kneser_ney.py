@@ -57,9 +57,11 @@ def _narrow(numbers: np.ndarray) -> bytes:
 
 
 def _coded(numbers: np.ndarray) -> bytes:
-    """Numbers of which many are equal: the different ones, and the place of each."""
+    """The different numbers and the place of each, where that is shorter; else the numbers and no places."""
     different, place = np.unique(numbers, return_inverse=True)
-    return _narrow(different) + _narrow(place)
+    plain, places = _narrow(numbers), _narrow(place)
+    told = _narrow(different) + places
+    return told if len(told) < len(plain) else plain + _narrow(place[:0])
 
 
 def packed(context: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> bytes:
@@ -83,8 +85,8 @@ def unpacked(data: bytes) -> Entries:
         return found
 
     def coded() -> np.ndarray:
-        different = numbers().astype(np.uint64)
-        return different[numbers()]
+        told, place = numbers().astype(np.uint64), numbers()
+        return told[place] if len(place) else told
 
     width = int(np.frombuffer(data, np.uint64, 1)[0])
     context = numbers().astype(np.uint64)
