@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from ..functions import text
 
 STALE_DAYS = 7
+PAGE = ["portal", "slug", "search_post"]
+#: The Bloom filter of a search page: bits per address and places looked at, and its greatest size as a power of two (8 KB).
+BITS_PER_ADDRESS, PROBES, MOST_BITS = 16, 3, 16
 
 
 def apply_updates(sales: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
@@ -100,40 +103,76 @@ def _searches(sales: DataFrame, suburb: Column) -> DataFrame:
         F.when(complete, F.lower(F.concat(house, F.lit(" "), street))).alias("address"))
 
 
+def _probes(address: Column, words: Column) -> list[Column]:
+    """Places of an address in its page's filter of `words` 64-bit words, a power of two."""
+    return [F.shiftrightunsigned(F.xxhash64(address), k * 64 // PROBES).bitwiseAND(words.cast("long") * 64 - 1) for k in range(PROBES)]
+
+
+def _page_filters(wanted: DataFrame) -> DataFrame:
+    """For each page: the lengths and first letters of its wanted addresses and a Bloom filter of them (`bits`), sized by their number.
+
+    A page with more addresses than the largest filter is meant for lets more pieces pass; what is found stays the same."""
+    needed = F.ceil(F.log2(F.count("*") * (BITS_PER_ADDRESS / 64)))
+    sized = wanted.groupBy(*PAGE).agg(F.collect_set(F.length("address")).alias("lengths"), F.collect_set(F.left("address", F.lit(1))).alias("firsts"),
+                                      F.pow(F.lit(2), F.greatest(F.least(needed, F.lit(MOST_BITS - 6)), F.lit(0))).cast("int").alias("words"))
+    one = F.lit(1).cast("long")
+    probed = (wanted.join(sized.select(*PAGE, "words"), PAGE)
+              .select(*PAGE, F.explode(F.array(*_probes(F.col("address"), F.col("words")))).alias("probe"))
+              .select(*PAGE, F.shiftright("probe", 6).cast("int").alias("word"),
+                      F.call_function("shiftleft", one, F.col("probe").bitwiseAND(63).cast("int")).alias("bits")))
+    blank = sized.select(*PAGE, F.explode(F.sequence(F.lit(0), F.col("words") - 1)).alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = probed.unionByName(blank).groupBy(*PAGE, "word").agg(F.bit_or("bits").alias("bits"))
+    bits = words.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("bits"))
+    return sized.join(bits, PAGE)
+
+
+def _pieces(wanted: DataFrame, cards: DataFrame) -> DataFrame:
+    """The pieces of cards, with a link, that pass the filter of their page: all that equal an address, and few others."""
+    body, bits = F.col("body"), F.col("bits")
+
+    def piece(start: Column, n: Column) -> Column:
+        return F.substring(body, start, n)
+
+    def passes(start: Column, n: Column) -> Column:
+        found = F.lit(True)
+        for probe in _probes(piece(start, n), F.size(bits)):
+            found = found & (F.getbit(F.get(bits, F.shiftright(probe, 6).cast("int")), probe.bitwiseAND(63).cast("int")) == 1)
+        return found
+
+    def passing(starts: Column) -> Column:
+        return F.flatten(F.transform("lengths", lambda n: F.transform(
+            F.filter(starts, lambda start: (start + n <= F.length(body) + 1) & passes(start, n)), lambda start: piece(start, n))))
+
+    starts = F.filter(F.sequence(F.lit(1), F.length(body)), lambda start: F.array_contains("firsts", piece(start, F.lit(1))))
+    pieces = F.array_distinct(F.flatten(F.transform(F.array(starts), passing)))  # so that the starts are found once for all lengths
+    return (cards.filter(F.col("href") != "")
+            .select("portal", F.col("suburb_slug").alias("slug"),
+                    F.coalesce(F.nullif(F.col("post_code"), F.lit(0)).cast("string"), F.lit("")).alias("search_post"),
+                    "position", "href", F.lower("card_address").alias("body"))
+            .filter("body != ''").join(_page_filters(wanted), PAGE)
+            .select(*PAGE, "position", "href", F.explode(pieces).alias("address")))
+
+
 def first_listings(searches: DataFrame, cards: DataFrame) -> DataFrame:
     """For each (portal, suburb, postcode, address): the link of the first card on that search page
     whose text contains the address and that has a link.
 
     Containment is turned into equality: a card is cut into its pieces of the lengths asked for on
-    its page, equal pieces keep only their first card, and addresses join the pieces one to one.
+    its page, and a Bloom filter of the page's addresses drops nearly all of them before anything is
+    shuffled. Equal pieces that are left keep their first card, and addresses join them one to one.
     The work is linear in the cards' text, however many sales share a page.
     """
-    page = ["portal", "slug", "search_post"]
     portals = F.array(*[F.struct(F.lit(name).alias("portal"),
                                  text.suburb_slug(F.col("search_suburb"), space).alias("slug"))
                         for name, space, _ in text.PORTALS])
     wanted = (searches.select("search_suburb", "search_post", "address").dropna().distinct()
               .select("*", F.inline(portals)))
-    lengths = wanted.groupBy(*page).agg(F.collect_set(F.length("address")).alias("lengths"))
-
-    body = F.lower("card_address")
-    fitting = F.filter("lengths", lambda n: n <= F.length(F.col("body")))
-    pieces = F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(
-        F.sequence(F.lit(1), F.length(F.col("body")) - n + 1),
-        lambda start: F.substring(F.col("body"), start, n)))))
-    first = (cards.filter(F.col("href") != "")
-             .select("portal", F.col("suburb_slug").alias("slug"),
-                     F.coalesce(F.nullif(F.col("post_code"), F.lit(0)).cast("string"), F.lit("")).alias("search_post"),
-                     "position", "href", body.alias("body"))
-             .join(lengths, page)
-             .select(*page, "position", "href", F.explode(pieces).alias("address"))
-             .groupBy(*page, "address")
-             .agg(F.min(F.struct("position", "href")).alias("card")))
+    first = _pieces(wanted, cards).groupBy(*PAGE, "address").agg(F.min(F.struct("position", "href")).alias("card"))
 
     link = F.lit(None).cast("string")
     for name, _, base in text.PORTALS:
         link = F.when(F.col("portal") == name, text.absolute_link(F.col("card.href"), base)).otherwise(link)
-    return (wanted.join(first, [*page, "address"])
+    return (wanted.join(first, [*PAGE, "address"])
             .select("portal", "search_suburb", "search_post", "address", link.alias("url")))
 
 

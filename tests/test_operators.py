@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 import numpy as np
@@ -262,6 +263,36 @@ def test_listing_match_equals_containment(spark):
     assert got == want and any(v != (None, None) for v in want.values())
 
 
+def test_listing_pieces_are_filtered(spark, monkeypatch):
+    """A page with many addresses, one of few, odd letters, repeated cards: what contains is found, and little else is shuffled."""
+    rnd = random.Random(5)
+    streets = ["red plate st", "röd väg", "İstanbul ave", "a", "plate", "ed plate s", "long " * 9 + "way"]
+    sales = [("s1" if rnd.random() < 0.95 else "s2", f"{rnd.randint(1, 900)} {rnd.choice(streets)}".lower()) for _ in range(3000)]
+    searches = spark.createDataFrame([(suburb, "2000", address) for suburb, address in sales], "search_suburb string, search_post string, address string")
+    cards = [(rnd.choice(["rea", "domain"]), rnd.choice(["s1", "s2"]), 2000, k // 2, rnd.choice([None, "", f"/{k}", f"/{k}"]),
+              rnd.choice([f"Unit {rnd.randint(1, 9)}/{rnd.randint(1, 900)} {rnd.choice(streets).upper()}, {rnd.random()} Town", "", None]))
+             for k in range(1500)]
+    shown = spark.createDataFrame([(f"p{k}", *card) for k, card in enumerate(cards)],
+                                  "page_url string, portal string, suburb_slug string, post_code int, position int, href string, card_address string")
+    lower = {r.card_address: r.low for r in shown.select("card_address", F.lower("card_address").alias("low")).distinct().collect()}
+    want = {}
+    for portal, slug, _, position, href, body in cards:
+        if href and body:
+            for suburb, address in {a for a in sales if a[0] == slug and a[1] in lower[body]}:
+                key = (portal, suburb, address)
+                want[key] = min(want.get(key, (position, href)), (position, href))
+    found = {(r.portal, r.search_suburb, r.address): r.url for r in enrich.first_listings(searches, shown).collect()}
+    assert len(want) > 50 and found.keys() == want.keys()
+    assert all(found[key].endswith(href) for key, (_, href) in want.items())
+
+    wanted = searches.distinct().select("*", F.explode(F.array(F.lit("rea"), F.lit("domain"))).alias("portal"), F.col("search_suburb").alias("slug"))
+    linked = shown.filter("href != ''")
+    shuffled = enrich._pieces(wanted, shown).agg(F.sum(F.length("address"))).first()[0]
+    assert shuffled < linked.agg(F.sum(F.length("card_address"))).first()[0]
+    monkeypatch.setattr(enrich, "MOST_BITS", 6)  # a filter that is far too small changes nothing
+    assert {(r.portal, r.search_suburb, r.address): r.url for r in enrich.first_listings(searches, shown).collect()} == found
+
+
 def test_listings_due(spark):
     sales = sales_of(spark, [sale("a", "2010-01-01", 1.0), sale("b", "2010-01-01", 1.0, listings_last_checked=datetime(2024, 1, 1)),
                              sale("c", "2010-01-01", 1.0, listings_last_checked=datetime(2024, 1, 5))])
