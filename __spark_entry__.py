@@ -22,7 +22,7 @@ from parcelwise.sources import archive
 from parcelwise.sources.listings import extract_cards
 from parcelwise.sources.records import parse_records
 from parcelwise.sources.stations import load_stations
-from parcelwise.sources.tables import add_part, read_table, write_table
+from parcelwise.sources.tables import add_part, read_table, stored, write_table
 from parcelwise.streaming.drops import ingest_drops
 
 try:
@@ -235,8 +235,8 @@ def _short_prices(m: Market) -> DataFrame:
 
 
 def _ingested(m: Market) -> DataFrame:
-    lines = archive.archive_lines(fixtures.archives(m.spark, m.dir))
-    return archive.sales_from_lines(lines, AS_OF)
+    files = stored(fixtures.archives(m.spark, m.dir))  # packed once; read for their lines and for their numbers
+    return archive.sales_from_lines(archive.archive_lines(files), AS_OF, archive.numbered_archives(files))
 
 
 def _bad_files(m: Market) -> DataFrame:
@@ -300,7 +300,7 @@ def _ingest_job(m: Market) -> DataFrame:
 def _ingest_years(m: Market) -> DataFrame:
     """Archives of some years, then those of later ones that are not there yet."""
     root = _root(m)
-    folder = fixtures.put_archives(fixtures.archives(m.spark, m.dir, yearly=True), f"{root}/in")
+    folder = fixtures.put_yearly_archives(m.spark, m.dir, f"{root}/in")
     jobs.ingest(m.spark, folder, root, 1993, 1995, AS_OF)
     jobs.ingest(m.spark, folder, root, 1995, 1997, AS_OF, keep_existing=True)
     return _archive_columns(jobs.read_sales(m.spark, root))
@@ -309,7 +309,7 @@ def _ingest_years(m: Market) -> DataFrame:
 def _streamed(m: Market) -> DataFrame:
     """A job reads the first years and builds growth, a stream adds what is dropped later, and growth is extended."""
     root = _root(m)
-    folder = fixtures.put_archives(fixtures.archives(m.spark, m.dir, yearly=True), f"{root}/in")
+    folder = fixtures.put_yearly_archives(m.spark, m.dir, f"{root}/in")
     jobs.ingest(m.spark, folder, root, 1992, 1994, AS_OF)
     jobs.build_growth(m.spark, root)
     ingest_drops(m.spark, folder, root, f"{root}/stream", AS_OF).awaitTermination()

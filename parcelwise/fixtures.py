@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
+import itertools
+import shutil
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .sources.archive import store_of
+from .sources.tables import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,17 +152,18 @@ def dat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         case when l_suppkey % 19 > 0 then '' end) as line""")
 
 
-def archives(spark: SparkSession, sf_dir: str, yearly: bool = False) -> DataFrame:
-    """(path, content) of weekly archives, several with the same year, or of `yearly` ones, of monthly inner ones with a member per
-    line number. Each holds an inner archive that is none, and those of 1995 are each followed by a damaged archive."""
-    lines = _table(spark, sf_dir, "lineitem")
-    number = "" if yearly else "'-', floor(l_orderkey / 20000), "
-    rows = lines.selectExpr(
+def _archived(spark: SparkSession, sf_dir: str, number: str = "") -> DataFrame:
+    """Lines with the archive, the inner archive and the member that they go to."""
+    return _table(spark, sf_dir, "lineitem").selectExpr(
         f"concat(year(l_shipdate), {number}'.zip') as path", "month(l_shipdate) as month", "l_linenumber as number",
         """concat_ws(';', 'B', 'D1', cast(l_partkey as string), cast(l_linenumber as string), '20240101 00:00', '', '', '1', 'KENT ST',
         'SYDNEY', '2000', cast(l_quantity as string), 'M', date_format(l_shipdate, 'yyyyMMdd'), '', cast(l_extendedprice as string),
         'R2', 'R', 'RESIDENCE', '', '', '', '', 'AB1', '') as line""")
 
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of weekly archives, several with the same year, of monthly inner ones with a member per
+    line number. Each holds an inner archive that is none, and those of 1995 are each followed by a damaged archive."""
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         path, outer = pdf["path"].iloc[0], {"broken.zip": b"none"}
         for month, part in pdf.groupby("month"):
@@ -166,7 +173,81 @@ def archives(spark: SparkSession, sf_dir: str, yearly: bool = False) -> DataFram
             found.append((f"damaged-{path}", b"PK"))
         return pd.DataFrame(found, columns=["path", "content"])
 
-    return rows.groupBy("path").applyInPandas(pack, "path string, content binary")
+    return _archived(spark, sf_dir, "'-', floor(l_orderkey / 20000), ").groupBy("path").applyInPandas(pack, "path string, content binary")
+
+
+def put_yearly_archives(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Archives like those of `archives`, but one per year, written into a folder. A year is no row and no group: lines come to a task
+    in order and are packed as they come, and a year's archive is copied together from its inner ones, which lie in files."""
+    store, place = store_of(folder)
+    parts = f"{place}-parts"
+    for made in (place, parts):
+        store.create_dir(made, recursive=True)
+
+    def inner(batches):
+        store, _ = store_of(folder)
+        with contextlib.ExitStack() as opened:
+            at, archive, entries, member = None, None, contextlib.ExitStack(), None
+            for batch in batches:
+                for (path, month, number), lines in _runs(batch):
+                    if (path, month) != at:
+                        entries.close()
+                        opened.close()
+                        at, member = (path, month), None
+                        year = path.removesuffix(".zip")
+                        store.create_dir(f"{parts}/{year}", recursive=True)
+                        file = opened.enter_context(store.open_output_stream(f"{parts}/{year}/{month}.zip"))
+                        archive = opened.enter_context(zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED))
+                        yield pd.DataFrame({"path": [path], "month": [month]})
+                    if number is None:
+                        continue
+                    text = "\r\n".join(lines).encode()
+                    if number == member:
+                        body.write(b"\r\n" + text)
+                    else:
+                        entries.close()
+                        body = entries.enter_context(archive.open(f"{number}.DAT", "w", force_zip64=True))
+                        member = number
+                        body.write(text)
+            entries.close()
+
+    def outer(batches):
+        store, _ = store_of(folder)
+        for batch in batches:
+            for path, months in zip(batch["path"], batch["months"]):
+                with store.open_output_stream(f"{place}/{path}") as file, zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.writestr("broken.zip", b"none")
+                    for month in months:
+                        with store.open_input_stream(f"{parts}/{path.removesuffix('.zip')}/{month}.zip") as body:
+                            with archive.open(f"{month}.zip", "w", force_zip64=True) as entry:
+                                shutil.copyfileobj(body, entry, 1 << 20)
+                if path.startswith("1995"):
+                    with store.open_output_stream(f"{place}/damaged-{path}") as file:
+                        file.write(b"PK")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = _archived(spark, sf_dir).repartition(tasks, "path", "month").sortWithinPartitions("path", "month", "number", "line")
+    made = stored(lines.mapInArrow(_of_pandas(inner), "path string, month int"))
+    years = made.groupBy("path").agg(F.sort_array(F.collect_list("month")).alias("months"))
+    years.repartition(tasks, "path").mapInPandas(outer, "n long").agg({"n": "sum"}).first()
+    return folder
+
+
+def _of_pandas(frames):
+    """Batches made of the data frames that a function of batches yields."""
+    def made(batches):
+        for frame in frames(batches):
+            yield pa.RecordBatch.from_pandas(frame, schema=pa.schema([("path", pa.string()), ("month", pa.int32())]), preserve_index=False)
+
+    return made
+
+
+def _runs(batch: pa.RecordBatch):
+    """((path, month, number), lines) of neighbouring rows of a batch that belong to one member."""
+    rows = zip(*[batch.column(c).to_pylist() for c in ("path", "month", "number")], batch.column("line").to_pylist())
+    for key, run in itertools.groupby(rows, key=lambda row: row[:3]):
+        yield key, [row[3] for row in run]
 
 
 def put_archives(files: DataFrame, folder: str) -> str:
