@@ -2,7 +2,8 @@
 
 Archives are opened in two steps with a shuffle between them, so that the inner ZIPs of one large
 yearly file are unpacked by many tasks. The first step reads only the directory at an archive's end, the second seeks
-to the inner ZIPs that are its own, so that no task holds an outer archive, however large. Members are streamed.
+to the inner ZIPs that are its own, so that no task holds an outer archive, however large. Members are streamed. Their lines are
+counted before they are passed on, so that every line comes with its place in the archive and no line has to be shuffled for it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
@@ -29,9 +31,13 @@ BATCH_LINES = 20_000
 HELD_BYTES = 256 << 20
 
 DIRECTORY_SCHEMA = "path STRING, inner_no INT, inner STRING, error STRING"
-INNER_SCHEMA = "path STRING, inner_no INT, inner STRING, body BINARY, error STRING"
-LINE_SCHEMA = "path STRING, inner_no INT, inner STRING, member_no INT, member STRING, line_no INT, line STRING, error STRING"
-LINE_COLUMNS = ["path", "inner_no", "inner", "member_no", "member", "line_no", "line", "error"]
+COUNTED_SCHEMA = f"{DIRECTORY_SCHEMA}, counts ARRAY<BIGINT>"
+INNER_SCHEMA = "path STRING, inner_no INT, inner STRING, body BINARY, error STRING, counts ARRAY<BIGINT>, before BIGINT"
+LINE_SCHEMA = ("path STRING, inner_no INT, inner STRING, member_no INT, member STRING, line_no INT, line STRING, error STRING,"
+               " before BIGINT")
+LINE_FIELDS = pa.schema([
+    ("path", pa.string()), ("inner_no", pa.int32()), ("inner", pa.string()), ("member_no", pa.int32()), ("member", pa.string()),
+    ("line_no", pa.int32()), ("line", pa.string()), ("error", pa.string()), ("before", pa.int64())])
 
 #: An id is an archive's number, from this bit up, and a line's number within the archive.
 LINE_BITS = 40
@@ -96,14 +102,19 @@ def numbered_archives(paths: DataFrame, known: DataFrame | None = None) -> DataF
 
 
 def archive_lines(files: DataFrame) -> DataFrame:
-    """Every text line with its place in the archives; what could not be read has an error and no
-    line. Only .dat members of inner ZIPs count, names in any case. `files` are paths, or paths with their content."""
+    """Every text line with its place in the archives and the number of lines `before` its member in the archive; what could not be
+    read has an error and no line. Only .dat members of inner ZIPs count, names in any case. `files` are paths, or paths with
+    their content."""
     # A given number of partitions is not merged again at run time: packed bytes are few, work is not.
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if "content" in files.columns:
-        return files.mapInPandas(_inner_zips, INNER_SCHEMA).repartition(tasks, "path", "inner_no").mapInPandas(_member_lines, LINE_SCHEMA)
+        return files.mapInPandas(_inner_zips, INNER_SCHEMA).repartition(tasks, "path", "inner_no").mapInArrow(_member_lines, LINE_SCHEMA)
     inner = files.select("path").repartition(tasks, "path").mapInPandas(_directories, DIRECTORY_SCHEMA)
-    return inner.repartition(tasks, "path", "inner_no").mapInPandas(_sought_lines, LINE_SCHEMA)
+    counted = inner.repartition(tasks, "path", "inner_no").mapInPandas(_sought_counts, COUNTED_SCHEMA)
+    earlier = Window.partitionBy("path").orderBy("inner_no").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.aggregate("counts", F.lit(0).cast("bigint"), lambda total, n: total + n)
+    placed = counted.withColumn("before", F.coalesce(F.sum(own).over(earlier), F.lit(0)))
+    return placed.repartition(tasks, "path", "inner_no").mapInArrow(_sought_lines, LINE_SCHEMA)
 
 
 def bad_files(lines: DataFrame) -> DataFrame:
@@ -113,16 +124,12 @@ def bad_files(lines: DataFrame) -> DataFrame:
 def sales_from_lines(lines: DataFrame, as_of=None, numbers: DataFrame | None = None) -> DataFrame:
     """Sales parsed from archive lines, with an id that is unique and keeps the order of archives, members and lines.
 
-    `lines` are gone through twice, to count those of every member first; give a stored table where reading them is dear.
-    `numbers` (path, archive_no) are the archives' numbers; without them the archives at hand are numbered by path."""
+    `numbers` (path, archive_no) are the archives' numbers; without them the archives at hand are numbered by path, for which
+    `lines` are gone through once more."""
     lines = lines.filter("line IS NOT NULL")
     numbers = numbered_archives(lines) if numbers is None else numbers
-    member = ["path", "inner_no", "member_no"]
-    before = Window.partitionBy("path").orderBy("inner_no", "member_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (lines.groupBy(*member).agg((F.max("line_no") + 1).alias("n"))
-              .join(numbers, "path")
-              .select(*member, (F.shiftleft("archive_no", LINE_BITS) + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("_start")))
-    numbered = lines.join(starts, member).withColumn("id", F.col("_start") + F.col("line_no"))
+    numbered = lines.join(numbers, "path").withColumn(
+        "id", F.shiftleft("archive_no", LINE_BITS) + F.col("before") + F.col("line_no"))
     blank = {
         "property_legal_description": "string", "latitude": "double", "longitude": "double",
         "realestate_url": "string", "domain_url": "string", "listings_last_checked": "timestamp_ntz",
@@ -136,19 +143,23 @@ def _inner_names(outer: zipfile.ZipFile) -> list[str]:
 
 
 def _inner_zips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "inner_no", "inner", "body", "error"]
+    columns = ["path", "inner_no", "inner", "body", "error", "counts", "before"]
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
+            before = 0
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as outer:
                     for number, name in enumerate(_inner_names(outer)):
                         try:
-                            row = (path, number, name, outer.read(name), None)
+                            body = outer.read(name)
+                            counts = _counts_of(io.BytesIO(body))
+                            row = (path, number, name, body, None, counts, before)
+                            before += sum(counts)
                         except Exception as error:
-                            row = (path, number, name, None, repr(error))
+                            row = (path, number, name, None, repr(error), [], before)
                         yield pd.DataFrame([row], columns=columns)
             except Exception as error:
-                yield pd.DataFrame([(path, 0, None, None, repr(error))], columns=columns)
+                yield pd.DataFrame([(path, 0, None, None, repr(error), [], 0)], columns=columns)
 
 
 def _directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,24 +174,46 @@ def _directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["path", "inner_no", "inner", "error"])
 
 
-def _sought_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sought_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The inner ZIPs with the lines of each of their members; what cannot be read has none."""
     for batch in batches:
-        for path, entries in batch.sort_values(["path", "inner_no"]).groupby("path", sort=False):
+        counts = [[] for _ in range(len(batch))]
+        for path, entries in batch.reset_index(drop=True).groupby("path", sort=False):
+            entries = entries[entries["inner"].notna()]
+            if not len(entries):
+                continue
+            with _outer(path) as outer:
+                listed = [info for info in outer.infolist() if info.filename.lower().endswith(".zip")]
+                for at, number in entries["inner_no"].items():
+                    try:
+                        with _opened(outer, listed[number]) as body:
+                            counts[at] = _counts_of(body)
+                    except Exception:  # told when the lines are read
+                        pass
+        yield pd.DataFrame({**{c: batch[c].to_numpy() for c in ("path", "inner_no", "inner", "error")}, "counts": counts})
+
+
+def _sought_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = _Lines()
+    for batch in batches:
+        rows = batch.to_pandas().sort_values(["path", "inner_no"])
+        for path, entries in rows.groupby("path", sort=False):
             failed = entries[entries["inner"].isna()]
             if len(failed):
-                yield _rows([(path, 0, None, 0, None, 0, None, failed["error"].iloc[0])])
+                yield from out.failed((path, 0, None, 0, None), failed["error"].iloc[0])
                 continue
             with _outer(path) as outer:
                 listed = [info for info in outer.infolist() if info.filename.lower().endswith(".zip")]
-                for number, name in zip(entries["inner_no"], entries["inner"]):
+                for number, name, counts, before in zip(entries["inner_no"], entries["inner"], entries["counts"], entries["before"]):
                     place = (path, number, name)
                     try:
                         body = _opened(outer, listed[number])
                     except Exception as error:
-                        yield _rows([(*place, 0, None, 0, None, repr(error))])
+                        yield from out.failed((*place, 0, None), repr(error))
                         continue
                     with body:
-                        yield from _lines_of(body, place)
+                        yield from _lines_of(out, body, place, counts, before)
+    yield from out.rest()
 
 
 def _opened(outer: zipfile.ZipFile, info: zipfile.ZipInfo):
@@ -189,31 +222,90 @@ def _opened(outer: zipfile.ZipFile, info: zipfile.ZipInfo):
     return io.BytesIO(outer.read(info)) if held else outer.open(info)
 
 
-def _member_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _member_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = _Lines()
     for batch in batches:
-        for path, inner_no, inner, body, error in batch.itertuples(index=False):
-            if body is None:
-                yield _rows([(path, inner_no, inner, 0, None, 0, None, error)])
+        for at in range(batch.num_rows):
+            row = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
+            place = (row["path"], row["inner_no"], row["inner"])
+            if row["body"] is None:
+                yield from out.failed((*place, 0, None), row["error"])
             else:
-                yield from _lines_of(io.BytesIO(body), (path, inner_no, inner))
+                yield from _lines_of(out, io.BytesIO(row["body"]), place, row["counts"], row["before"])
+    yield from out.rest()
 
 
-def _lines_of(body, place: tuple) -> Iterator[pd.DataFrame]:
+def _members(archive: zipfile.ZipFile) -> list[str]:
+    return [n for n in archive.namelist() if n.lower().endswith(".dat")]
+
+
+def _counts_of(body) -> list[int]:
+    """Lines of each member of an inner ZIP; none of members, or of an inner ZIP, that cannot be read."""
+    counts: list[int] = []
     try:
         with zipfile.ZipFile(body) as archive:
-            names = [n for n in archive.namelist() if n.lower().endswith(".dat")]
-            for member_no, member in enumerate(names):
+            for member in _members(archive):
                 try:
-                    encoding = _encoding(archive, member)
-                    yield from _numbered(archive, member, encoding, (*place, member_no, member))
+                    counts.append(sum(map(len, _chunks(archive, member))))
+                except Exception:
+                    counts.append(0)
+    except Exception:
+        pass
+    return counts
+
+
+def _lines_of(out: _Lines, body, place: tuple, counts, before: int) -> Iterator[pa.RecordBatch]:
+    try:
+        with zipfile.ZipFile(body) as archive:
+            starts = before + np.cumsum([0, *counts])
+            for member_no, member in enumerate(_members(archive)):
+                at, first = (*place, member_no, member), 0
+                try:
+                    for lines in _chunks(archive, member):
+                        yield from out.add(at, int(starts[member_no]), first, lines)
+                        first += len(lines)
                 except Exception as error:
-                    yield _rows([(*place, member_no, member, 0, None, repr(error))])
+                    yield from out.failed(at, repr(error))
     except Exception as error:
-        yield _rows([(*place, 0, None, 0, None, repr(error))])
+        yield from out.failed((*place, 0, None), repr(error))
+
+
+class _Lines:
+    """Lines of many members, small ones too, put together to batches."""
+
+    def __init__(self):
+        self.runs: list[tuple] = []  # place, lines before the member, number of the first line, how many, error
+        self.lines: list[str | None] = []
+
+    def add(self, place: tuple, before: int, first: int, lines: list[str]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(lines), BATCH_LINES):
+            part = lines[at:at + BATCH_LINES]
+            self.runs.append((*place, before, first + at, len(part), None))
+            self.lines += part
+            if len(self.lines) >= BATCH_LINES:
+                yield from self.rest()
+
+    def failed(self, place: tuple, error: str) -> Iterator[pa.RecordBatch]:
+        self.runs.append((*place, 0, 0, 1, error))
+        self.lines.append(None)
+        if len(self.lines) >= BATCH_LINES:
+            yield from self.rest()
 
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.lines:
+            return
+        path, inner_no, inner, member_no, member, before, first, many, error = zip(*self.runs)
+        run = np.repeat(np.arange(len(many)), many)
+        line_no = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many) + np.array(first)[run]
+        columns = dict(path=path, inner_no=inner_no, inner=inner, member_no=member_no, member=member, error=error, before=before)
+        arrays = {name: pa.array(list(map(_plain, values)), LINE_FIELDS.field(name).type).take(pa.array(run)) for name, values in columns.items()}
+        arrays |= {"line_no": pa.array(line_no, pa.int32()), "line": pa.array(self.lines, pa.string())}
+        self.runs, self.lines = [], []
+        yield pa.RecordBatch.from_arrays([arrays[name] for name in LINE_FIELDS.names], schema=LINE_FIELDS)
 
-def _rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=LINE_COLUMNS)
+
+def _plain(value):
+    return value.item() if isinstance(value, np.generic) else value
 
 
 def _encoding(archive: zipfile.ZipFile, member: str) -> str:
@@ -235,25 +327,32 @@ def _encoding(archive: zipfile.ZipFile, member: str) -> str:
     return encoding
 
 
-def _numbered(archive: zipfile.ZipFile, member: str, encoding: str, place: tuple) -> Iterator[pd.DataFrame]:
-    rows: list[tuple] = []
-    for number, line in enumerate(_lines(archive, member, encoding)):
-        rows.append((*place, number, line, None))
-        if len(rows) == BATCH_LINES:
-            yield _rows(rows)
-            rows = []
-    if rows:
-        yield _rows(rows)
+def _chunks(archive: zipfile.ZipFile, member: str) -> Iterator[list[str]]:
+    """A member's lines, of a chunk at a time. A small member is read once; its checksum is proven before any line is passed on,
+    as it is for a large one, which is read through first."""
+    if archive.getinfo(member).file_size > CHUNK_BYTES:
+        yield from _cut(archive, member, _encoding(archive, member))
+        return
+    whole = archive.read(member)
+    try:
+        yield whole.decode("utf-8").splitlines()
+    except UnicodeDecodeError:
+        yield whole.decode("latin-1").splitlines()
 
 
-def _lines(archive: zipfile.ZipFile, member: str, encoding: str) -> Iterator[str]:
+def _cut(archive: zipfile.ZipFile, member: str, encoding: str) -> Iterator[list[str]]:
     """Lines as str.splitlines cuts them, which knows more line ends than \\n and \\r\\n."""
     decoder, rest = codecs.getincrementaldecoder(encoding)(), ""
     with archive.open(member) as stream:
         while chunk := stream.read(CHUNK_BYTES):
-            pieces = (rest + decoder.decode(chunk)).splitlines(keepends=True)
+            text = rest + decoder.decode(chunk)
+            pieces = text.splitlines(keepends=True)
             # The last piece may go on in the next chunk, and a final \r may be half of \r\n.
-            rest = pieces.pop() if pieces else ""
-            for piece in pieces:
-                yield piece.splitlines()[0]
-    yield from (rest + decoder.decode(b"", final=True)).splitlines()
+            rest = pieces[-1] if pieces else ""
+            yield text[:len(text) - len(rest)].splitlines()
+    yield (rest + decoder.decode(b"", final=True)).splitlines()
+
+
+def _lines(archive: zipfile.ZipFile, member: str, encoding: str) -> Iterator[str]:
+    for lines in _cut(archive, member, encoding):
+        yield from lines
