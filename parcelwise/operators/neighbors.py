@@ -65,10 +65,11 @@ def nearest_sales_of_all(sales: DataFrame, growth: DataFrame, k: int = 20) -> Da
     if found is None:
         return targets.limit(0).select("property_id", F.lit(0).alias("neighbor_rank"), F.lit(0).cast("long").alias("id"),
                                        F.lit("").alias("neighbor_property_id"), F.lit(0.0).alias("dist"))
-    own_last = Window.partitionBy("property_id").orderBy("dist", "id")
-    return (targets.join(found, ["lat", "lon"]).filter("neighbor_property_id <> property_id")
-            .withColumn("neighbor_rank", F.row_number().over(own_last)).filter(F.col("neighbor_rank") <= k)
-            .select("property_id", "neighbor_rank", "id", "neighbor_property_id", "dist"))
+    # A position's neighbours are one row for all properties at it: pairs are made last, and never shuffled.
+    near = found.groupBy("lat", "lon").agg(F.sort_array(F.collect_list(F.struct("dist", "id", "neighbor_property_id"))).alias("near"))
+    others = F.slice(F.filter("near", lambda n: n["neighbor_property_id"] != F.col("property_id")), 1, k)
+    return (targets.join(near, ["lat", "lon"]).select("property_id", F.posexplode(others).alias("place", "n"))
+            .select("property_id", (F.col("place") + 1).alias("neighbor_rank"), "n.id", "n.neighbor_property_id", "n.dist"))
 
 
 def _first_rows(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
