@@ -118,31 +118,39 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A group's rows come one after the other, nearest leaf first; its positions keep the least squared chord so far."""
     lat = lon = here = best = None
     for batch in batches:
+        listed, stations = _rows_of(batch.column("stations"))
+        told, positions = _rows_of(batch.column("positions"))
+        lats, lons = (stations.field(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon"))
+        lat_all, lon_all = (positions.field(c).to_numpy(zero_copy_only=False) for c in ("latitude", "longitude"))
+        all_points, all_here, given = on_sphere(lats, lons), on_sphere(lat_all, lon_all), batch.column("positions").is_valid().to_numpy(zero_copy_only=False)
         parts = []
-        for row in batch.to_pylist():
-            listed = row["stations"]
-            lats, lons = (np.array([s[c] for s in listed], float) for c in ("lat", "lon"))
-            if row["positions"] is not None:
-                lat, lon = (np.array([p[c] for p in row["positions"]], float) for c in ("latitude", "longitude"))
-                here, best = on_sphere(lat, lon), np.full(len(lat), np.inf)
-            points = on_sphere(lats, lons)
+        for row in range(batch.num_rows):
+            if given[row]:
+                own = slice(told[row], told[row + 1])
+                lat, lon, here = lat_all[own], lon_all[own], [p[own] for p in all_here]
+                best = np.full(len(lat), np.inf)
+            leaf = slice(listed[row], listed[row + 1])
+            points = [q[leaf] for q in all_points]
             apart = sum(np.maximum(np.maximum(q.min() - p, p - q.max()), 0) ** 2 for p, q in zip(here, points))
             open_ = np.flatnonzero(apart <= best + SAME_CHORD)
             if not len(open_):
                 continue
-            position, station, km = near_pairs(lat[open_], lon[open_], lats, lons)
+            position, station, km = near_pairs(lat[open_], lon[open_], lats[leaf], lons[leaf])
             position = open_[position]
             chord = sum((p[position] - q[station]) ** 2 for p, q in zip(here, points))
             near = chord <= best[position] + SAME_CHORD
             np.minimum.at(best, position, chord)
             position, station, km = position[near], station[near], km[near]
-            parts.append((lat[position], lon[position], km, [listed[s] for s in station]))
+            parts.append((lat[position], lon[position], km, leaf.start + station))
         if parts:
-            stations = [s for part in parts for s in part[3]]
-            columns = [*[pa.array(np.concatenate([part[i] for part in parts])) for i in range(3)],
-                       *[pa.array([s[name] for s in stations], kind) for name, kind in (
-                           ("idx", pa.int64()), ("station", pa.string()), ("lat", pa.float64()), ("lon", pa.float64()))]]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FOUND.split(", ")])
+            *columns, station = (np.concatenate([part[i] for part in parts]) for i in range(4))
+            found = [stations.field(name).take(pa.array(station)) for name in ("idx", "station", "lat", "lon")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *found], [c.split()[0] for c in FOUND.split(", ")])
+
+
+def _rows_of(lists: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """Where each row's members begin, and where the last ends, in the members of all rows."""
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int), lists.flatten()
 
 
 def _parted(placed: DataFrame, bits: int, columns: list[str], name: str) -> DataFrame:
