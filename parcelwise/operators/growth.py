@@ -137,8 +137,9 @@ def suburb_growth(cube: DataFrame, start_year: int = START_YEAR) -> DataFrame:
 
 def place_counts(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct properties and sales per street or suburb; streets without a postcode are left out. Properties are counted by way
-    of one row per key and property, so that a key with very many is no single task's."""
-    pairs = place_properties(spans, keys)
+    of one row per key and property, so that a key with very many is no single task's. For streets `spans`, which have one
+    row per property and address, are these rows already."""
+    pairs = _by_place(spans, keys) if keys == STREET else place_properties(spans, keys)
     return pairs.groupBy(*keys).agg(F.count("property_id").alias("unique_properties"), F.sum("ids").alias("total_sales"))
 
 
@@ -151,9 +152,12 @@ def more_place_counts(counts: DataFrame, old: DataFrame, new: DataFrame, keys: l
     return summed(counts.unionByName(more), None, keys)
 
 
+def _by_place(spans: DataFrame, keys: list[str]) -> DataFrame:
+    return spans.withColumnsRenamed(dict(zip(PLACE, STREET))).dropna(subset=keys)
+
+
 def place_properties(spans: DataFrame, keys: list[str]) -> DataFrame:
-    return (spans.withColumnsRenamed(dict(zip(PLACE, STREET))).dropna(subset=keys)
-            .groupBy(*keys, "property_id").agg(F.sum("ids").alias("ids")))
+    return _by_place(spans, keys).groupBy(*keys, "property_id").agg(F.sum("ids").alias("ids"))
 
 
 def rated(counts: DataFrame, cube: DataFrame, keys: list[str]) -> DataFrame:

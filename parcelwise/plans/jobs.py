@@ -203,12 +203,14 @@ def extend_growth(spark: SparkSession, root: str, start_year: int = growth.START
     held = {name: read_table(spark, root, name, state[name]["version"], list(state[name]["parts"])) for name in STATE}
     sales = read_sales(spark, root, new, base=False)
     part = f"{len(read):06d}"
-    added = _stored(growth.property_spans(sales), root, "new_spans")
+    add_part(growth.property_spans(sales), root, "property_spans", part)  # nothing reads it before the state names it
+    added = read_table(spark, root, "property_spans", state["property_spans"]["version"], [part], base=False)
     touched = added.select("property_id").distinct()
     old = _stored(growth.merged_spans(held["property_spans"].join(touched, "property_id", "left_semi")), root, "old_spans")
     before = growth.repeat_sales_of(old)
-    after = _stored(growth.repeat_sales_of(growth.merged_spans(old.unionByName(added))), root, "repeat_sales_after")
-    add_part(added, root, "property_spans", part)
+    # Dealt by property once, for the merge and for the figures; spans are few per property.
+    spans = old.unionByName(added.filter("property_id IS NOT NULL")).repartition("property_id")
+    after = _stored(growth.repeat_sales_of(growth.merged_spans(spans)), root, "repeat_sales_after")
     add_part(after.select("property_id", *growth.FIGURES, "sales"), root, "property_growth", part)
     cube = growth.summed(held["growth_cube"].unionByName(growth.growth_cube(after, end_year)), growth.growth_cube(before, end_year),
                          [*growth.STREET, "active_to"]).filter("properties > 0")

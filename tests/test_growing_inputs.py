@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from parcelwise import fixtures
+from parcelwise.operators import growth
 from parcelwise.sources import archive
 
 
@@ -57,3 +58,15 @@ def test_lines_of_small_members_share_batches():
     assert [b.num_rows for b in batches] == [150]
     rows = pd.DataFrame(batches[0].to_pylist())
     assert (rows["line_no"] == [0, 1, 2] * 50).all() and (rows["before"] == rows["member_no"]).all()
+
+
+def test_spans_are_dealt_by_property_once(spark):
+    """Merging spans and reading figures from them is one shuffle, and counting a street's properties another one only."""
+    row = "1L as property_id_no, 'p' as property_id, 's' as property_street_name, 'l' as property_locality, 2000 as property_post_code, date'2001-01-01' as contract_date, 1d as purchase_price, id"
+    spans = growth.property_spans(spark.range(9).selectExpr(*row.split(", ")))
+    given = spark.createDataFrame(spans.collect(), spans.schema)
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    merged = growth.repeat_sales_of(growth.merged_spans(given.repartition("property_id")))
+    assert shuffles(merged) == 1 and merged.select("sales").collect() == [(9,)]
+    counts = growth.place_counts(given, growth.STREET)
+    assert shuffles(counts) == 1 and counts.collect() == [("s", "l", 2000, 1, 9)]
