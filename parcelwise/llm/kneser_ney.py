@@ -130,18 +130,19 @@ def rows_of(entries: Entries, route: Route) -> pd.DataFrame:
         packed(context[a:b], symbol[a:b], count[a:b]) for a, b in zip(cuts, ends)]})
 
 
-def summed(parts: Iterator[Entries], route: Route) -> Iterator[pd.DataFrame]:
-    """Rows of entries that come in many parts, added up as far as they fit."""
+def summed(parts: Iterator[Entries], route: Route, most: int | None = None) -> Iterator[pd.DataFrame]:
+    """Rows of entries that come in many parts, added up as far as `most` of them (SUMMED unless told) go."""
+    most = most or SUMMED
     held: list[Entries] = []
     size = 0
     for part in parts:
         held.append(part)
         size += len(part[0])
-        if size >= SUMMED:
+        if size >= most:
             entries = merged(*map(np.concatenate, zip(*held)))
             # If little was gained by adding up, waiting for more would gain little too.
             held, size = [entries], len(entries[0])
-            if 2 * size >= SUMMED:
+            if 2 * size >= most:
                 yield rows_of(entries, route)
                 held, size = [], 0
     if size:

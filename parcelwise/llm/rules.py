@@ -97,8 +97,11 @@ class Words:
         return word, context, symbol
 
 
-#: N-grams of different words that a task holds before it passes their counts on, or forgets their probabilities.
+#: N-grams of different words whose probabilities a task holds before it forgets them.
 HELD = 1 << 20
+#: N-grams of different words that a task holds before it passes their counts on, and entries that it adds up: an executor's
+#: workers learn side by side, in what memory its JVM leaves.
+COUNTED, SUMMED = 1 << 18, 3 << 18
 
 
 class Counter:
@@ -113,13 +116,13 @@ class Counter:
         self.times = np.concatenate([self.times, np.zeros(len(self.known) - before, np.int64)])
         self.times[numbers] += words.times
         word, context, symbol = words.ngrams(np.flatnonzero(new))
-        self.held.append((numbers[new][word], context, symbol))
+        self.held.append((numbers[new].astype(np.int32)[word], context, symbol.astype(np.uint8)))
         self.size += len(word)
 
     def entries(self) -> kn.Entries:
         word, context, symbol = map(np.concatenate, zip(*self.held))
         _, first, place = np.unique(paired(context, symbol), return_index=True, return_inverse=True)
-        return context[first], symbol[first], np.bincount(place, self.times[word], len(first)).astype(np.uint64)
+        return context[first], symbol[first].astype(np.uint64), np.bincount(place, self.times[word], len(first)).astype(np.uint64)
 
 
 def _ngrams(route: kn.Route):
@@ -130,7 +133,7 @@ def _ngrams(route: kn.Route):
             lang = languages(batch, texts)
             for chunk in chunks(texts):
                 counter.add(Words(chunk, lang))
-                if counter.size > HELD:
+                if counter.size > COUNTED:
                     yield counter.entries()
                     counter = Counter()
         if counter.size:
@@ -139,7 +142,7 @@ def _ngrams(route: kn.Route):
     schema = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for frame in kn.summed(parts(batches), route):
+        for frame in kn.summed(parts(batches), route, SUMMED):
             yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
 
     return run
@@ -306,7 +309,8 @@ def bands(measures: DataFrame) -> DataFrame:
 
 
 def _with_verdict(measures: DataFrame, limits: DataFrame) -> DataFrame:
-    both = measures.alias("m").join(limits.alias("b"), F.col("m.lang").eqNullSafe(F.col("b.lang")), "left")
+    # One row per language: sent round, so that no text is shuffled to meet them, and sorted, by language.
+    both = measures.alias("m").join(F.broadcast(limits.alias("b")), F.col("m.lang").eqNullSafe(F.col("b.lang")), "left")
     within = F.col("core").between(F.col("low"), F.col("high"))
     return both.select("m.*", (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept"))
 

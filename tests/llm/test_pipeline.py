@@ -36,6 +36,26 @@ def test_rules(stages):
     assert 0 < done.count() < docs.count()
 
 
+def test_rules_shuffle_no_text(spark, stages):
+    """The bands travel to the texts, whatever their size is taken for: no document is shuffled, or sorted, by its language."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rules.passing(stages[0][1])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_small_counts(spark, monkeypatch):
+    """However few n-grams a worker holds while it learns, the same documents pass."""
+    docs = registry.table(spark, SF_DIR, "documents")
+    passed = ids(rules.passing(docs))
+    monkeypatch.setattr(rules, "COUNTED", 2_000)
+    monkeypatch.setattr(rules, "SUMMED", 5_000)
+    assert ids(rules.passing(docs)) == passed
+
+
 def test_dedup(stages):
     _, docs, done = stages[1]
     groups = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
