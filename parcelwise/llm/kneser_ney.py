@@ -1,21 +1,23 @@
 """Interpolated modified Kneser-Ney models: counted in Spark, kept as sorted hash arrays, mapped by workers.
 
 A model has levels m = 1..n. An entry of level m is a context (the m - 1 symbols before, told by a 64-bit number) and a symbol;
-its count is how often it occurs at level n, and below how many different symbols precede it. Entries live in buckets: a
-bucket's entries are three files of sorted arrays in the shared folder, written by the task that sums the bucket, and looked
-up by bisection in memory-mapped files. No task and no worker holds more than a bucket's arrays in memory of its own."""
+its count is how often it occurs at level n, and below how many different symbols precede it. Entries are summed in buckets, as
+many as it takes for a task to hold one, and written as sorted arrays by the task that sums the bucket. Where there are more than
+SHARDS buckets, their files are then merged into as many sets: however large the model is, what is looked up is looked up
+by bisection in the same few memory-mapped files. No task and no worker holds more than a bucket's arrays in memory of its own."""
 
 from __future__ import annotations
 
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.llm.words import mixed, paired
@@ -27,6 +29,10 @@ SUMMED = 3 << 19
 HEAVY_SHARE = 2000
 #: A bucket is meant to hold about so many entries; there are at least so many buckets.
 BUCKET_ENTRIES, LEAST_BUCKETS = 1_000_000, 64
+#: Sets of files per level that workers look into, at most. The work of a look-up grows with their number, not with that of buckets.
+SHARDS = 64
+#: Of files that are merged, so many entries (and MERGED_STEP of each file) are held at once.
+MERGED, MERGED_STEP = 1 << 20, 1 << 10
 
 #: Context, symbol, count. A context is one number, or a row of numbers: its own, and those of the shorter contexts below it.
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -118,6 +124,11 @@ class Route:
                         self.of_context(context))
 
 
+def _name(level: int, bucket: int, route: Route) -> str:
+    """What a bucket's files are called: those of a shard, or of a part of one."""
+    return f"{level}-{bucket}" if route.buckets <= SHARDS else f"{level}-part{bucket}"
+
+
 def rows_of(entries: Entries, route: Route) -> pd.DataFrame:
     """Merged entries as one row per bucket."""
     context, symbol, count = entries
@@ -169,16 +180,83 @@ def write_bucket(folder: str, level: int, bucket: int, entries: Entries, route:
     context, symbol, count = own(entries[0]), *entries[1:]
     key = paired(context, symbol)
     order = np.argsort(key)
-    wide = np.uint64 if len(count) and count.max() >= 1 << 32 else np.uint32
-    _save(folder, f"{level}-{bucket}-keys", key[order])
-    _save(folder, f"{level}-{bucket}-counts", count[order].astype(wide))
+    name = _name(level, bucket, route)
+    _save(folder, f"{name}-keys", key[order])
+    _save(folder, f"{name}-counts", _as_wide(count[order]))
     contexts, stats = _stats(context, count)
     heavy = route.is_heavy(contexts)
     order = np.argsort(contexts[~heavy])
-    _save(folder, f"{level}-{bucket}-contexts", contexts[~heavy][order])
-    _save(folder, f"{level}-{bucket}-stats", stats[~heavy][order])
-    _save(folder, f"{level}-{bucket}-heavy", np.column_stack([contexts[heavy].view(np.int64), stats[heavy]]))
-    _save(folder, f"{level}-{bucket}-counted", np.array([int((count == k).sum()) for k in (1, 2, 3, 4)]))
+    _save(folder, f"{name}-contexts", contexts[~heavy][order])
+    _save(folder, f"{name}-stats", _as_wide(stats[~heavy][order]))
+    _save(folder, f"{name}-heavy", np.column_stack([contexts[heavy].view(np.int64), stats[heavy]]))
+    _save(folder, f"{name}-counted", np.array([int((count == k).sum()) for k in (1, 2, 3, 4)]))
+
+
+def _as_wide(numbers: np.ndarray) -> np.ndarray:
+    return numbers.astype(np.uint64 if numbers.max(initial=0) >= 1 << 32 else np.uint32)
+
+
+def _merge(folder: str, parts: list[str], whole: str, keys: str, values: str) -> None:
+    """One sorted array of the sorted `keys` of `parts`, and one of their `values`, written range by range of keys."""
+    found = [[np.load(os.path.join(folder, f"{part}-{kind}.npy"), mmap_mode="r").view(np.ndarray) for kind in (keys, values)] for part in parts]
+    steps = np.sort(np.concatenate([key[::MERGED_STEP] for key, _ in found]))
+    cuts = steps[MERGED // MERGED_STEP::MERGED // MERGED_STEP]
+    ends = [[0, *np.searchsorted(key, cuts), len(key)] for key, _ in found]
+    n = sum(len(key) for key, _ in found)
+    kinds = [np.uint64, np.result_type(*(value for _, value in found))]
+    asides = [os.path.join(folder, f".{whole}-{kind}-{uuid.uuid4().hex}.npy") for kind in (keys, values)]
+    with open(asides[0], "wb") as key_file, open(asides[1], "wb") as value_file:
+        for file, kind, one in zip((key_file, value_file), kinds, found[0]):
+            np.lib.format.write_array_header_1_0(file, {"descr": np.lib.format.dtype_to_descr(np.dtype(kind)), "fortran_order": False,
+                                                        "shape": (n, *one.shape[1:])})
+        for k in range(len(cuts) + 1):
+            key, value = (np.concatenate([arrays[kind][at[k]:at[k + 1]] for arrays, at in zip(found, ends)]) for kind in (0, 1))
+            order = np.argsort(key, kind="stable")
+            key_file.write(key[order].tobytes())
+            value_file.write(value[order].astype(kinds[1]).tobytes())
+    for aside, kind in zip(asides, (keys, values)):
+        os.replace(aside, os.path.join(folder, f"{whole}-{kind}.npy"))
+
+
+def _summed_stats(spread: np.ndarray) -> np.ndarray:
+    """Rows of a context and its statistics, in order of contexts, those of one context added up."""
+    contexts, place = np.unique(spread[:, 0].view(np.uint64), return_inverse=True)
+    stats = np.zeros((len(contexts), 5), np.int64)
+    np.add.at(stats[:, 1:], place, spread[:, 1:])
+    stats[:, 0] = contexts.view(np.int64)
+    return stats
+
+
+def _join(folder: str, level: int, shard: int, route: Route) -> None:
+    """Makes a shard's files of its buckets', which are then dropped. A task that is run twice goes on where it ended."""
+    parts, whole = [_name(level, bucket, route) for bucket in range(shard, route.buckets, SHARDS)], f"{level}-{shard}"
+    if not os.path.exists(os.path.join(folder, f"{whole}-counted.npy")):
+        there = [part for part in parts if os.path.exists(os.path.join(folder, f"{part}-counted.npy"))]
+        if not there:
+            return
+        _merge(folder, there, whole, "keys", "counts")
+        _merge(folder, there, whole, "contexts", "stats")
+        heavy, counted = ([np.load(os.path.join(folder, f"{part}-{kind}.npy")) for part in there] for kind in ("heavy", "counted"))
+        _save(folder, f"{whole}-heavy", _summed_stats(np.concatenate(heavy)))
+        _save(folder, f"{whole}-counted", np.sum(counted, axis=0))
+    for part in parts:
+        for kind in ("keys", "counts", "contexts", "stats", "heavy", "counted"):
+            with suppress(FileNotFoundError):
+                os.unlink(os.path.join(folder, f"{part}-{kind}.npy"))
+
+
+def joined(spark: SparkSession, folder: str, level: int, route: Route) -> None:
+    """Merges the files of a level's buckets, once all are written, so that there are SHARDS sets of files at most."""
+    if route.buckets <= SHARDS:
+        return
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for shard in frame["id"]:
+                _join(folder, level, int(shard), route)
+            yield frame
+
+    spark.range(0, SHARDS, 1, SHARDS).mapInPandas(run, "id long").agg(F.count("*")).collect()
 
 
 def bucket_entries(pdf: pd.DataFrame) -> Entries:
@@ -208,12 +286,14 @@ def build(rows: DataFrame, folder: str, order: int, routes: dict[int, Route],
     for level in range(order, 0, -1):
         rows = rows.groupBy("bucket").applyInPandas(_reducer(folder, level, routes[level], routes.get(level - 1), shorten), ROWS)
     rows.agg(F.count("*")).collect()
+    for level in range(1, order + 1):
+        joined(rows.sparkSession, folder, level, routes[level])
     return Model.opened(folder, order, routes, shorten, floor)
 
 
 @lru_cache(maxsize=4096)
 def _mapped(path: str) -> np.ndarray | None:
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+    return np.load(path, mmap_mode="r").view(np.ndarray) if os.path.exists(path) else None
 
 
 def discounts(counted: np.ndarray) -> np.ndarray:
@@ -239,31 +319,28 @@ class Model:
 
     @classmethod
     def opened(cls, folder, order, routes, shorten, floor) -> "Model":
-        """Adds up each level's few numbers; what is read grows with the number of buckets, not of entries."""
+        """Adds up each level's few numbers, of all shards."""
         taken, heavy = {}, {}
         for level in range(1, order + 1):
-            counted, spread = np.zeros(4, np.int64), np.empty((0, 5), np.int64)
-            for bucket in range(routes[level].buckets):
-                path = os.path.join(folder, f"{level}-{bucket}-")
+            counted, spread = np.zeros(4, np.int64), [np.empty((0, 5), np.int64)]
+            for shard in range(min(routes[level].buckets, SHARDS)):
+                path = os.path.join(folder, f"{level}-{shard}-")
                 if os.path.exists(f"{path}counted.npy"):
                     counted += np.load(f"{path}counted.npy")
-                    spread = np.concatenate([spread, np.load(f"{path}heavy.npy")])
+                    spread.append(np.load(f"{path}heavy.npy"))
             taken[level] = discounts(counted)
-            contexts, place = np.unique(spread[:, 0].view(np.uint64), return_inverse=True)
-            stats = np.zeros((len(contexts), 5), np.int64)
-            np.add.at(stats[:, 1:], place, spread[:, 1:])
-            stats[:, 0] = contexts.view(np.int64)
-            heavy[level] = stats
+            heavy[level] = _summed_stats(np.concatenate(spread))
         return cls(folder, order, routes, shorten, floor, taken, heavy)
 
     def _search(self, level: int, bucket: np.ndarray, key: np.ndarray, names: tuple[str, str], width: int) -> np.ndarray:
-        """Values by key from the buckets' sorted arrays; zeros where a key is absent."""
+        """Values by key from the sorted arrays of the buckets' shards; zeros where a key is absent."""
         out = np.zeros((len(key), width), np.int64)
-        order = np.lexsort((key, bucket))
-        bucket, key = bucket[order], key[order]
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-        for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)] if len(bucket) else []):
-            path = os.path.join(self.folder, f"{level}-{bucket[a]}-")
+        shard = (bucket % SHARDS).astype(np.uint8)
+        order = np.argsort(shard, kind="stable") if (key[1:] > key[:-1]).all() else np.lexsort((key, shard))
+        shard, key = shard[order], key[order]
+        cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else []
+        for a, b in zip(cuts, np.r_[cuts[1:], len(shard)] if len(shard) else []):
+            path = os.path.join(self.folder, f"{level}-{shard[a]}-")
             keys, values = _mapped(f"{path}{names[0]}.npy"), _mapped(f"{path}{names[1]}.npy")
             if keys is None or not len(keys):
                 continue

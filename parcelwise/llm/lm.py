@@ -18,6 +18,8 @@ from parcelwise.llm.words import LOWER, Chunk, bounds, chunks, hashes, named, pa
 END, BEGIN = named("end"), named("begin")
 #: Words of the longest runs that are counted, unless told. 3 predicts better, for more than twice the disk: figures in the README.
 ORDER = 2
+#: Tokens that are looked up in the model at once.
+LOOKED_UP = 1 << 19
 
 
 def shorten(context: np.ndarray, level: int) -> np.ndarray:
@@ -109,14 +111,24 @@ class Scorer:
     def __init__(self, runs: kn.Model, single: kn.Model, tokens: int, types: int):
         self.runs, self.single, self.tokens, self.types = runs, single, tokens, types
 
+    def _looked_up(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(token, contexts, text) of LOOKED_UP tokens or somewhat more: the more at once, the fewer pages of the model each costs."""
+        tokens, held, size = Tokens(self.runs.order), [], 0
+        for chunk in chunks(texts):
+            token, contexts, text = tokens(chunk)
+            held.append((token, contexts, text + chunk.first))
+            size += len(token)
+            if size >= LOOKED_UP:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if held:
+            yield tuple(map(np.concatenate, zip(*held)))
+
     def __call__(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Per text: n_tokens, n_known, base_score, score (both log10)."""
         out = {"n_tokens": np.zeros(len(texts), np.int64), "n_known": np.zeros(len(texts), np.int64),
                "base_score": np.zeros(len(texts)), "score": np.zeros(len(texts))}
-        tokens = Tokens(self.runs.order)
-        for chunk in chunks(texts):
-            token, contexts, text = tokens(chunk)
-            text = text + chunk.first
+        for token, contexts, text in self._looked_up(texts):
             types, place = np.unique(token, return_inverse=True)
             known = self.single.counts(1, np.zeros(len(types), np.uint64), types)[place]
             base = np.log10((known + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
@@ -160,6 +172,7 @@ def learn(texts: DataFrame, order: int = ORDER) -> Scorer:
     often = counted.select(F.explode(F.arrays_zip("often", "times")).alias("t")).filter(
         F.col("t.times") * kn.HEAVY_SHARE > int(tokens)).select("t.often").collect()
     heavy = np.unique(np.array([r[0] for r in often], np.int64).view(np.uint64).tolist() + [int(BEGIN)]).astype(np.uint64)
+    kn.joined(spark, folder + "/single", 1, route)
     single = kn.Model.opened(folder + "/single", 1, {1: route}, shorten, 0.0)
 
     upper = kn.Route(max(kn.LEAST_BUCKETS, int(tokens) // kn.BUCKET_ENTRIES), heavy)

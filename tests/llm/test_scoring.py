@@ -92,6 +92,46 @@ def test_lm_is_kneser_ney(spark, small_docs, monkeypatch, order):
         assert r["perplexity"] == pytest.approx(10 ** (-r["score"] / len(own)))
 
 
+def test_lm_of_many_buckets(spark, small_docs, monkeypatch):
+    """Texts are scored the same, and as few files are looked into, however many buckets the model was summed in."""
+    texts = small_docs.select("text")
+    batch = pa.array([r["text"] for r in texts.limit(20).collect()], pa.large_string())
+
+    def scored():
+        kneser_ney._mapped.cache_clear()
+        return lm.learn(texts, 3)(batch), kneser_ney._mapped.cache_info().misses
+
+    few, _ = scored()
+    monkeypatch.setattr(kneser_ney, "LEAST_BUCKETS", 150)
+    monkeypatch.setattr(kneser_ney, "BUCKET_ENTRIES", 200)
+    many, files = scored()
+    assert 0 < files <= 14 * 64  # keys, counts, contexts and their statistics of three levels; keys and counts of single tokens
+    for name, values in few.items():
+        assert many[name].tolist() == pytest.approx(values.tolist(), rel=1e-12)
+
+
+def test_files_are_merged_in_order(tmp_path, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MERGED", 64)
+    monkeypatch.setattr(kneser_ney, "MERGED_STEP", 8)
+    rnd = np.random.default_rng(5)
+    route = kneser_ney.Route(3 * kneser_ney.SHARDS, np.array([7], np.uint64))
+    context = words.mixed(rnd.integers(0, 3000, 20_000).astype(np.uint64))
+    context[:500] = 7
+    entries = kneser_ney.merged(context, rnd.integers(0, 50, len(context)).astype(np.uint64), np.full(len(context), 1 << 33, np.uint64))
+    bucket = route(entries[0], entries[1])
+    for b in np.unique(bucket):
+        kneser_ney.write_bucket(str(tmp_path), 1, int(b), tuple(column[bucket == b] for column in entries), route)
+    for shard in [*range(kneser_ney.SHARDS), 0, 1]:  # a task may run twice
+        kneser_ney._join(str(tmp_path), 1, shard, route)
+    assert not [p for p in tmp_path.iterdir() if "part" in p.name or p.name.startswith(".")]
+    model = kneser_ney.Model.opened(str(tmp_path), 1, {1: route}, None, 0.0)
+    assert model.counts(1, entries[0], entries[1]).tolist() == entries[2].tolist()
+    assert model.counts(1, entries[0], entries[1] + np.uint64(50)).sum() == 0
+    contexts = np.unique(entries[0])
+    totals = np.add.reduceat(entries[2], np.searchsorted(entries[0], contexts))
+    assert model.stats(1, contexts)[:, 0].tolist() == totals.tolist()
+
+
 @pytest.mark.parametrize("columns", [0, 1, 3])
 def test_entries_come_back(columns):
     rnd = random.Random(columns)
